@@ -40,7 +40,7 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, row_id: str, salts:
     Null keys meet nothing (rows stay under ``left``); they spread by salt as well.
     """
     b = big.withColumn("_salt", F.pmod(F.xxhash64(F.col(row_id)), F.lit(salts)))
-    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return b.join(s, [key, "_salt"], how).drop("_salt")
 
 
