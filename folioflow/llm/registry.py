@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.llm import p7, p8, p9
+from folioflow.llm import p5, p7, p8, p9
 
-MODULES = (p7, p8, p9)
+MODULES = (p5, p7, p8, p9)
 
 
 def queries() -> dict:
