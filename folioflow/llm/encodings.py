@@ -184,7 +184,7 @@ class CleanModel:
         control = ((cp >= 0x7F) & (cp < 0xA0)) | (cp == LOST)
         # unseen letters of large scripts are no surprise, nor lone signs; unseen Latin letters are
         large = ((cp >= 0x3040) & (cp < 0xD7B0)) | ((cp >= 0x0900) & (cp < 0x1000)) | (cp >= 0x1F000)
-        sign = ((cp >= 0x2000) & (cp < 0x2BFF)) | np.isin(cp, _SIGNS)
+        sign = ((cp >= 0x2000) & (cp < 0x2300)) | np.isin(cp, _SIGNS)
         return np.where(control, -18.0, np.where(large, FLOOR + 3, np.where(sign, FLOOR + 7, FLOOR - 1)))
 
 
@@ -192,7 +192,7 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
-def label(model: CleanModel, texts: list[str | None], steps: int = 200_000) -> list[np.ndarray | None]:
+def label(model: CleanModel, texts: list[str | None], steps: int = 1_500_000) -> list[np.ndarray | None]:
     """State of every character for each text, or None where all is clean."""
     out: list[np.ndarray | None] = [None] * len(texts)
     asked = []
@@ -217,70 +217,90 @@ def label(model: CleanModel, texts: list[str | None], steps: int = 200_000) -> l
 
 
 def _viterbi(model: CleanModel, cps: list[np.ndarray]) -> list[np.ndarray]:
-    flat = np.concatenate([np.append(c, _SEPARATOR) for c in cps])
-    n, S = len(flat), len(STATES)
-    before = np.concatenate([[_SEPARATOR], flat[:-1]])
+    whole = np.concatenate([np.append(c, _SEPARATOR) for c in cps])
+    before = np.concatenate([[_SEPARATOR], whole[:-1]])
     before2 = np.concatenate([[_SEPARATOR], before[:-1]])
+    # far from wide characters all states emit alike and nothing is decided: left out
+    wide = whole >= 128
+    near = wide.copy()
+    near[1:] |= wide[:-1]
+    near[2:] |= wide[:-2]
+    kept = np.flatnonzero(near)
+    flat, n, S = whole[kept], len(kept), len(STATES)
     emit = np.full((n, S), NEVER)
-    emit[:, 0] = model.score(before2, before, flat)
-    here = np.arange(n)
+    emit[:, 0] = model.score(before2[kept], before[kept], flat)
     emit[flat == LOST, 0] = NEVER
     odd = flat >= 128
+    here = np.arange(len(whole))
     for s, inv in enumerate(inverses(), 1):
-        start, value, valid = inv.units(flat)
-        if not (valid & odd).any():
+        start, value, valid = inv.units(whole)
+        ok = valid[kept]
+        if not (ok & odd).any():
             continue
         prev = np.concatenate([[_SEPARATOR], value[:-1]])
         opened = np.maximum.accumulate(np.where(start, here, 0))  # where the unit of a position starts
         prev2 = np.concatenate([[_SEPARATOR], prev[opened[:-1]]])
-        e = np.where(start, model.score(prev2, prev, value), 0.0)
-        emit[:, s] = np.where(valid, e, NEVER)
+        asked = np.flatnonzero(ok)
+        at = kept[asked]
+        emit[asked, s] = np.where(start[at], model.score(prev2[at], prev[at], value[at]), 0.0)
     emit[flat == LOST, S - 1] = -3.0
     emit[flat < 128, S - 1] = emit[flat < 128, 0] - 1.0
-    lengths = np.array([len(c) for c in cps])
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    ends = np.cumsum([len(c) + 1 for c in cps])
+    owner = np.searchsorted(ends, kept, side="right")
+    lengths = np.bincount(owner, minlength=len(cps))
+    order = np.argsort(lengths, kind="stable")  # texts by their number of kept positions
+    firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    lengths, starts = lengths[order], firsts[order]
     most = int(lengths.max())
     k = len(cps)
     into = np.array([0.0, *(2.5 * ENTER if r in _DEAR else ENTER for r, _, _ in PAIRS), ENTER])
     score = np.tile(into, (k, 1))
-    score = score + emit[starts]
+    score = score + emit[np.minimum(starts, n - 1)]
     back_clean = np.zeros((most, k), dtype=np.int8)  # best state before, when now clean
     from_clean = np.zeros((most, k, S), dtype=bool)
     for t in range(1, most):
-        live = int(np.searchsorted(lengths, t, side="right"))  # texts lie by length: shorter ones are done
+        live = int(np.searchsorted(lengths, t, side="right"))  # shorter ones are done
         a = score[live:]
         e = emit[starts[live:] + t]
-        other = a[:, 1:].max(axis=1) + LEAVE
         best = a[:, 1:].argmax(axis=1) + 1
+        other = a[np.arange(len(a)), best] + LEAVE
         stay = a[:, 0]
         back_clean[t, live:] = np.where(other > stay, best, 0)
-        clean = np.maximum(other, stay)
         enter = stay[:, None] + into
         took = enter > a
         from_clean[t, live:] = took
-        new = np.where(took, enter, a)
-        new[:, 0] = clean
+        new = np.maximum(enter, a)
+        new[:, 0] = np.maximum(other, stay)
         score[live:] = new + e
     out = []
-    for j in range(k):
+    for j in np.argsort(order, kind="stable").tolist():
         n_j = int(lengths[j])
-        states = np.zeros(n_j, dtype=np.int16)
+        path = np.zeros(n_j, dtype=np.int16)
         end = score[j].copy()
         end[1:] += LEAVE
         s = int(end.argmax())
         for t in range(n_j - 1, -1, -1):
-            states[t] = s
+            path[t] = s
             if t == 0:
                 break
             if s == 0:
                 s = int(back_clean[t, j])
             elif from_clean[t, j, s]:
                 s = 0
-        cp = cps[j]
+        cp = cps[order[j]]
+        states = np.zeros(len(cp), dtype=np.int16)
+        if path.any():  # characters left out lie in the span of their neighbours, if these agree
+            at = kept[starts[j] : starts[j] + n_j] - (ends[order[j]] - len(cp) - 1)
+            inside = at < len(cp)
+            at, path = at[inside], path[inside]
+            i = np.arange(len(cp))
+            left = path[np.maximum(np.searchsorted(at, i, side="right") - 1, 0)]
+            right = path[np.minimum(np.searchsorted(at, i, side="left"), len(at) - 1)]
+            states = np.where((left == right) & (i >= at[0]) & (i <= at[-1]), left, 0).astype(np.int16)
         # a span counts only if it holds characters that the pair changed
         if states.any():
             edges = np.flatnonzero(np.diff(states)) + 1
-            for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [n_j]]), strict=True):
+            for a, b in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(cp)]]), strict=True):
                 if states[a] and not _evidence(cp, a, b, int(states[a])):
                     states[a:b] = 0
         out.append(states)
