@@ -97,8 +97,14 @@ class Centroids:
         texts = [t for x in languages for t in samples[x]]
         lang = np.array([i for i, x in enumerate(languages) for _ in samples[x]])
         row, feat, val, idf = Centroids._vectors(texts, None)
-        dense = np.zeros((len(texts), 1 << BITS), dtype=np.float32)
-        dense[row, feat] = val
+        first = np.searchsorted(row, np.arange(len(texts) + 1))
+
+        def dense(rows: np.ndarray) -> np.ndarray:  # a language at a time: all at once would not fit the driver
+            out = np.zeros((len(rows), 1 << BITS), dtype=np.float32)
+            for i, r in enumerate(rows.tolist()):
+                out[i, feat[first[r] : first[r + 1]]] = val[first[r] : first[r + 1]]
+            return out
+
         keep = np.ones(len(texts), dtype=bool)
         for again in (True, False):
             cents, owner = [], []
@@ -106,7 +112,7 @@ class Centroids:
                 rows = np.flatnonzero(keep & (lang == i))
                 if not len(rows):
                     rows = np.flatnonzero(lang == i)
-                x = dense[rows]
+                x = dense(rows)
                 c = x[np.linspace(0, len(rows) - 1, min(k, len(rows))).astype(int)].copy()
                 for _ in range(rounds):
                     at = (x @ c.T).argmax(axis=1)
@@ -121,14 +127,14 @@ class Centroids:
                 cents.append(c)
                 owner += [i] * len(c)
             matrix, owner_ = np.vstack(cents), np.array(owner)
-            sims = dense @ matrix.T
-            best = owner_[sims.argmax(axis=1)]
-            if again:
-                keep = best == lang
-        least = np.zeros(len(languages))
-        for i in range(len(languages)):
-            own = sims[keep & (lang == i)][:, owner_ == i]
-            least[i] = np.quantile(own.max(axis=1), REJECT_SHARE) * 0.8 if len(own) else 0.1
+            least = np.zeros(len(languages))
+            for i in range(len(languages)):
+                rows = np.flatnonzero(lang == i)
+                sims = dense(rows) @ matrix.T
+                if again:
+                    keep[rows] = owner_[sims.argmax(axis=1)] == i
+                own = sims[keep[rows]][:, owner_ == i]
+                least[i] = np.quantile(own.max(axis=1), REJECT_SHARE) * 0.8 if len(own) else 0.1
         return Centroids(languages, owner_, np.ascontiguousarray(matrix.T.astype(np.float32)), idf, least)
 
     def similarities(self, texts: list[str], chunk: int = 150_000) -> np.ndarray:
