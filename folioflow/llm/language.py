@@ -30,6 +30,7 @@ TRAIN_DOCS, TRAIN_CHARS, TRAIN_SENTENCES = 4000, 20_000, 400  # rows, characters
 BITS, ORDERS, CENTROIDS = 15, (1, 2, 3), 3
 CHANGE, SHORT, REJECT_SHARE = 0.9, 8, 0.002
 _NOISE = re.compile(r"\S*[@/\\{}<>=#]\S*|\[\^[^\]]*\]")
+_NOISY = re.compile(r"[@/\\{}<>=#^]")
 _NONLETTER = re.compile(r"[\W\d_]+")
 # Marks that name no language, and three-letter codes of the languages known here.
 NO_LANGUAGE = {"", "und", "zxx", "none", "x", "mul", "mis", "null", "unknown", "n/a", "qaa"}
@@ -49,7 +50,9 @@ def letters(text: str) -> int:
 
 
 def normal(text: str) -> str:
-    return _NONLETTER.sub(" ", _NOISE.sub(" ", text).lower()).strip()
+    if _NOISY.search(text):
+        text = _NOISE.sub(" ", text)
+    return _NONLETTER.sub(" ", text.lower()).strip()
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,17 +177,18 @@ def training_sentences(documents: DataFrame, docs: int = TRAIN_DOCS, chars: int
 
 def segments(model: Centroids, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
     """(start, end, language, confidence) of each segment of each text."""
-    spans, flat, owner = [], [], []
-    for i, t in enumerate(texts):
+    spans, flat = [], []
+    for t in texts:
         found = []
         for a, b in sentence_spans(t):
             s = normal(t[a:b])
             if s:
-                found.append((a, b, letters(s)))
+                found.append((a, b, len(s) - s.count(" ")))
                 flat.append(s)
-                owner.append(i)
         spans.append(found)
-    sims = model.similarities(flat) if flat else np.zeros((0, len(model.languages)))
+    known: dict[str, int] = {}  # equal sentences of a batch are compared once
+    which = np.array([known.setdefault(s, len(known)) for s in flat], dtype=np.int64)
+    sims = model.similarities(list(known))[which] if flat else np.zeros((0, len(model.languages)))
     out, at = [], 0
     for found in spans:
         n = len(found)
@@ -195,8 +199,7 @@ def segments(model: Centroids, texts: list[str | None]) -> list[list[tuple[int,
             continue
         best = s.argmax(axis=1)
         size = np.array([x[2] for x in found])
-        wide = np.array([1.0] * n)
-        rejected = (s.max(axis=1) < model.least[best]) | (size < SHORT * wide)
+        rejected = (s.max(axis=1) < model.least[best]) | (size < SHORT)
         weight = np.where(rejected, 0.1, 1.0) * np.minimum(1.5, np.sqrt(size / 20.0))
         gain = s * weight[:, None] * 8.0
         score, back = gain[0].copy(), []
@@ -211,8 +214,9 @@ def segments(model: Centroids, texts: list[str | None]) -> list[list[tuple[int,
         path.reverse()
         res: list[list] = []
         for (a, b, _), lang, row, w in zip(found, path, s, weight, strict=True):
-            others = np.delete(row, lang).max() if len(row) > 1 else 0.0
-            conf = 1.0 / (1.0 + math.exp(-12.0 * float(row[lang] - others))) * (1.0 if w > 0.2 else 0.8)
+            own, row[lang] = float(row[lang]), -1.0
+            others = max(0.0, float(row.max()))
+            conf = 1.0 / (1.0 + math.exp(-12.0 * (own - others))) * (1.0 if w > 0.2 else 0.8)
             name = model.languages[lang]
             if res and res[-1][2] == name:
                 res[-1][1] = b

@@ -41,6 +41,8 @@ _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _NOTE = r"(?:\[\^[^\]\s]{1,20}\])"
 _PLACE = re.compile(rf"[{re.escape(ENDS)}]+(?:[”“’\"'»›)\]」』）〉》]|\s?»|{_NOTE})*")
 _THAI = re.compile(r"(?<=[฀-๿])((?:[”»)\]]|\[\^[^\]\s]{1,20}\])*)\s+(?=[“«(\[]?[฀-๿A-Z])|\n+")
+_OTHER = re.compile(r"[฀-๿\n]")
+_ALNUM = re.compile(r"[^\W_]")
 _MARKER = re.compile(r"\s*(?:\[\^[^\]\s]{1,20}\]:|[-*+•–]|\(?\d{1,3}[.)]|\(?[a-z]\))\s+")
 _WORD = re.compile(r"[^\s“”„«»(\[「『（]+$")
 _EVENTS = re.compile(r"[„“”«»「」『』（）()\"]|\[(?!\^)|(?<!\^)\]")
@@ -64,7 +66,7 @@ def _places(text: str, start: int) -> list[tuple[int, int, str]]:
         if nxt == e and not (marks[-1:] in "。！？｡" or m.group()[0] in "。！？｡"):
             continue
         out.append((e, nxt, "mark"))
-    if any("฀" <= c <= "๿" for c in text) or "\n" in text:
+    if _OTHER.search(text):
         for m in _THAI.finditer(text, start):
             e = m.end(1) if m.group(1) is not None else m.start()
             nxt = m.end()
@@ -197,9 +199,7 @@ def sentence_ends(text: str | None) -> list[int]:
     marker = _MARKER.match(text)
     start = marker.end() if marker else 0
     body = text[start:last]
-    letters = [c for c in body if c.isalpha() and (c.islower() or c.isupper())]
-    upper = sum(c.isupper() for c in letters)
-    cased = 0 < upper < len(letters)
+    cased = body != body.lower() and body != body.upper()
     places = _places(text[:last], start)
     if not places:
         return [last]
@@ -220,7 +220,7 @@ def sentence_ends(text: str | None) -> list[int]:
             s = best[i] + gain
             if events:
                 s -= 4.0 * _unbalanced(events, a, e)
-            if e - a < 3 or not any(c.isalnum() for c in text[a : min(e, a + 60)]):
+            if e - a < 3 or not _ALNUM.search(text, a, min(e, a + 60)):
                 s -= 4.0
             if s > best[j]:
                 best[j], back[j] = s, i
