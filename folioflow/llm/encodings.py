@@ -220,31 +220,35 @@ def _viterbi(model: CleanModel, cps: list[np.ndarray]) -> list[np.ndarray]:
     whole = np.concatenate([np.append(c, _SEPARATOR) for c in cps])
     before = np.concatenate([[_SEPARATOR], whole[:-1]])
     before2 = np.concatenate([[_SEPARATOR], before[:-1]])
-    # far from wide characters all states emit alike and nothing is decided: left out
+    # far from wide characters all states emit alike and nothing is decided: left out, but for
+    # the two characters before, which the next ones are scored by
     wide = whole >= 128
     near = wide.copy()
     near[1:] |= wide[:-1]
     near[2:] |= wide[:-2]
-    kept = np.flatnonzero(near)
+    around = near.copy()
+    around[:-1] |= near[1:]
+    around[:-2] |= near[2:]
+    kept = np.flatnonzero(around)
+    counts = near[kept]
     flat, n, S = whole[kept], len(kept), len(STATES)
     emit = np.full((n, S), NEVER)
-    emit[:, 0] = model.score(before2[kept], before[kept], flat)
+    emit[:, 0] = np.where(counts, model.score(before2[kept], before[kept], flat), 0.0)
     emit[flat == LOST, 0] = NEVER
     odd = flat >= 128
-    here = np.arange(len(whole))
+    here = np.arange(n)
     for s, inv in enumerate(inverses(), 1):
-        start, value, valid = inv.units(whole)
-        ok = valid[kept]
+        start, value, ok = inv.units(flat)
         if not (ok & odd).any():
             continue
         prev = np.concatenate([[_SEPARATOR], value[:-1]])
         opened = np.maximum.accumulate(np.where(start, here, 0))  # where the unit of a position starts
         prev2 = np.concatenate([[_SEPARATOR], prev[opened[:-1]]])
-        asked = np.flatnonzero(ok)
-        at = kept[asked]
-        emit[asked, s] = np.where(start[at], model.score(prev2[at], prev[at], value[at]), 0.0)
+        at = np.flatnonzero(ok & counts & start)
+        emit[ok, s] = 0.0
+        emit[at, s] = model.score(prev2[at], prev[at], value[at])
     emit[flat == LOST, S - 1] = -3.0
-    emit[flat < 128, S - 1] = emit[flat < 128, 0] - 1.0
+    emit[~odd, S - 1] = np.where(counts[~odd], emit[~odd, 0] - 1.0, 0.0)
     ends = np.cumsum([len(c) + 1 for c in cps])
     owner = np.searchsorted(ends, kept, side="right")
     lengths = np.bincount(owner, minlength=len(cps))

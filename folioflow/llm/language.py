@@ -16,7 +16,6 @@ Defined results: null and blank texts, and texts without letters, have no segmen
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -201,22 +200,27 @@ def segments(model: Centroids, texts: list[str | None]) -> list[list[tuple[int,
         size = np.array([x[2] for x in found])
         rejected = (s.max(axis=1) < model.least[best]) | (size < SHORT)
         weight = np.where(rejected, 0.1, 1.0) * np.minimum(1.5, np.sqrt(size / 20.0))
-        gain = s * weight[:, None] * 8.0
-        score, back = gain[0].copy(), []
-        for j in range(1, n):
-            top = int(score.argmax())
-            move = score[top] - CHANGE
-            back.append(np.where(score >= move, np.arange(len(score)), top))
-            score = np.maximum(score, move) + gain[j]
-        path = [int(score.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        path.reverse()
+        if (best == best[0]).all():
+            path = best
+        else:
+            gain = s * weight[:, None] * 8.0
+            score, back = gain[0].copy(), []
+            for j in range(1, n):
+                top = int(score.argmax())
+                move = score[top] - CHANGE
+                back.append(np.where(score >= move, np.arange(len(score)), top))
+                score = np.maximum(score, move) + gain[j]
+            at_end = [int(score.argmax())]
+            for step in reversed(back):
+                at_end.append(int(step[at_end[-1]]))
+            path = np.array(at_end[::-1])
+        rows = np.arange(n)
+        own = s[rows, path]
+        s[rows, path] = -1.0
+        margin = own - np.maximum(0.0, s.max(axis=1))
+        confs = 1.0 / (1.0 + np.exp(-12.0 * margin)) * np.where(weight > 0.2, 1.0, 0.8)
         res: list[list] = []
-        for (a, b, _), lang, row, w in zip(found, path, s, weight, strict=True):
-            own, row[lang] = float(row[lang]), -1.0
-            others = max(0.0, float(row.max()))
-            conf = 1.0 / (1.0 + math.exp(-12.0 * (own - others))) * (1.0 if w > 0.2 else 0.8)
+        for (a, b, _), lang, conf in zip(found, path.tolist(), confs.tolist(), strict=True):
             name = model.languages[lang]
             if res and res[-1][2] == name:
                 res[-1][1] = b

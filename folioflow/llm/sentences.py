@@ -207,6 +207,12 @@ def sentence_ends(text: str | None) -> list[int]:
     ends = [e for e, _, _ in places] + [last]
     nexts = [start] + [n for _, n, _ in places]
     edge = [_boundary(text, e, n, k, cased) for e, n, k in places] + [0.0]
+    if not events:  # nothing but the boundaries counts: the best path takes every good one
+        good = [i for i, g in enumerate(edge[:-1]) if g > 0]
+        taken = [ends[i] for i in good] + [last]
+        starts = [start] + [nexts[i + 1] for i in good]
+        if all(e - a >= 3 and _ALNUM.search(text, a, min(e, a + 60)) for a, e in zip(starts, taken, strict=True)):
+            return taken
     best = [float("-inf")] * (len(ends) + 1)
     best[0] = 0.0
     back = [0] * (len(ends) + 1)
