@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.llm import p1, p2, p3, p4, p5, p7, p8, p9
+from folioflow.llm import p1, p2, p3, p4, p5, p7, p8, p9, p10
 
-MODULES = (p1, p2, p3, p4, p5, p7, p8, p9)
+MODULES = (p1, p2, p3, p4, p5, p7, p8, p9, p10)
 
 
 def queries() -> dict:
