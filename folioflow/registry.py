@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import dates
+from folioflow.plans import dates, prose, revisions
 
 FLAGSHIP = "p6_found"
-MODULES = (dates,)
+MODULES = (dates, prose, revisions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
