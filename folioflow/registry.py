@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import dates, prose, revisions
+from folioflow.plans import dates, prose, review, revisions, versions
 
-FLAGSHIP = "p6_found"
-MODULES = (dates, prose, revisions)
+FLAGSHIP = "aligned_counts"
+MODULES = (dates, prose, revisions, review, versions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
