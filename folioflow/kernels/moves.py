@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
 from folioflow.config import MoveSettings, PassageSettings
-from folioflow.kernels.lines import line_pairs, move_key, move_score, similarity_tokens, token_sort
+from folioflow.kernels.lines import MEASURES, line_pairs, move_key, move_score, similarity_tokens
 from folioflow.kernels.words import TOKEN, WORD, comments_only, describe, quote, word_diff, word_ops
 
 
@@ -51,7 +51,7 @@ def _long_enough(text: str, s: PassageSettings) -> bool:
 
 def plain_rows(old: list[str], new: list[str], moves: MoveSettings, ignore_whitespace: bool = False) -> list[Row]:
     rows = []
-    for tag, i, j in line_pairs(old, new, moves.similarity, ignore_whitespace):
+    for tag, i, j in line_pairs(old, new, moves.similarity, ignore_whitespace, moves.algorithm):
         row = Row(tag, i, j)
         if tag == "replace":
             d = word_diff(old[i], new[j])
@@ -137,7 +137,7 @@ def _window(short: list, long: list) -> tuple[int, int]:
     return max(0, at - n // 2), min(len(long), at + n + n // 2)
 
 
-def passage_match(x: str, y: str, least: float, s: PassageSettings) -> tuple[float, int, int, int, int] | None:
+def passage_match(x: str, y: str, least: float, s: PassageSettings, algorithm: str = "token-sort") -> tuple[float, int, int, int, int] | None:
     """(score, ranges of characters on both sides) of the best common passage of two."""
     a, b = _tokens(x), _tokens(y)
     common = sum((Counter(t for t, *_ in a) & Counter(t for t, *_ in b)).values())
@@ -160,7 +160,7 @@ def passage_match(x: str, y: str, least: float, s: PassageSettings) -> tuple[flo
             continue
         if sum((_content(p, s.content_letters) & _content(q, s.content_letters)).values()) < s.shared_words:
             continue
-        score = 1.0 if " ".join(p.split()) == " ".join(q.split()) else token_sort(similarity_tokens(p), similarity_tokens(q))
+        score = 1.0 if " ".join(p.split()) == " ".join(q.split()) else MEASURES[algorithm](similarity_tokens(p), similarity_tokens(q))
         if score >= least - 1e-9 and (best is None or (score, *c) > best):
             best = (score, *c)
     return best
@@ -224,9 +224,9 @@ def mark_moves(rows: list[Row], old: list[str], new: list[str], moves: MoveSetti
             tried.add((p, q))
             if p.row == q.row and p.first <= q.last and q.first <= p.last:
                 continue  # an edit in place is no move
-            if p.line and q.line and rows[p.row].kind == "delete" and rows[q.row].kind == "insert" and (sc := move_score(old[rows[p.row].i], new[rows[q.row].j], moves.similarity)) > 0:
+            if p.line and q.line and rows[p.row].kind == "delete" and rows[q.row].kind == "insert" and (sc := move_score(old[rows[p.row].i], new[rows[q.row].j], moves.similarity, moves.algorithm)) > 0:
                 ranked.append(((0, -sc, p.row, q.row), p, q, None))
-            elif with_passages and (m := passage_match(text(p), text(q), moves.similarity, settings)):
+            elif with_passages and (m := passage_match(text(p), text(q), moves.similarity, settings, moves.algorithm)):
                 ranked.append(((1, -m[0], p.row, p.start, q.row, q.start), p, q, m))
         ranked.sort(key=lambda x: x[0])
         used: set[Passage] = set()

@@ -14,7 +14,7 @@ from functools import lru_cache
 
 TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 WORD = re.compile(r"\w+")
-PLACEHOLDERS = re.compile("[-]+")
+PLACEHOLDERS = re.compile("[\ue000-\uf8ff]+")
 
 Op = tuple[str, int, int, int, int]
 

@@ -78,7 +78,7 @@ def mutual_best(pairs: DataFrame, group: str, rounds: int = 50) -> DataFrame:
         order = [F.desc("score"), "i", "j"]
         r = left.withColumn("_a", F.row_number().over(W.partitionBy(group, "i").orderBy(*order))).withColumn("_b", F.row_number().over(W.partitionBy(group, "j").orderBy(*order)))
         best = cut_lineage(r.where("_a = 1 and _b = 1").drop("_a", "_b"))
-        taken = best if taken is None else taken.union(best)
+        taken = best if taken is None else taken.unionByName(best)
         left = cut_lineage(left.join(best.select(group, "i"), [group, "i"], "left_anti").join(best.select(group, "j"), [group, "j"], "left_anti"))
         if left.limit(1).count() == 0:
             break

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import dates, prose, review, revisions, versions
+from folioflow.plans import dates, marks, prose, review, revisions, versions
 
 FLAGSHIP = "aligned_counts"
-MODULES = (dates, prose, revisions, review, versions)
+MODULES = (dates, prose, revisions, review, versions, marks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
