@@ -130,15 +130,6 @@ def is_binary(content: Column) -> Column:
     return F.instr(F.decode(F.substring(content, 1, 8000), "ISO-8859-1"), "\x00") > 0
 
 
-def token_sort_similarity(a: Column, b: Column) -> Column:
-    """Twice the shared tokens (as multisets) over all tokens; 1 for two empty texts.
-
-    ``a`` and ``b`` are maps from token to count."""
-    shared = F.aggregate(F.map_entries(a), F.lit(0).cast("bigint"), lambda s, e: s + F.least(e["value"], F.coalesce(F.try_element_at(b, e["key"]), F.lit(0).cast("bigint"))))
-    total = sum((F.aggregate(F.map_values(m), F.lit(0).cast("bigint"), lambda s, v: s + v) for m in (a, b)), F.lit(0).cast("bigint"))
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * shared / total)
-
-
 def ordered_similarity(a: Column, b: Column) -> Column:
     """2 LCS / (n + m) over token arrays, as one nested fold (for short lines)."""
     start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))

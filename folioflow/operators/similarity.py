@@ -4,47 +4,48 @@ Two lines' token-sort similarity is twice their shared tokens (as multisets) ove
 tokens. A pair at threshold ``t`` shares a token among the rarest of either side: of ``n``
 tokens those beyond the ``ceil(t n / (2 - t))`` that must be shared. Only those are joined
 (prefix filter, no pair is lost), lengths out of reach are dropped, and the candidates'
-scores come from token-count maps, all in the JVM.
+scores come from hashed intersections of numbered tokens, all in the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from folioflow.functions.text import similarity_tokens, token_sort_similarity
+from folioflow.functions.text import similarity_tokens
 
 TOLERANCE = 1e-9
 
 
-def token_maps(lines: DataFrame, keys: list[str], text: str = "line") -> DataFrame:
-    """``keys, n, counts map<token,bigint>`` of each line; lines without tokens have an empty map."""
-    t = lines.withColumn("_t", similarity_tokens(F.col(text)))
-    distinct = F.array_distinct("_t")
-    counts = F.map_from_arrays(distinct, F.transform(distinct, lambda x: F.size(F.filter("_t", lambda y: y == x)).cast("bigint")))
-    return t.select(*keys, F.size("_t").cast("bigint").alias("n"), counts.alias("counts"))
+def token_counts(lines: DataFrame, keys: list[str], text: str = "line") -> DataFrame:
+    """``keys, token, c``: how often each token occurs in each line."""
+    return lines.select(*keys, F.explode(similarity_tokens(F.col(text))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("c"))
 
 
 def similar_lines(old: DataFrame, new: DataFrame, group: str, threshold: float) -> DataFrame:
     """``old(group, i, line)`` and ``new(group, j, line)`` → ``(group, i, j, score)`` of the pairs
-    within a group at or over the threshold."""
-    a = token_maps(old, [group, "i"])
-    b = token_maps(new, [group, "j"])
-    every = a.select(group, F.explode(F.map_keys("counts")).alias("token")).union(b.select(group, F.explode(F.map_keys("counts")).alias("token")))
-    rarity = every.groupBy(group, "token").agg(F.count("*").alias("df"))
+    within a group at or over the threshold. Lines without tokens are in no pair."""
+    a, b = token_counts(old, [group, "i"]), token_counts(new, [group, "j"])
+    rarity = a.select(group, "token").union(b.select(group, "token")).groupBy(group, "token").agg(F.count("*").alias("df"))
 
     def prefix(side: DataFrame, key: str) -> DataFrame:
-        e = side.where("n > 0").select(group, key, "n", F.explode("counts").alias("token", "c")).join(rarity, [group, "token"])
+        line = W.partitionBy(group, key)
+        e = side.join(rarity, [group, "token"]).withColumn("n", F.sum("c").over(line))
+        before = F.coalesce(F.sum("c").over(line.orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         need = F.ceil(F.lit(threshold) * F.col("n") / (2 - threshold) - TOLERANCE)
-        ordered = e.groupBy(group, key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token", "c"))).alias("o"))
-        before = F.aggregate(F.slice(F.col("o"), 1, F.col("_k")), F.lit(0).cast("bigint"), lambda s, x: s + x["c"])
-        out = ordered.select(group, key, "n", "o", F.posexplode("o").alias("_k", "x")).withColumn("_before", before)
-        return out.where(F.col("_before") < F.col("n") - need + 1).select(group, F.col("x.token").alias("token"), key, F.col("n").alias(f"n_{key}"))
+        return e.withColumn("_before", before).where(F.col("_before") < F.col("n") - need + 1).select(group, "token", key, F.col("n").alias(f"n_{key}"))
 
     cand = prefix(a, "i").join(prefix(b, "j"), [group, "token"])
     lo, hi = F.least("n_i", "n_j"), F.greatest("n_i", "n_j")
-    cand = cand.where(lo >= F.lit(threshold) * hi / (2 - threshold) - TOLERANCE).select(group, "i", "j").distinct()
-    scored = cand.join(a.select(group, "i", F.col("counts").alias("ca")), [group, "i"]).join(b.select(group, "j", F.col("counts").alias("cb")), [group, "j"])
-    return scored.withColumn("score", token_sort_similarity(F.col("ca"), F.col("cb"))).where(F.col("score") >= threshold - TOLERANCE).select(group, "i", "j", "score")
+    cand = cand.where(lo >= F.lit(threshold) * hi / (2 - threshold) - TOLERANCE).select(group, "i", "j", "n_i", "n_j").distinct()
+
+    def numbered(side: DataFrame, key: str, name: str) -> DataFrame:
+        """Each line's tokens with the number of the copy, so that sets stand for multisets."""
+        copies = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("c")), lambda k: F.concat("token", F.lit("\x01"), k.cast("string")))
+        return side.groupBy(group, key).agg(F.flatten(F.collect_list(copies)).alias(name))
+
+    scored = cand.join(numbered(a, "i", "ta"), [group, "i"]).join(numbered(b, "j", "tb"), [group, "j"])
+    scored = scored.withColumn("score", 2.0 * F.size(F.array_intersect("ta", "tb")) / (F.col("n_i") + F.col("n_j")))
+    return scored.where(F.col("score") >= threshold - TOLERANCE).select(group, "i", "j", "score")
 
 
 def rare_word_candidates(old: DataFrame, new: DataFrame, group: str, rare_min: int = 20, rare_share: float = 0.01, most: int = 250_000) -> DataFrame:
@@ -53,8 +54,6 @@ def rare_word_candidates(old: DataFrame, new: DataFrame, group: str, rare_min: i
     ``old(group, i, words)`` and ``new(group, j, words)`` hold each passage's words; a word is
     rare if at most ``max(rare_min, rare_share * passages)`` passages of the group have it. The
     cut is part of the operator: ties fall by ``(shared desc, i, j)``."""
-    from pyspark.sql import Window as W
-
     a = old.select(group, "i", F.explode(F.array_distinct("words")).alias("word"))
     b = new.select(group, "j", F.explode(F.array_distinct("words")).alias("word"))
     passages = old.groupBy(group).agg(F.count("*").alias("n")).union(new.groupBy(group).agg(F.count("*").alias("n"))).groupBy(group).agg(F.sum("n").alias("n"))
@@ -68,8 +67,6 @@ def rare_word_candidates(old: DataFrame, new: DataFrame, group: str, rare_min: i
 def mutual_best(pairs: DataFrame, group: str, rounds: int = 50) -> DataFrame:
     """One-to-one matching by falling score, ties by ``(i, j)``: the greedy matching, reached by
     taking pairs that are best for both their sides until none are left."""
-    from pyspark.sql import Window as W
-
     from folioflow.session import cut_lineage
 
     left = cut_lineage(pairs)
