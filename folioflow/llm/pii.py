@@ -9,8 +9,8 @@ that neighbour alone, each distinct token's scores are summed once and then only
 Where the outside label leads by more than transitions can ever make up, it is certain, so
 paths are only searched between such places; that loses nothing.
 
-An exact check follows: a phone or identity number needs enough digits, a name a capital or
-an ideograph. Defined results: null and empty texts hold nothing; each different particular
+An exact check follows: a phone or identity number needs enough digits, a name two parts with a
+capital or ideographs, and it ends with its sentence. Defined results: null and empty texts hold nothing; each different particular
 of a text comes out once; in the redacted text all places are replaced.
 """
 
@@ -32,6 +32,7 @@ LABELS = ["O", *(f"{p}-{t}" for t in TYPES for p in "BI")]
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3)
 SCALE = {0: 1.0, 1: 0.6, 2: 0.4, 3: 0.25, 4: 0.25}  # a token's own features lead its neighbours'
+_PARTICLES = re.compile(r"(?<![A-Za-zÀ-ɏ])((?:van der|van|von|de) )$")
 CHUNK = 300_000  # characters handled at a time
 _CJK = "぀-ヿ㐀-鿿豈-﫿々"
 _LOCAL = "A-Za-z0-9À-ɏ"
@@ -57,7 +58,7 @@ def tokenize(text: str) -> tuple[list[str], list[tuple[int, int]]]:
                 a, s = a + 1, s[1:]
             i = re.search(r"\d", s).start()
             head = s[i : i + 2]
-            s = "#" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s[:i]) + re.sub(r"[1-9]", "9", head) + re.sub(r"\d", "9", s[i + 2 :])).replace(" ", " ")
+            s = "#" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s[:i]) + (re.sub(r"[1-9]", "9", head) if head[0] == "0" else re.sub(r"\d", "9", head)) + re.sub(r"\d", "9", s[i + 2 :])).replace(" ", " ")
         elif kind in ("CODE", "SPACED"):
             s = "%" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s))
         elif kind == "HOUSE":
@@ -220,9 +221,11 @@ def plain_sentences(samples: list[tuple[str | None, str]], each: int = PLAIN_EAC
                     keys = tokenize(s)[0]
                     if 3 <= len(keys) <= 40 and all((k[0] == "#" and sum(map(str.isdigit, k)) <= 4) or (k[0] not in "<%#" and seen[k] >= least) for k in keys):
                         kept[s] = None
-            if len(kept) >= each:
+            if len(kept) >= 20 * each:
                 break
-        out += list(kept)[:each]
+        # spread over the documents; scripts written a character at a time need more
+        most = each * (2 if lang in ("ja", "zh") else 1)
+        out += random.Random(7).sample(sorted(kept), min(most, len(kept)))
     return out or PLAIN
 
 
@@ -303,12 +306,26 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, pla
     return Field(index, (w * scale).astype(np.float32), np.where(banned, -1e4, t))
 
 
+def _name_bounds(text: str, a: int, b: int) -> tuple[int, int]:
+    """A name stops at a full stop that ends no initial, and surname first it takes
+    the particle before it."""
+    for m in re.finditer(r"[.!?。！？]", text[a:b]):
+        if not re.search(r"(?:^|[\s.])\w$", text[a : a + m.start()]):
+            b = a + m.start()
+            break
+    m = _PARTICLES.search(text[max(0, a - 16) : a]) if "," in text[a:b] else None
+    return (a - len(m.group(1)) if m else a), b
+
+
 def _sound(kind: str, s: str) -> bool:
     if kind in ("phone", "id_number"):
         return sum(map(str.isdigit, s)) >= 6
     if kind == "email":
         return bool(re.search(r"@|at", s))
-    return any(c.isupper() or "぀" <= c <= "鿿" for c in s) if kind == "name" else len(s) > 5
+    if kind == "address":
+        return len(s) > 5
+    han = sum("぀" <= c <= "鿿" for c in s)
+    return 2 <= len(s) <= 12 if han else " " in s and any(c.isupper() for c in s)
 
 
 def find(field: Field, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
@@ -345,6 +362,8 @@ def find(field: Field, texts: list[str | None]) -> list[list[tuple[int, int, str
                     b -= 1
                 while a < b and not texts[i][a].isalnum() and texts[i][a] not in "+(":
                     a += 1
+                if kind == "name":
+                    a, b = _name_bounds(texts[i], a, b)
                 if kind in ("name", "address"):
                     while a < b and not texts[i][a].isalnum():
                         a += 1

@@ -38,7 +38,7 @@ no|The committee restored the caption of figure {V} in the second draft.|A later
 ADDRESSES = {
     "en": ["{n} {P} {S}, {T}", "{n} {P} Blvd, Apt {a}, {T} {z}", "Flat {a}, {n} {P} Row, {T} {q}", "{n} {P} {S}, {T} {q}"],
     "de": ["{D} {n}, {z} {T}", "{D} {n}{l}, {T}", "{D} {n}, {T}"],
-    "fr": ["{n} bis avenue {F}, {T}", "{n}, rue {F}, {z} {T}", "{n} rue {F}, {T}"],
+    "fr": ["{a} bis avenue {F}, {T}", "{n} bis avenue {F}, {T}", "{a} bis rue {F}, {T}", "{n}, rue {F}, {z} {T}", "{n} rue {F}, {T}"],
     "es": ["Calle {G}, {a}, {m}.º B, {z} {T}", "Calle {G}, {n}, {m}.º A, {z} {T}", "Calle {H}, {a}, {m}.º C, {z} {T}", "C/ {G} {n}, {T}", "Avenida {G} {n}, {z} {T}"],
     "it": ["P.zza {G}, {n}, {T}", "Via {H} {n}, {z} {T}", "Piazza {H} {n}, {T}", "Via {H} {n}, {T}"],
     "pt": ["Av. {H} {n}, {T}", "Av. {H} {n}, {z} {T}", "Rua {F2}, {n}, {z} {T}", "Rua {F2} {n}, {T}"],
@@ -50,8 +50,8 @@ KINDS = "Ave. Street Lane Close Road Avenue Row Way Terrace".split()
 STREETS = "Kirchplatz Lindenweg Hafengasse Mühlenstraße Uferstr. Am_Alten_Deich An_der_Brücke Gartenstraße Hauptstr. Bahnhofstraße Marktplatz Seeweg".split()
 TOWNS = [a + b for a in ("Esper", "Tarn", "Monte", "Valmer", "Lis", "Quell", "Brack", "Orven", "Har", "Win") for b in ("heim", "ona", "stad", "mouth", "wick", "ford", "lara", "ine", "ton")]
 GIVEN = "Xenia Kenji Hanako Sigrid Petra Emre Rashid Nikhil Goran Tomasz Carmela Beatriz Claudine Vesna Fatou Amina Bjarne Oluwaseun Jadwiga Ingeborg Ulrike Wanjiru Leila Adaeze Dagmar Anders Mateus Zofia Zoë Søren Łucja André Renée Günther Johannes Maria Thomas Laura Peter Anna Paul Julia Marco Elena David Sarah Jan Matthias Aleksandra Giovanni Gabriela Susanna Dorothea Josefina Wilhelmina Katharina Mónica Nikolaus Alexander Antonio Francisco Margarethe Frederik Michael Isabella Benjamin Elizabeth Lawrence Sebastian Roberta Jörg Christopher Magdalena Theodora Eleonora Guillaume Quentin".split()
-CYRILLIC = ["Дарья", "Игнат", "Борис", "Богдан", "Ганна", "Левко", "Зоряна", "Егор", "Иван", "Мария", "Олег", "Анна"]
-CYRILLIC_LAST = ["Жар", "Крел", "Бард", "Востр", "Пет", "Сидор", "Лук", "Мельн", "Гром"]
+CYRILLIC = ["Дарья", "Игнат", "Борис", "Богдан", "Ганна", "Левко", "Зоряна", "Егор", "Иван", "Мария", "Олег", "Анна", "Глеб", "Вера", "Зоя", "Тарас", "Остап", "Нина"]
+CYRILLIC_LAST = ["Жар", "Крел", "Бард", "Востр", "Пет", "Сидор", "Лук", "Мельн", "Гром", "Десян", "Гумен", "Жармат", "Крелов", "Востров"]
 HAN, HAN_GIVEN = "鹿郁封谷闻薄榎霧楓王李张刘陈杨赵黄周吴徐孙马朱胡", ["景澜", "若帆", "知遥", "书棠", "明远", "子涵", "建国", "丽华", "思源"]
 JA_LAST, JA_GIVEN = ["榎ノ瀬", "楓浜崎", "楓ノ瀬", "霧乃原", "薄乃原", "霧浜崎", "薄ヶ沢", "田中", "佐々木", "山本", "小林"], ["冬馬", "千洋", "航介", "澄江", "花子", "太郎", "由美", "健"]
 
@@ -66,24 +66,24 @@ def _surname(r: random.Random) -> str:
 
 
 def name(r: random.Random, lang: str) -> str:
-    if lang in ("ru", "uk") and r.random() < 0.6 or lang == "xx" and r.random() < 0.08:
-        return f"{r.choice(CYRILLIC)} {r.choice(CYRILLIC_LAST)}{r.choice(['ич', 'енко', 'ун', 'ов', 'ейчук', 'атич', 'атенко'])}"
-    if lang == "zh" and r.random() < 0.6 or lang == "xx" and r.random() < 0.08:
+    if lang in ("ru", "uk") and r.random() < 0.6 or lang == "xx" and r.random() < 0.11:
+        return f"{r.choice(CYRILLIC)} {r.choice(CYRILLIC_LAST)}{r.choice(['ич', 'енко', 'ун', 'ов', 'ейчук', 'атич', 'атенко', 'як', 'чук', 'ко', 'ский', 'ин'])}"
+    if lang == "zh" and r.random() < 0.6 or lang == "xx" and r.random() < 0.11:
         return r.choice(HAN) + r.choice(HAN_GIVEN)
-    if lang == "ja" and r.random() < 0.6 or lang == "xx" and r.random() < 0.08:
+    if lang == "ja" and r.random() < 0.6 or lang == "xx" and r.random() < 0.11:
         return f"{r.choice(JA_LAST)} {r.choice(JA_GIVEN)}"
     g, s = r.choice(GIVEN), _surname(r)
     if r.random() < 0.15:
         s += "-" + _surname(r)
-    if r.random() < 0.18:
+    if r.random() < 0.25:
         s = r.choice(["von", "de", "van der", "van"]) + " " + s
     kind = r.random()
-    if kind < 0.55:
+    if kind < 0.5:
         return f"{g} {s}"
-    if kind < 0.68:
-        return f"{g} {r.choice('ABEHKMT')}. {s}"
+    if kind < 0.62:
+        return f"{g} {r.choice('ABEHKMTJLR')}. {s}"
     if kind < 0.76:
-        return f"{g[0]}. {s}"
+        return f"{r.choice('ABCDEFGHIJKLMNOPQRSTUVWZ')}. {s}"
     if kind < 0.88:
         return f"{s}, {g}"
     return f"{g} {s}".upper()
