@@ -151,3 +151,21 @@ def test_documents():
         assert to_markdown(read(data)) == "\n\n".join(b.text for b in read(data).blocks)
     with pytest.raises(DocumentError):
         read_docx(b"no zip")
+
+
+def test_more_prose(tmp_path):
+    from folioflow.sources.saved import ChangedError, free_name, load, save
+
+    a, b = K.without_shared_comments(["x  y", ""], ["x  y"], {""})
+    assert (a, b) == (["x y"], ["x  y"])
+    assert K.without_shared_comments([""], ["a"], set(), True) == ([], ["a"])
+    assert K.critic("ab", [("Ann", "why"), ("", "x")], {1: "new"}) == "a{>>Ann: why<<}b{++{>>x<<}++}"
+    assert K.styled("a<b", [(0, 2, "bold"), (1, 2, "em")]) == '<span class="bold">a</span><span class="bold em">&lt;</span>b'
+    assert K.format_changes([], [(0, 3, "bold")], "one two") == ['made "one" bold']
+    assert K.aligned_characters("abc", "xbc") == [None, 1, 2]
+    assert K.heading_numbers([2, 3, 3, 2, 4]) == ["1.", "1.1.", "1.2.", "2.", "2.0.1."]
+    save(tmp_path / "s.json", [{"kind": "value", "old": 1}], {"a": "text"})
+    assert load(tmp_path / "s.json", {"a": "text"}, {"kind"}) == [{"kind": "value"}]
+    with pytest.raises(ChangedError):
+        load(tmp_path / "s.json", {"a": "other"})
+    assert free_name(tmp_path / "s.json").name == "s (2).json"
