@@ -39,10 +39,11 @@ def diff_rows(pairs: DataFrame, options: Options | None = None) -> DataFrame:
             rows = []
             for pair, old, new in zip(b["pair_id"], b["old"], b["new"], strict=True):
                 old, new = list(old), list(new)
+                compared = compare(old, new, moves, settings, options.move_passages, options.ignore_whitespace)
                 plain = {}
-                if options.move_passages:
+                if any(r.out_spans for r in compared):  # what the counts are as if no passage had moved
                     plain = {(r.i, r.j): r for r in compare(old, new, moves, settings, False, options.ignore_whitespace)}
-                for n, r in enumerate(compare(old, new, moves, settings, options.move_passages, options.ignore_whitespace)):
+                for n, r in enumerate(compared):
                     p = plain.get((r.i, r.j), r)
                     left, right = None if r.i is None else old[r.i], None if r.j is None else new[r.j]
                     rows.append((

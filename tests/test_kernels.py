@@ -156,10 +156,10 @@ def test_documents():
 def test_more_prose(tmp_path):
     from folioflow.sources.saved import ChangedError, free_name, load, save
 
-    a, b = K.without_shared_comments(["x  y", ""], ["x  y"], {""})
-    assert (a, b) == (["x y"], ["x  y"])
-    assert K.without_shared_comments([""], ["a"], set(), True) == ([], ["a"])
-    assert K.critic("ab", [("Ann", "why"), ("", "x")], {1: "new"}) == "a{>>Ann: why<<}b{++{>>x<<}++}"
+    a, b = K.without_shared_comments(["x \ue000 y", "\ue000"], ["x \ue001 y"], {"\ue000"})
+    assert (a, b) == (["x y"], ["x \ue001 y"])
+    assert K.without_shared_comments(["\ue001"], ["a"], set(), True) == ([], ["a"])
+    assert K.critic("a\ue000b\ue001", [("Ann", "why"), ("", "x")], {1: "new"}) == "a{>>Ann: why<<}b{++{>>x<<}++}"
     assert K.styled("a<b", [(0, 2, "bold"), (1, 2, "em")]) == '<span class="bold">a</span><span class="bold em">&lt;</span>b'
     assert K.format_changes([], [(0, 3, "bold")], "one two") == ['made "one" bold']
     assert K.aligned_characters("abc", "xbc") == [None, 1, 2]
