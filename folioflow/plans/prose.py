@@ -133,10 +133,9 @@ def sentence_labels(spark, sf):
 
 
 def natural_order(spark, sf):
-    """Paths in an order where 2 comes before 10."""
+    """Keys that sort paths so that 2 comes before 10."""
     parts = F.transform(F.regexp_extract_all("path", F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(F.lower(p)))
-    d = table(spark, sf, "doc_files").select("file_id", "path", F.concat_ws("", parts).alias("k"))
-    return d.select("file_id", big(F.row_number().over(W.orderBy("k", "path"))).alias("place"))
+    return table(spark, sf, "doc_files").select("file_id", F.concat_ws("", parts).alias("sort_key"))
 
 
 def file_suffixes(spark, sf):
@@ -195,8 +194,7 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(text) <= 400 THEN text
     "footnote_refs": f"WITH {LINES_SQL}, r AS (SELECT doc_id, idx, regexp_extract_all(line, '\\[\\^([^\\]\\s]+)\\]', 1) AS l FROM lines WHERE NOT regexp_matches(line, '^\\[\\^([^\\]\\s]+)\\]:[ \\t]*(.*)$')), u AS (SELECT doc_id, idx, unnest(range(len(l))) AS pos, unnest(l) AS label FROM r), g AS (SELECT doc_id, label, count(*) AS n, min(idx * 1000000 + pos) AS first FROM u GROUP BY ALL) SELECT doc_id, label, n, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS number FROM g",
     "simple_sentences": f"WITH {LINES_SQL} {SENTENCES_SQL} SELECT * FROM sentences",
     "sentence_labels": f"WITH {LINES_SQL} {SENTENCES_SQL} SELECT doc_id, idx, pos, CAST(idx + 1 AS VARCHAR) || CASE WHEN count(*) OVER (PARTITION BY doc_id, idx) > 1 THEN '.' || row_number() OVER (PARTITION BY doc_id, idx ORDER BY pos) ELSE '' END AS label FROM sentences",
-    "natural_order": r"""WITH k AS (SELECT file_id, path, array_to_string(list_transform(regexp_extract_all(path, '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(p, 12, '0') ELSE lower(p) END), '') AS k FROM doc_files)
-SELECT file_id, row_number() OVER (ORDER BY k, path) AS place FROM k""",
+    "natural_order": r"""SELECT file_id, array_to_string(list_transform(regexp_extract_all(path, '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(p, 12, '0') ELSE lower(p) END), '') AS sort_key FROM doc_files""",
     "file_suffixes": r"SELECT file_id, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS suffix FROM doc_files",
     "include_globs": "SELECT file_id, path FROM doc_files WHERE lower(path) LIKE '%.docx' OR lower(path) LIKE '%/review/%.md' OR regexp_matches(lower(path), '(^|/)appendix_.\\.[^/]*$')",
     "path_filter": "SELECT file_id, path FROM doc_files WHERE path = 'harbour-handbook/review' OR starts_with(path, 'harbour-handbook/review/') OR path = 'proj-0003' OR starts_with(path, 'proj-0003/')",
