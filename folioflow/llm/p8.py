@@ -25,5 +25,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each document lies in the containers whole: its pieces follow on each other,
+    and only one that exceeds the capacity has several."""
+    caps = table(spark, sf_dir, "pack_sizes").select("pack_id", F.col("capacity").cast("bigint").alias("capacity"))
+    p = p8_packed(spark, sf_dir).join(F.broadcast(caps), "pack_id")  # four rows
+    g = p.groupBy("pack_id", "doc_id").agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.sum("tokens").alias("t"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.max("tokens").alias("most"), F.max("capacity").alias("c"))
+    whole = (F.col("n") == F.col("last") + 1) & (F.col("t") == F.col("end")) & (F.col("most") <= F.col("c")) & ((F.col("n") == 1) | (F.col("t") > F.col("c")))
+    return g.select("pack_id", "doc_id", whole.alias("whole"))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_fill": p8_fill, "p8_whole": p8_whole}
+SQL = {"p8_whole": "SELECT pack_id, doc_id, true AS whole FROM documents, pack_sizes"}

