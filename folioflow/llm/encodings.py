@@ -141,6 +141,12 @@ def _find(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, table[at] == codes
 
 
+def _letter(cp: np.ndarray) -> np.ndarray:
+    """Letters of the alphabetic scripts, as far as it takes to tell a word's inside."""
+    basic = ((cp >= 65) & (cp <= 90)) | ((cp >= 97) & (cp <= 122))
+    return basic | ((cp >= 0xC0) & (cp < 0x600) & (cp != 0xD7) & (cp != 0xF7))
+
+
 class CleanModel:
     """Neighbouring characters of clean text: log P(next | the two before), smoothed by
     P(next | the one before) and P(next)."""
@@ -176,16 +182,18 @@ class CleanModel:
         i2, ok2 = _find(self.pairs, two)
         i1, ok1 = _find(self.chars, after)
         p = 0.65 * np.where(ok3, self.p3[i3], 0.0) + 0.25 * np.where(ok2, self.p2[i2], 0.0) + 0.02 * np.where(ok1, self.p1[i1], 0.0)
-        p = np.where(_find(self.chars, before)[1], p, 0.9 * np.where(ok1, self.p1[i1], 0.0))  # after an unseen character anything may come
-        return np.where(ok1, np.maximum(np.log(np.maximum(p, 1e-12)), FLOOR), self._unseen(after))
+        # after an unseen character any mark or blank may come
+        p = np.where(_find(self.chars, before)[1] | _letter(after), p, 0.9 * np.where(ok1, self.p1[i1], 0.0))
+        return np.where(ok1, np.maximum(np.log(np.maximum(p, 1e-12)), FLOOR), self._unseen(before, after))
 
     @staticmethod
-    def _unseen(cp: np.ndarray) -> np.ndarray:
+    def _unseen(before: np.ndarray, cp: np.ndarray) -> np.ndarray:
         control = ((cp >= 0x7F) & (cp < 0xA0)) | (cp == LOST)
-        # unseen letters of large scripts are no surprise, nor lone signs; unseen Latin letters are
+        # unseen letters of large scripts are no surprise, nor signs that stand alone; unseen Latin
+        # letters and signs within words are
         large = ((cp >= 0x3040) & (cp < 0xD7B0)) | ((cp >= 0x0900) & (cp < 0x1000)) | (cp >= 0x1F000)
-        sign = ((cp >= 0x2000) & (cp < 0x2300)) | np.isin(cp, _SIGNS)
-        return np.where(control, -18.0, np.where(large, FLOOR + 3, np.where(sign, FLOOR + 7, FLOOR - 1)))
+        sign = (((cp >= 0x2000) & (cp < 0x2300)) | np.isin(cp, _SIGNS)) & ~_letter(before)
+        return np.where(control, -25.0, np.where(large, FLOOR + 3, np.where(sign, FLOOR + 7, FLOOR - 3)))
 
 
 def codepoints(text: str) -> np.ndarray:
@@ -247,7 +255,7 @@ def _viterbi(model: CleanModel, cps: list[np.ndarray]) -> list[np.ndarray]:
         at = np.flatnonzero(ok & counts & start)
         emit[ok, s] = 0.0
         emit[at, s] = model.score(prev2[at], prev[at], value[at])
-    emit[flat == LOST, S - 1] = -3.0
+    emit[(flat == LOST) | ((flat >= 0x80) & (flat < 0xA0)), S - 1] = -3.0  # controls no pair accounts for
     emit[~odd, S - 1] = np.where(counts[~odd], emit[~odd, 0] - 1.0, 0.0)
     ends = np.cumsum([len(c) + 1 for c in cps])
     owner = np.searchsorted(ends, kept, side="right")
