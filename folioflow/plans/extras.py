@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import diff as D
 from folioflow.plans.prose import LINES_SQL, big, lines
 from folioflow.plans.revisions import NEW_SQL, new_lines
 from folioflow.plans.versions import pairs
-from folioflow.session import table
+from folioflow.session import running, table
 
 # Names of the languages that tags are shown with.
 LANGUAGES = {"ar": "Arabic", "de": "German", "el": "Greek", "en": "English", "es": "Spanish", "fr": "French", "hi": "Hindi", "it": "Italian", "ja": "Japanese", "nl": "Dutch", "pl": "Polish", "pt": "Portuguese", "ru": "Russian", "sv": "Swedish", "th": "Thai", "tr": "Turkish", "uk": "Ukrainian", "zh": "Chinese"}
@@ -30,8 +30,7 @@ def new_versions(spark, sf):
 def reference_texts(spark, sf):
     """Texts given as context: each file's blocks, at most 200,000 characters in all."""
     b = table(spark, sf, "blocks").where("text is not null").select("block_id", "file_id", "text").dropDuplicates(["block_id"])
-    before = F.coalesce(F.sum(F.length("text") + 1).over(W.partitionBy("file_id").orderBy("block_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    b = b.withColumn("before", before).where(F.col("before") < MOST_REFERENCE)
+    b = running(b, "file_id", [F.col("block_id")], {"before": F.length("text") + 1}).where(F.col("before") < MOST_REFERENCE)
     b = b.withColumn("text", F.left("text", (F.lit(MOST_REFERENCE) - F.col("before")).cast("int")))
     g = b.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("block_id", "text"))).alias("x"))
     return g.select("file_id", F.array_join(F.transform("x", lambda s: s["text"]), "\n").alias("reference"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, ty
 
 from folioflow.functions import text as X
 from folioflow.plans.prose import big
-from folioflow.session import salted_join, table
+from folioflow.session import running, salted_join, table
 
 # The verdicts an answer may give.
 VERDICTS = ["improves", "worsens", "mixed", "unclear", "good", "poor", "fair", "likely", "unlikely"]
@@ -35,8 +35,8 @@ def open_comments(spark, sf):
 def comment_panel(spark, sf):
     """Entries of the panel in order: lines first to last, those without a line at the end."""
     e = table(spark, sf, "comment_entries").select("entry_id", "file_id", "status", "line").dropDuplicates(["entry_id"])
-    order = W.partitionBy("file_id").orderBy(F.col("line").asc_nulls_last(), "entry_id")
-    return e.select("entry_id", "file_id", "status", big(F.row_number().over(order)).alias("place"))
+    r = running(e, "file_id", [F.col("line").asc_nulls_last(), F.col("entry_id")], {"before": F.lit(1)})
+    return r.select("entry_id", "file_id", "status", big(F.col("before") + 1).alias("place"))
 
 
 def entry_status(spark, sf):
@@ -58,8 +58,7 @@ def language_vote(spark, sf):
     b = table(spark, sf, "blocks").select("block_id", "file_id", "language", "text").dropDuplicates(["block_id"]).where("text is not null")
     base = F.lower(F.regexp_extract("language", "^([A-Za-z]{2})(?:$|[-_])", 1))
     b = b.select("block_id", "file_id", F.when(base.isin("no"), "").otherwise(base).alias("lang"), F.length("text").alias("size"), F.length(F.regexp_replace("text", r"[^\p{L}]", "")).alias("letters"))
-    before = F.sum("size").over(W.partitionBy("file_id").orderBy("block_id").rowsBetween(W.unboundedPreceding, -1))
-    v = b.withColumn("before", F.coalesce(before, F.lit(0))).where("before < 20000 and letters >= 50 and lang <> ''")
+    v = running(b, "file_id", [F.col("block_id")], {"before": F.col("size")}).where("before < 20000 and letters >= 50 and lang <> ''")
     g = v.groupBy("file_id", "lang").agg(F.sum("letters").alias("n"))
     t = g.groupBy("file_id").agg(F.max(F.struct("n", "lang")).alias("m"), F.sum("n").alias("total"))
     return t.where(F.col("m.n") * 2 > F.col("total")).select("file_id", F.col("m.lang").alias("lang"), big(F.col("m.n")).alias("letters"), big(F.col("total")).alias("voted"))

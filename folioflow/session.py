@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,3 +50,20 @@ def partitions(spark: SparkSession) -> int:
 
 def blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
+
+
+def running(df: DataFrame, key: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with, per name, the sum over the rows of the same key that come before.
+
+    A key with a third of all rows isn't one task: rows are range-partitioned by key and
+    order, summed within each partition, and the partitions' totals are added up in a small
+    table. ``order`` must tell the rows of a key apart. Null is a key of its own.
+    """
+    d = cut_lineage(df.repartitionByRange(partitions(df.sparkSession), F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    before = W.partitionBy(key, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    parts = d.groupBy(key, "_part").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    earlier = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = d.withColumns({f"_i_{n}": F.coalesce(F.sum(c).over(before), F.lit(0)) for n, c in sums.items()})
+    out = inside.join(parts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return out.withColumns({n: F.col(f"_i_{n}") + F.col(f"_o_{n}") for n in sums}).select(*df.columns, *sums)

@@ -127,3 +127,15 @@ def test_stream_batches(spark):
     out, kept = compare_batch(b2, kept)
     assert {r.pair_id: (r.additions, r.deletions) for r in out.collect()} == {"p@3": (1, 0)}
     assert {(r.path, r.version) for r in kept.collect()} == {("p", 3), ("q", 1)}
+
+
+def test_running(spark):
+    import random
+
+    from folioflow.session import running
+
+    r = random.Random(6)
+    rows = [(None if r.random() < 0.1 else r.choice("aaaab"), i, r.randint(0, 9)) for i in range(400)]
+    d = spark.createDataFrame(rows, "k string, o int, v int").repartition(3)
+    got = {x.o: (x.n, x.s) for x in running(d, "k", [F.col("o")], {"n": F.lit(1), "s": F.col("v")}).collect()}
+    assert got == {o: (sum(k2 == k and o2 < o for k2, o2, _ in rows), sum(v2 for k2, o2, v2 in rows if k2 == k and o2 < o)) for k, o, _ in rows}
