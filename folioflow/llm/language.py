@@ -16,6 +16,7 @@ Defined results: null and blank texts, and texts without letters, have no segmen
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -82,6 +83,22 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Centroids:
     def __init__(self, languages: list[str], owner: np.ndarray, matrix: np.ndarray, idf: np.ndarray, least: np.ndarray):
         self.languages, self.owner, self.matrix, self.idf, self.least = languages, owner, matrix, idf, least
+        self._rows: dict[str, int] = {}
+        self._table = np.zeros((0, len(languages)), dtype=np.float32)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_rows": {}, "_table": self._table[:0]}
+
+    def remembered(self, texts: list[str], most: int = 200_000) -> np.ndarray:
+        """``similarities``, worked out once for equal texts; what is remembered is bounded."""
+        if len(self._rows) > most:
+            self._rows, self._table = {}, self._table[:0]
+        rows, before = self._rows, len(self._rows)
+        which = np.array([rows.setdefault(t, len(rows)) for t in texts], dtype=np.int64)
+        if len(rows) > before:
+            fresh = list(itertools.islice(rows, before, None))
+            self._table = np.concatenate([self._table, self.similarities(fresh)])
+        return self._table[which]
 
     @staticmethod
     def _vectors(texts: list[str], idf: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,9 +202,7 @@ def segments(model: Centroids, texts: list[str | None]) -> list[list[tuple[int,
                 found.append((a, b, len(s) - s.count(" ")))
                 flat.append(s)
         spans.append(found)
-    known: dict[str, int] = {}  # equal sentences of a batch are compared once
-    which = np.array([known.setdefault(s, len(known)) for s in flat], dtype=np.int64)
-    sims = model.similarities(list(known))[which] if flat else np.zeros((0, len(model.languages)))
+    sims = model.remembered(flat) if flat else np.zeros((0, len(model.languages)))
     out, at = [], 0
     for found in spans:
         n = len(found)
