@@ -89,3 +89,35 @@ def tracked_odt(rows: list[Row], old: list[str], new: list[str], author: str = "
     content = f'<?xml version="1.0" encoding="UTF-8"?><office:document-content {_O} office:version="1.2"><office:body><office:text><text:tracked-changes>{"".join(regions)}</text:tracked-changes>{"".join(body)}</office:text></office:body></office:document-content>'
     manifest = '<?xml version="1.0" encoding="UTF-8"?><manifest:manifest xmlns:manifest="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"><manifest:file-entry manifest:full-path="/" manifest:media-type="application/vnd.oasis.opendocument.text"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>'
     return _zip([("mimetype", "application/vnd.oasis.opendocument.text"), ("META-INF/manifest.xml", manifest), ("content.xml", content)])
+
+
+def commented_docx(lines: list[str], notes: list[tuple[int, int, int, str]], author: str = "Assessment", date: str = "2000-01-01T00:00:00Z") -> bytes:
+    """A Word file of the lines with comments: ``(line, start, end, text)`` in characters of a line.
+
+    Notes outside the lines are left out; overlapping ones keep their own ranges."""
+    good = [(k, max(0, a), min(b, len(lines[k])), t) for k, a, b, t in notes if 0 <= k < len(lines) and a < b and t.strip()]
+    body = []
+    for k, line in enumerate(lines):
+        marks = sorted([(a, 1, n) for n, (at, a, _, _) in enumerate(good) if at == k] + [(b, 0, n) for n, (at, _, b, _) in enumerate(good) if at == k])
+        out, at = [], 0
+        for place, opens, n in [*marks, (len(line), 2, 0)]:
+            if place > at:
+                out.append(f'<w:r><w:t xml:space="preserve">{escape(line[at:place])}</w:t></w:r>')
+                at = place
+            if opens == 1:
+                out.append(f'<w:commentRangeStart w:id="{n}"/>')
+            elif opens == 0:
+                out.append(f'<w:commentRangeEnd w:id="{n}"/><w:r><w:commentReference w:id="{n}"/></w:r>')
+        body.append(f"<w:p>{''.join(out)}</w:p>")
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    who = f'w:author={quoteattr(author)} w:date="{date}"'
+    comments = "".join(f'<w:comment w:id="{n}" {who}><w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p></w:comment>' for n, (_, _, _, t) in enumerate(good))
+    kind = "application/vnd.openxmlformats-officedocument.wordprocessingml"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    return _zip([
+        ("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="{kind}.document.main+xml"/><Override PartName="/word/comments.xml" ContentType="{kind}.comments+xml"/></Types>'),
+        ("_rels/.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="word/document.xml"/></Relationships>'),
+        ("word/_rels/document.xml.rels", f'{head}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/comments" Target="comments.xml"/></Relationships>'),
+        ("word/document.xml", f"{head}<w:document {_W}><w:body>{''.join(body)}</w:body></w:document>"),
+        ("word/comments.xml", f"{head}<w:comments {_W}>{comments}</w:comments>"),
+    ])
