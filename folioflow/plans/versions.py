@@ -8,7 +8,7 @@ from folioflow.functions import text as X
 from folioflow.operators import diff as D
 from folioflow.plans.prose import LINES_SQL, NONBLANK_SQL, SPACED_SQL, big, lines
 from folioflow.plans.revisions import new_lines
-from folioflow.session import table
+from folioflow.session import cut_lineage, table
 from folioflow.sources.sinks import html_report as _html, unified
 
 
@@ -20,15 +20,39 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(n, "pair_id", "left").select("pair_id", "old", F.coalesce("new", F.expr("cast(array() as array<string>)")).alias("new"))
 
 
+def closest_earlier(d: DataFrame, common: int = 20) -> DataFrame:
+    """``d(doc_id, key)``, distinct → ``(old_id, new_id, shared)``: with each document the earlier one
+    that shares the most keys, the first of equals. Exact however common a key is: ``common`` only
+    says which way a pair is found.
+
+    Pairs with a key of at most ``common`` documents meet by that key. Others share common keys
+    only; for these, documents with one set of common keys are alike, so the first of each set
+    stands for it and sets are compared, not documents."""
+    n = d.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    k = cut_lineage(d.join(n, "key"))
+    few, hot = k.where(F.col("n") <= common).drop("n"), k.where(F.col("n") > common).drop("n")
+    near = few.alias("a").join(few.alias("b"), "key").where("a.doc_id < b.doc_id").select(F.col("a.doc_id").alias("old_id"), F.col("b.doc_id").alias("new_id")).groupBy("old_id", "new_id").agg(F.count("*").alias("few"))
+    sets = hot.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    old, new = sets.select(F.col("doc_id").alias("old_id"), F.col("keys").alias("ka")), sets.select(F.col("doc_id").alias("new_id"), F.col("keys").alias("kb"))
+    both = F.coalesce(F.size(F.array_intersect("ka", "kb")), F.lit(0))
+    near = near.join(old, "old_id", "left").join(new, "new_id", "left").select("old_id", "new_id", (F.col("few") + F.when(F.col("ka").isNull() | F.col("kb").isNull(), 0).otherwise(both)).alias("shared"))
+    # the first document of each set of common keys, with the earlier first one that shares most of them
+    firsts = cut_lineage(sets.groupBy("keys").agg(F.min("doc_id").alias("first")))
+    e = firsts.select("first", F.explode("keys").alias("key"))
+    met = e.alias("a").join(e.alias("b"), "key").where("a.first < b.first").select(F.col("a.first").alias("old_id"), F.col("b.first").alias("first")).groupBy("old_id", "first").agg(F.count("*").alias("shared"))
+    top = met.groupBy("first").agg(F.max(F.struct("shared", (-F.col("old_id")).alias("m"))).alias("top"))
+    # the rest of a set share all their common keys with its first, or with an earlier one that has them too
+    of = sets.join(firsts, "keys").join(top, "first", "left").select(F.col("doc_id").alias("new_id"), "first", F.size("keys").cast("bigint").alias("size"), F.col("top.shared").alias("s"), (-F.col("top.m")).alias("o"))
+    own = (F.col("new_id") > F.col("first")) & (F.col("s").isNull() | (F.col("s") < F.col("size")))
+    alike = of.select(F.when(own, F.col("first")).otherwise(F.col("o")).alias("old_id"), "new_id", F.when(own, F.col("size")).otherwise(F.col("s")).alias("shared")).where("old_id is not null")
+    best = F.max(F.struct("shared", (-F.col("old_id")).alias("m"))).alias("b")
+    return near.unionByName(alike).groupBy("new_id").agg(best).select((-F.col("b.m")).alias("old_id"), "new_id", "b.shared")
+
+
 def later_revisions(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents beside earlier documents of the same project and source that share a long line
-    with few others: the pairs in which one text may have come of the other."""
-    d = lines(spark, sf).withColumn("key", X.move_key(F.col("line"))).where("key is not null").select("doc_id", "key").distinct()
-    few = d.groupBy("key").agg(F.count("*").alias("n")).where("n between 2 and 20").select("key")
-    k = d.join(few, "key")
-    near = k.alias("a").join(k.alias("b"), "key").where("a.doc_id < b.doc_id").select(F.col("a.doc_id").alias("old_id"), F.col("b.doc_id").alias("new_id")).groupBy("old_id", "new_id").agg(F.count("*").alias("shared"))
-    best = F.row_number().over(W.partitionBy("new_id").orderBy(F.desc("shared"), "old_id"))
-    return near.withColumn("r", best).where("r = 1").drop("r")
+    """Documents beside the earlier document that shares the most long lines with them: the pairs
+    in which one text may have come of the other. The SQL looks only at lines of 2 to 20 documents."""
+    return closest_earlier(lines(spark, sf).withColumn("key", X.move_key(F.col("line"))).where("key is not null").select("doc_id", "key").distinct())
 
 
 def line_alignment(spark, sf):

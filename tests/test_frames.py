@@ -9,6 +9,7 @@ from folioflow.operators import diff as D
 from folioflow.operators.assess import assess, prompt
 from folioflow.operators.folders import compare_folders, fingerprints_changed
 from folioflow.operators.similarity import mutual_best, rare_word_candidates, similar_lines
+from folioflow.plans.versions import closest_earlier
 from folioflow.sources import sinks
 from folioflow.sources.files import decode_text, read_documents, read_folder, read_texts, run_filter
 from folioflow.streaming.versions import compare_batch
@@ -139,3 +140,21 @@ def test_running(spark):
     d = spark.createDataFrame(rows, "k string, o int, v int").repartition(3)
     got = {x.o: (x.n, x.s) for x in running(d, "k", [F.col("o")], {"n": F.lit(1), "s": F.col("v")}).collect()}
     assert got == {o: (sum(k2 == k and o2 < o for k2, o2, _ in rows), sum(v2 for k2, o2, v2 in rows if k2 == k and o2 < o)) for k, o, _ in rows}
+
+
+def test_closest_earlier(spark):
+    import random
+
+    r = random.Random(4)
+    docs = {i: {"all"} if i < 30 else set() for i in range(90)}
+    for i in range(30, 90):
+        docs[i] = {f"k{r.randint(0, 4)}" for _ in range(r.randint(0, 3))} | {f"own{i // 3}" for _ in range(r.randint(0, 1))}
+    want = {}
+    for i, a in docs.items():
+        s, m = max(((len(a & docs[j]), -j) for j in range(i)), default=(0, 0))
+        if s:
+            want[i] = (-m, s)
+    assert all(want[i] == (0, 1) for i in range(1, 30))  # 30 copies of one line
+    d = spark.createDataFrame([(i, k) for i, a in docs.items() for k in a], "doc_id bigint, key string")
+    for common in (20, 3, 1):
+        assert {x.new_id: (x.old_id, x.shared) for x in closest_earlier(d, common).collect()} == want
