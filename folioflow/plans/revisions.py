@@ -7,9 +7,13 @@ and the first line moves to the end. All documents and all their lines take part
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.functions import text as X
+from folioflow.kernels.lines import token_similarity
 from folioflow.operators.folders import compare_folders, fingerprints_changed
 from folioflow.operators.similarity import mutual_best, rare_word_candidates, similar_lines
 from folioflow.plans.prose import LINES_SQL, NONBLANK_SQL, SPACED_SQL, TOKENS_SQL, WORDS_SQL, big, lines
@@ -111,11 +115,23 @@ def rare_word_blocking(spark, sf):
     return p.groupBy("doc_id", "i").agg(F.count("*").alias("candidates"), F.max("shared").alias("most"))
 
 
+def token_similarities(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, similarity)`` of ``pairs(*keys, a, b)``, token arrays of any length."""
+    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x = [token_similarity(a, b) for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(t.column(k) for k in keys), pa.array(x, pa.float64())], [*keys, "similarity"])
+
+    return pairs.select(*keys, "a", "b").mapInArrow(run, f"{kinds}, similarity double")
+
+
 def ordered_similarity(spark, sf):
-    """LCS similarity of each revised line with what it was, for lines up to 12 tokens long."""
-    d = lines(spark, sf).where("idx % 5 = 2").withColumn("a", X.similarity_tokens(F.col("line"))).where(F.size("a") <= 12)
+    """LCS similarity of each revised line with what it was. The SQL looks only at lines up to 12 tokens long."""
+    d = lines(spark, sf).where("idx % 5 = 2").withColumn("a", X.similarity_tokens(F.col("line")))
     d = d.withColumn("b", X.similarity_tokens(F.concat("line", F.lit(" (revised)"))))
-    return d.select("doc_id", "idx", F.round(X.ordered_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+    return token_similarities(d, ["doc_id", "idx"]).withColumn("similarity", F.round("similarity", 6))
 
 
 def _counts(r: DataFrame) -> list:

@@ -9,6 +9,7 @@ from folioflow.operators import diff as D
 from folioflow.operators.assess import assess, prompt
 from folioflow.operators.folders import compare_folders, fingerprints_changed
 from folioflow.operators.similarity import mutual_best, rare_word_candidates, similar_lines
+from folioflow.plans.revisions import ordered_similarity, token_similarities
 from folioflow.plans.versions import closest_earlier
 from folioflow.sources import sinks
 from folioflow.sources.files import decode_text, read_documents, read_folder, read_texts, run_filter
@@ -158,3 +159,24 @@ def test_closest_earlier(spark):
     d = spark.createDataFrame([(i, k) for i, a in docs.items() for k in a], "doc_id bigint, key string")
     for common in (20, 3, 1):
         assert {x.new_id: (x.old_id, x.shared) for x in closest_earlier(d, common).collect()} == want
+
+
+def test_ordered_similarity(spark, tmp_path):
+    import random
+
+    r = random.Random(5)
+    make = lambda: [r.choice("abcd") for _ in range(r.randint(0, 80))]
+    rows = [(i, make(), make()) for i in range(60)] + [(60, [], [])]
+
+    def brute(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return 2 * best[-1][-1] / (len(a) + len(b)) if a or b else 1.0
+
+    d = spark.createDataFrame(rows, "k bigint, a array<string>, b array<string>")
+    assert {x.k: x.similarity for x in token_similarities(d, ["k"]).collect()} == {k: brute(a, b) for k, a, b in rows}
+    long = " ".join(f"w{i}" for i in range(500))
+    spark.createDataFrame([(1, f"x\ny\n{long}"), (2, "x\ny\nz")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {x.doc_id: x.similarity for x in ordered_similarity(spark, str(tmp_path)).collect()} == {1: round(1000 / 1003, 6), 2: 0.4}
