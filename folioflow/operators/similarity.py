@@ -9,6 +9,9 @@ scores come from hashed intersections of numbered tokens, all in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioflow.functions.text import similarity_tokens
@@ -64,19 +67,22 @@ def rare_word_candidates(old: DataFrame, new: DataFrame, group: str, rare_min: i
     return pairs.withColumn("_r", rank).where(F.col("_r") <= most).drop("_r")
 
 
-def mutual_best(pairs: DataFrame, group: str, rounds: int = 50) -> DataFrame:
-    """One-to-one matching by falling score, ties by ``(i, j)``: the greedy matching, reached by
-    taking pairs that are best for both their sides until none are left."""
-    from folioflow.session import cut_lineage
-
-    left = cut_lineage(pairs)
-    taken = None
-    for _ in range(rounds):
-        order = [F.desc("score"), "i", "j"]
-        r = left.withColumn("_a", F.row_number().over(W.partitionBy(group, "i").orderBy(*order))).withColumn("_b", F.row_number().over(W.partitionBy(group, "j").orderBy(*order)))
-        best = cut_lineage(r.where("_a = 1 and _b = 1").drop("_a", "_b"))
-        taken = best if taken is None else taken.unionByName(best)
-        left = cut_lineage(left.join(best.select(group, "i"), [group, "i"], "left_anti").join(best.select(group, "j"), [group, "j"], "left_anti"))
-        if left.limit(1).count() == 0:
-            break
-    return taken
+def mutual_best(pairs: DataFrame, group: str) -> DataFrame:
+    """One-to-one matching by falling score, ties by ``(i, j)``: the greedy matching, complete.
+
+    Each group is read once in that order, sorted by Spark; only the numbers taken are kept in
+    memory. A group is one task, as it is one pair of versions."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, left, right = None, set(), set()
+        for t in batches:
+            keep = []
+            for g, i, j in zip(*(t.column(c).to_pylist() for c in (group, "i", "j")), strict=True):
+                if at != (g,):
+                    at, left, right = (g,), set(), set()
+                keep.append(i not in left and j not in right)
+                if keep[-1]:
+                    left.add(i)
+                    right.add(j)
+            yield t.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.repartition(group).sortWithinPartitions(group, F.desc("score"), "i", "j").mapInArrow(run, pairs.schema)

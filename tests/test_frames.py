@@ -180,3 +180,11 @@ def test_ordered_similarity(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(500))
     spark.createDataFrame([(1, f"x\ny\n{long}"), (2, "x\ny\nz")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {x.doc_id: x.similarity for x in ordered_similarity(spark, str(tmp_path)).collect()} == {1: round(1000 / 1003, 6), 2: 0.4}
+
+
+def test_mutual_best_is_complete(spark):
+    rows = [(g, i, j, 0.9 if g else 1.0) for g in (0, 1) for i in range(70) for j in range(70)] + [(1, 0, 5, 0.95)]
+    d = spark.createDataFrame(rows, "g int, i bigint, j bigint, score double")
+    got = {(x.g, x.i, x.j) for x in mutual_best(d, "g").collect()}
+    left = [j for j in range(70) if j != 5]
+    assert got == {(0, k, k) for k in range(70)} | {(1, 0, 5)} | {(1, i, left[i - 1]) for i in range(1, 70)}
