@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from folioflow.config import MoveSettings, Options, PassageSettings
 from folioflow.kernels import prose as K
 from folioflow.kernels.documents import DocumentError, document_kind, read_docx, read_odt, to_markdown
-from folioflow.kernels.lines import aligned, lcs_length, line_pairs, move_score, pair_lines, token_set, token_sort
+from folioflow.kernels.lines import aligned, lcs_length, lcs_pairs, line_pairs, move_score, pair_lines, token_set, token_sort
 from folioflow.kernels.moves import compare
 from folioflow.kernels.redline import tracked_docx, tracked_odt
 from folioflow.kernels.words import char_marks, describe, word_diff, word_line, word_ops
@@ -198,3 +198,19 @@ def test_document_pieces():
     doc = read_docx(data.getvalue())
     assert [(b.kind, b.level, b.text) for b in doc.blocks] == [("heading", 2, "Head"), ("item", 0, "bold item"), ("row", 0, "a | b"), ("p", 0, "joins the next[^1]"), ("note", 0, "[^1]: note text")]
     assert to_markdown(doc).startswith("## Head\n\n- **bold** item") and doc.lines()[1] == "• bold item"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abce"), max_size=30), st.sampled_from([1, 40, 10_000]))
+def test_lcs_pairs(a, b, most_bits):
+    p = lcs_pairs(a, b, most_bits)
+    assert len(p) == lcs_length(a, b) and all(a[i] == b[j] for i, j in p)
+    assert all(i < k and j < m for (i, j), (k, m) in zip(p, p[1:]))
+
+
+def test_many_copies_are_aligned():
+    old = [x for i in range(300) for x in (f"old {i}", "---")]
+    new = ["first"] + [x for i in range(300) for x in (f"new {i}", "---")] + ["last"]
+    kept = sum(i2 - i1 for tag, i1, i2, _, _ in aligned(old, new) if tag == "equal")
+    assert kept == lcs_length(old, new) == 300
+    assert sum(tag == "equal" for tag, _, _ in line_pairs(old, new)) == 300
