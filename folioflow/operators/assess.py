@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioflow.functions.text import cut
 
+LIMIT = 300_000  # characters of a document
 TASKS = {
     "value": "Say whether the changes improve the text, and give a verdict.",
     "writing": "Say how the new text reads and whether a person seems to have written it.",
@@ -21,10 +22,12 @@ TASKS = {
 }
 
 
-def prompt(kind: Column, subject: Column, document: Column, references: Column | None = None, instructions: Column | None = None, limit: int = 300_000) -> Column:
-    """Task, subject, instructions, references and the document, cut to the limit."""
-    task = F.create_map(*[F.lit(x) for kv in TASKS.items() for x in kv])
-    parts = [F.coalesce(F.try_element_at(task, kind), F.lit(TASKS["review"])), F.concat(F.lit("Subject: "), subject)]
+def prompt(kind: Column, subject: Column, document: Column, references: Column | None = None, instructions: Column | None = None, limit: int = LIMIT, task: Column | None = None) -> Column:
+    """Task (the kind's, if none is given), subject, instructions, references and the document, cut to the limit."""
+    if task is None:
+        tasks = F.create_map(*[F.lit(x) for kv in TASKS.items() for x in kv])
+        task = F.coalesce(F.try_element_at(tasks, kind), F.lit(TASKS["review"]))
+    parts = [task, F.concat(F.lit("Subject: "), subject)]
     parts += [F.when(F.trim(c) != "", F.concat(F.lit(f"{name}:\n"), c)) for name, c in (("Instructions", instructions), ("References", references)) if c is not None]
     return F.concat_ws("\n\n", *parts, cut(document, limit, "document"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators.assess import LIMIT
 from folioflow.session import table
 
 WORD, SPACE = r"[\p{L}\p{N}_]+", r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
@@ -91,7 +92,8 @@ def html_escape(spark, sf):
 
 
 def prompt_cut(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.cut(F.col("text"), 400).alias("cut"))
+    """Texts as prompts take them. The SQL cuts at 400 characters."""
+    return table(spark, sf, "documents").select("doc_id", X.cut(F.col("text"), LIMIT).alias("cut"))
 
 
 def heading_numbers(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from folioflow.functions import text as X
+from folioflow.operators.assess import prompt
 from folioflow.plans.prose import big
 from folioflow.session import running, salted_join, table
 
@@ -128,9 +129,10 @@ def data_uris(spark, sf):
 
 
 def prompt_parts(spark, sf):
-    """Prompts put together from instruction, subject and the cut text."""
+    """Prompts put together from instruction, subject and the text. The SQL takes 300 characters of it."""
     d = table(spark, sf, "documents").where("text is not null")
-    return d.select("doc_id", F.concat_ws("\n\n", F.lit("Assess the text below."), F.concat(F.lit("Subject: "), F.coalesce("project", F.lit("")), F.lit("/"), F.coalesce("source", F.lit(""))), X.cut(F.col("text"), 300)).alias("prompt"))
+    subject = F.concat(F.coalesce("project", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")))
+    return d.select("doc_id", prompt(F.lit("review"), subject, F.col("text"), task=F.lit("Assess the text below.")).alias("prompt"))
 
 
 def check_context(spark, sf):

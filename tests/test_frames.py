@@ -188,3 +188,18 @@ def test_mutual_best_is_complete(spark):
     got = {(x.g, x.i, x.j) for x in mutual_best(d, "g").collect()}
     left = [j for j in range(70) if j != 5]
     assert got == {(0, k, k) for k in range(70)} | {(1, 0, 5)} | {(1, i, left[i - 1]) for i in range(1, 70)}
+
+
+def test_prompts_hold_whole_texts(spark, tmp_path):
+    from folioflow.plans.prose import prompt_cut
+    from folioflow.plans.review import prompt_parts
+
+    texts = {1: "a line\n" * 6000 + "end", 2: "short", 3: "x" * 300_001}
+    spark.createDataFrame([(k, t, "p", "s") for k, t in texts.items()], "doc_id bigint, text string, project string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.prompt for r in prompt_parts(spark, str(tmp_path)).collect()}
+    head = "Assess the text below.\n\nSubject: p/s\n\n"
+    assert got[1] == head + texts[1] and got[2] == head + "short"
+    assert got[3] == head + "x" * 300_000 + "\n[1 more characters of the document left out]"
+    assert {r.doc_id: r.cut for r in prompt_cut(spark, str(tmp_path)).collect()}[1] == texts[1]
+    cut = spark.createDataFrame([("ab\ncdefgh",)], "t string").select(prompt(F.lit("?"), F.lit("s"), F.col("t"), limit=5).alias("x")).first()["x"]
+    assert cut.endswith("\n\nab\n[7 more characters of the document left out]")
