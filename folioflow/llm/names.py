@@ -3,10 +3,10 @@
 A spelling is read into fields: a body's kind, place and topic, or a person's surname,
 middle initial and the full given names its given part can stand for (an initial, a cut
 form, a nickname, a typing slip). Suffixes of the surname or place above a minimum length
-index it. A suffix that too many spellings share is refined with other fields (given
-initial, then the head of the surname); what stays too common after that is discarded, and
-the spellings under it meet by their surname less one letter instead, which loses no pair
-a slip apart. A key of surname head and initial serves slips near the end. Candidate pairs link when their surnames' longest-common-subsequence
+index it. A suffix that too many spellings share is refined with each full given name and
+the initial; what stays too common is refined with the head of the surname, and the
+spellings under it meet by their surname less one letter as well, which loses no pair
+a slip apart (but may lose pairs two slips apart). A key of surname head and initial serves slips near the end. Candidate pairs link when their surnames' longest-common-subsequence
 ratio is high enough and the other fields agree.
 
 A spelling that fits persons of different given names (an initial shared in a family) is
@@ -21,7 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -195,6 +195,12 @@ def _suffixes(p: dict) -> list[str]:
     return [core[i:] for i in range(max(1, len(core) - LEAST_SUFFIX + 1))] if len(core) > LEAST_SUFFIX else [core]
 
 
+def _fields(p: dict) -> list[str]:
+    """What two spellings of one name have in common besides the core: a full given name, or the
+    initial where one has none."""
+    return sorted({f"={g}" for g in p["given"]}) + [p["initial"] or p["topic"][:3]]
+
+
 FIELDS = "kind string, core string, given array<string>, initial string, middle string, topic string"
 
 
@@ -218,33 +224,38 @@ def link_names(authors: DataFrame, column: str = "author", common: int = COMMON)
             rows = []
             for p in b.to_dict("records"):
                 side = "person" if p["kind"] in ("person", "login") else p["kind"]
-                head = p["core"][:2]
-                rows += [(p["node"], f"{side}|{s}", p["initial"] or p["topic"][:3], head) for s in _suffixes(p)]
+                head, fields = p["core"][:2], _fields(p)
+                rows += [(p["node"], f"{side}|{s}", fields, head) for s in _suffixes(p)]
                 if p["kind"] != "login":
-                    rows.append((p["node"], f"{side}^{p['core'][:HEAD]}", p["initial"] or p["topic"][:3], head))
-            yield pd.DataFrame(rows, columns=["node", "suffix", "field", "head"])
-
-    keys = nodes.mapInPandas(index, "node bigint, suffix string, field string, head string")
-    # an overly common suffix is refined with other fields, first one, then two; then discarded
-    counts = keys.groupBy("suffix").agg(F.count("*").alias("n"))
-    keys = keys.join(counts, "suffix").withColumn("key", F.when(F.col("n") <= common, F.col("suffix")).otherwise(F.concat_ws("~", "suffix", "field"))).drop("n")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
-    keys = keys.join(counts, "key").withColumn("key", F.when(F.col("n") <= common, F.col("key")).otherwise(F.concat_ws("~", "key", "head"))).drop("n")
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"))
-    keys = cut_lineage(keys.join(counts, "key").where("n > 1").select("key", "node", "n").distinct())
+                    rows.append((p["node"], f"{side}^{p['core'][:HEAD]}", fields, head))
+            yield pd.DataFrame(rows, columns=["node", "key", "fields", "head"])
+
+    def counted(k: DataFrame) -> DataFrame:
+        return k.join(k.groupBy("key").agg(F.count("*").alias("n")), "key")
+
+    keys = cut_lineage(nodes.mapInPandas(index, "node bigint, key string, fields array<string>, head string").distinct())
+    # an overly common suffix is refined by each given name the spelling can stand for and by the initial;
+    # where that is too common too, by the head as well
+    keys = counted(keys)
+    fine = cut_lineage(counted(keys.where(F.col("n") > common).select(F.explode("fields").alias("field"), "key", "node", "head").select(F.concat_ws("~", "key", "field").alias("key"), "node", "head")))
+    wide = fine.where(F.col("n") > 4 * common)
+    heads = counted(wide.select(F.concat_ws("~", "key", "head").alias("key"), "node"))
+    kept = [keys.where(F.col("n") <= common), fine.where(F.col("n") <= 4 * common), heads.where(F.col("n") <= 4 * common)]
+    keys = reduce(DataFrame.union, [k.where("n > 1").select("key", "node") for k in kept])
     # spellings under discarded keys: those a slip apart share their core less one letter
-    crowded = nodes.join(keys.where(F.col("n") > 4 * common).select("node").distinct(), "node", "left_semi")
+    crowded = nodes.join(wide.select("node").distinct(), "node", "left_semi")
 
     def shorter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for node, kind, core, initial, topic in b[["node", "kind", "core", "initial", "topic"]].itertuples(index=False, name=None):
-                cores = [core, core[1:], core[2:]] if kind == "login" else [core]
-                side = f"{'person' if kind == 'login' else kind}!{initial or topic[:3]}!"
-                rows += [(side + v, node) for v in {c[:i] + c[i + 1 :] for c in cores for i in range(len(c))} | set(cores)]
+            for p in b.to_dict("records"):
+                core, login = p["core"], p["kind"] == "login"
+                cores = [core, core[1:], core[2:]] if login else [core]
+                cut = {c[:i] + c[i + 1 :] for c in cores for i in range(len(c))} | set(cores)
+                rows += [(f"{'person' if login else p['kind']}!{f}!{v}", p["node"]) for f in _fields(p) for v in cut]
             yield pd.DataFrame(rows, columns=["key", "node"])
 
-    keys = keys.where(F.col("n") <= 4 * common).select("key", "node").union(crowded.mapInPandas(shorter, "key string, node bigint"))
+    keys = keys.union(crowded.mapInPandas(shorter, "key string, node bigint"))
     pairs = keys.alias("x").join(keys.alias("y"), "key").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
     def side(name: str) -> DataFrame:

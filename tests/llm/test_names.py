@@ -53,3 +53,11 @@ def test_frame(spark):
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101)], "a bigint, b bigint")
     assert {r.node: r.group for r in components(e).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_common_surname_with_other_initials(spark):
+    many = [f"Anna Kot{chr(97 + i % 26)}{chr(97 + i // 26)}kotorbalund" for i in range(100)]
+    df = spark.createDataFrame([(n,) for n in [*many, "Bobbie Kotorbalund", "Roberta Kotorbalund"]], "author string")
+    for common in (1000, 60, 5):
+        got = {r.spelling: r.group for r in link_names(df, common=common).collect()}
+        assert got["Bobbie Kotorbalund"] == got["Roberta Kotorbalund"]
