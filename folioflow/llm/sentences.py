@@ -4,23 +4,27 @@ Places where a sentence could end are found first: after end marks with their cl
 marks, quotes, brackets and note references, and at blanks between letters of scripts
 without end marks. Dynamic programming then picks whole spans between such places: a span
 scores by its closing word (abbreviations of several classes, initials, ordinal numbers),
-the word that opens what follows, its length, and whether quotes and brackets within it
-balance. The best-scoring split of the text wins.
+the word that opens what follows, its length, and the quotations and brackets it leaves
+open or closes without having opened them. The best-scoring split of the text wins; spans
+may be of any length, and time is linear in the text.
 
 Defined results: null and blank texts have no sentences; the last sentence ends with the
-last character that isn't blank; a list or note marker belongs to the first sentence.
-Spans reach back over at most ``LOOK_BACK`` places, so time is linear in the text.
+last character that isn't blank; a list or note marker belongs to the first sentence;
+a mark of quotation without a partner changes nothing.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-LOOK_BACK = 40
+#: Weights of a span's length (in characters, by script), of a quotation it cuts, of a span without words.
+USUAL, USUAL_DENSE, LENGTH_WEIGHT, SHORT_MOST, LONG_MOST, OPEN_COST, TINY_COST = 75.0, 25.0, 0.15, 0.7, 1.4, 4.0, 4.0  # LONG_MOST is at least twice SHORT_MOST
 # Abbreviations by what may follow them (lower case, without the last full stop).
 REFERENCES = set(
     """fig figs figure sect sec p pp no nos vol vols ch app ed chap tab pág págs pag núm num cap abb kap nr bd s bl blz dl rys rozdz t r с рис гл табл § σ εικ αρ κεφ
@@ -46,7 +50,8 @@ _ALNUM = re.compile(r"[^\W_]")
 _MARKER = re.compile(r"\s*(?:\[\^[^\]\s]{1,20}\]:|[-*+•–]|\(?\d{1,3}[.)]|\(?[a-z]\))\s+")
 _WORD = re.compile(r"[^\s“”„«»(\[「『（]+$")
 _EVENTS = re.compile(r"[„“”«»「」『』（）()\"]|\[(?!\^)|(?<!\^)\]")
-_WIDE = re.compile(r"[぀-ヿ一-鿿]")
+_DENSE = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]")
+_PARTNER = {")": "(", "]": "[", "）": "（", "」": "「", "』": "『"}
 
 
 def _places(text: str, start: int) -> list[tuple[int, int, str]]:
@@ -82,7 +87,7 @@ def _boundary(text: str, end: int, nxt: int, kind: str, cased: bool) -> float:
         return 3.0
     opening = nxt
     n = len(text)
-    while opening < n and (text[opening] in OPENERS or text[opening] in "'¿¡*_ "):
+    while opening < n and (text[opening] in OPENERS or text[opening] in "'¿¡*_ " or (text[opening] in "»”" and not text[opening + 1 : opening + 2].isspace())):
         opening += 1
     first = text[opening : opening + 1]
     if kind == "blank":
@@ -111,7 +116,7 @@ def _boundary(text: str, end: int, nxt: int, kind: str, cased: bool) -> float:
     elif first.isdigit():
         score = 0.0
     elif first.isalpha():
-        score = 1.0  # scripts without case
+        score = 2.0 if _DENSE.match(first) else 1.0  # scripts without case
     else:
         score = -1.0
     if mark in "!?":
@@ -155,40 +160,95 @@ def _boundary(text: str, end: int, nxt: int, kind: str, cased: bool) -> float:
     return score + 1.0
 
 
-def _unbalanced(events: list[tuple[int, str]], a: int, b: int) -> int:
-    """Quotes and brackets left open or closed without an opening between two positions."""
-    stack: list[str] = []
-    wrong = 0
-    for at, c in events:
-        if at < a:
-            continue
-        if at >= b:
-            break
-        if c in "([（「『«„":
-            stack.append(c)
-        elif c in ")]）」』»":
-            want = {")": "(", "]": "[", "）": "（", "」": "「", "』": "『", "»": "«"}[c]
-            if want in stack:
-                while stack.pop() != want:
-                    wrong += 1
-            else:
-                wrong += 1
+def _quotations(text: str, start: int, last: int) -> list[tuple[int, int]]:
+    """(opening, closing) places of the quotations and brackets that are closed; marks without
+    a partner say nothing."""
+    stack: list[tuple[str, int]] = []
+    out = []
+
+    def close(wanted: str, at: int) -> bool:
+        k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in wanted), None)
+        if k is not None:
+            out.append((stack[k][1], at))
+            del stack[k:]
+        return k is not None
+
+    for m in _EVENTS.finditer(text, start, last):
+        at, c = m.start(), m.group()
+        before, after = text[at - 1 : at] if at > start else " ", text[at + 1 : at + 2] or " "
+        opens = (before.isspace() or before in OPENERS or before in "-–—/:") and not (after.isspace() or after in ENDS or after in ",:)]")
+        closes = not before.isspace() and (after.isspace() or after in CLOSERS or after in ENDS or after in ",:-–—[")
+        if c in _PARTNER:
+            close(_PARTNER[c], at)
+        elif c in "([（「『„" or (c == "«" and not closes):
+            stack.append((c, at))
         elif c == "“":
-            if "„" in stack:
-                while stack.pop() != "„":
-                    wrong += 1
-            else:
-                stack.append(c)
-        elif c == "”":
-            opened = next((x for x in reversed(stack) if x in "“„”"), None)
-            if opened:
-                while stack.pop() != opened:
-                    wrong += 1
-            else:
-                stack.append(c)
+            if not (not opens and close("„", at)):
+                stack.append((c, at))
+        elif not (not opens and close({"”": "“„”", "»": "«»", "«": "»", '"': '"'}[c], at)) and not closes:
+            stack[:] = [x for x in stack if x[0] != c]  # one of the same kind left open has no partner
+            stack.append((c, at))
+    return out
+
+
+def _length_score(n: int, usual: float) -> float:
+    """How far a span's length is from the usual one, down to ``-SHORT_MOST`` and ``-LONG_MOST``."""
+    x = math.log((n + 4) / usual)
+    return -min(SHORT_MOST if x < 0 else LONG_MOST, LENGTH_WEIGHT * x * x)
+
+
+def _best_spans(text: str, starts: list[int], ends: list[int], edge: list[float], usual: float) -> list[int]:
+    """Numbers of the places the best split ends its spans at; the last place is always one.
+
+    ``starts[i]`` is where a span after place ``i - 1`` begins. A place worse than any length
+    could make up is on no best path and one better than any length is on every one, so the
+    program runs between the latter. Spans longer than ``far`` all score alike for their
+    length, so of the starts that far back only the best is kept: time is linear.
+    """
+    n = len(ends)
+    kept = [i for i in range(n - 1) if edge[i] > -LONG_MOST] + [n - 1]
+    k = len(kept)
+    a = [starts[0]] + [starts[i + 1] for i in kept[:-1]]
+    e = [ends[i] for i in kept]
+    g = [edge[i] for i in kept]
+    tiny = [y - x < 3 or not _ALNUM.search(text, x, y) for x, y in zip(a, e, strict=True)]
+    sure = [j == k - 1 or (g[j] > LONG_MOST and not tiny[j] and not tiny[j + 1]) for j in range(k)]
+    far = usual * math.exp(math.sqrt(LONG_MOST / LENGTH_WEIGHT))
+    out: list[int] = []
+    lo = 0
+    while lo < k:
+        hi = lo
+        while not sure[hi]:
+            hi += 1
+        if hi > lo:  # spans from the start of lo .. hi to the ends of lo .. hi
+            best = [0.0] + [float("-inf")] * (hi - lo + 1)
+            back = [0] * (hi - lo + 2)
+            near, top, top_at = 0, float("-inf"), 0
+            for j in range(hi - lo + 1):
+                end = e[lo + j]
+                while near <= j and end - a[lo + near] > far and end - a[lo + near] >= 64:
+                    if best[near] > top:
+                        top, top_at = best[near], near
+                    near += 1
+                score, at = top - LONG_MOST, top_at
+                for i in range(near, j + 1):
+                    x = a[lo + i]
+                    v = best[i] + _length_score(end - x, usual)
+                    if tiny[lo + i] and (end - x < 3 or not _ALNUM.search(text, x, end)):
+                        v -= TINY_COST
+                    if v > score:
+                        score, at = v, i
+                best[j + 1], back[j + 1] = score + g[lo + j], at
+            path = []
+            j = hi - lo + 1
+            while j > 0:
+                path.append(kept[lo + j - 1])
+                j = back[j]
+            out += path[::-1]
         else:
-            stack.remove(c) if c in stack else stack.append(c)
-    return wrong + len(stack)
+            out.append(kept[lo])
+        lo = hi + 1
+    return out
 
 
 def sentence_ends(text: str | None) -> list[int]:
@@ -203,39 +263,15 @@ def sentence_ends(text: str | None) -> list[int]:
     places = _places(text[:last], start)
     if not places:
         return [last]
-    events = [(m.start(), m.group()) for m in _EVENTS.finditer(text, start, last)]
-    ends = [e for e, _, _ in places] + [last]
-    nexts = [start] + [n for _, n, _ in places]
     edge = [_boundary(text, e, n, k, cased) for e, n, k in places] + [0.0]
-    if not events:  # nothing but the boundaries counts: the best path takes every good one
-        good = [i for i, g in enumerate(edge[:-1]) if g > 0]
-        taken = [ends[i] for i in good] + [last]
-        starts = [start] + [nexts[i + 1] for i in good]
-        if all(e - a >= 3 and _ALNUM.search(text, a, min(e, a + 60)) for a, e in zip(starts, taken, strict=True)):
-            return taken
-    best = [float("-inf")] * (len(ends) + 1)
-    best[0] = 0.0
-    back = [0] * (len(ends) + 1)
-    for j in range(1, len(ends) + 1):
-        e = ends[j - 1]
-        gain = edge[j - 1]
-        for i in range(max(0, j - LOOK_BACK), j):
-            a = nexts[i]
-            if best[i] == float("-inf") or e <= a:
-                continue
-            s = best[i] + gain
-            if events:
-                s -= 4.0 * _unbalanced(events, a, e)
-            if e - a < 3 or not _ALNUM.search(text, a, min(e, a + 60)):
-                s -= 4.0
-            if s > best[j]:
-                best[j], back[j] = s, i
-    out = []
-    j = len(ends)
-    while j > 0:
-        out.append(ends[j - 1])
-        j = back[j]
-    return out[::-1]
+    pairs = _quotations(text, start, last)
+    if pairs:  # each quotation that a place lies in is left open by one span and closed by another
+        opened, closed = sorted(x for x, _ in pairs), sorted(y for _, y in pairs)
+        for i, (e, _, _) in enumerate(places):
+            edge[i] -= 2 * OPEN_COST * (bisect_left(opened, e) - bisect_left(closed, e))
+    ends = [e for e, _, _ in places] + [last]
+    usual = USUAL - (USUAL - USUAL_DENSE) * len(_DENSE.findall(body)) / len(body)
+    return [ends[i] for i in _best_spans(text, [start] + [n for _, n, _ in places], ends, edge, usual)]
 
 
 def sentence_spans(text: str | None) -> list[tuple[int, int]]:

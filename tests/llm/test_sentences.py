@@ -1,5 +1,10 @@
+import itertools
+import random
+import time
+
 import pytest
 
+from folioflow.llm import sentences as S
 from folioflow.llm.sentences import sentence_ends, sentence_spans, split_sentences
 
 CASES = [
@@ -38,3 +43,43 @@ def test_frame(spark):
     got = sorted(tuple(r) for r in split_sentences(df, "id", lambda ts: [t == "x. Y." for t in ts]).collect())
     assert got == [(1, 7), (1, 16)]
     assert split_sentences(df.limit(0), "id").count() == 0
+
+
+def test_long_quotations_stay_whole():
+    for k in (2, 5, 20, 50):
+        for a, b in ("“”", "„“", "«»", "»«", "「」", "()", ("« ", " »"), '""'):
+            q = a + " ".join(f"We keep part {i}." for i in range(k)) + b
+            text = f"It came late. The note said {q} and was signed. Nobody answered."
+            assert [text[x:y] for x, y in sentence_spans(text)] == ["It came late.", f"The note said {q} and was signed.", "Nobody answered."], (k, a)
+    # marks without a partner join nothing
+    text = "He wrote “keep it. Then he left. A 5\" nail (or so. It is fine. »That was all."
+    assert len(sentence_spans(text)) == 5
+
+
+def test_best_split_against_brute_force():
+    r = random.Random(8)
+    for _ in range(300):
+        n = r.randint(1, 8)
+        words = [r.choice(["a", "b" * r.randint(2, 40), "c" * r.randint(100, 3000)]) for _ in range(n)]
+        starts, ends, at = [], [], 0
+        for w in words:
+            starts.append(at)
+            ends.append(at + len(w))
+            at += len(w) + 1
+        text = " ".join(words)
+        edge = [r.uniform(-3, 3) for _ in words[:-1]] + [0.0]
+
+        def total(cuts):
+            spans = list(zip([0, *(c + 1 for c in cuts[:-1])], cuts, strict=True))
+            tiny = sum(ends[j] - starts[i] < 3 for i, j in spans)
+            return sum(edge[j] + S._length_score(ends[j] - starts[i], 75.0) for i, j in spans) - S.TINY_COST * tiny
+
+        best = max(total([*c, n - 1]) for k in range(n) for c in itertools.combinations(range(n - 1), k))
+        assert total(S._best_spans(text, starts, ends, edge, 75.0)) == pytest.approx(best)
+
+
+def test_linear_time():
+    text = ("Before it “we keep it. It reads” wrote the reader. After it (maybe. Or not). e.g. this " * 3000)[:200_000]
+    t = time.perf_counter()
+    assert len(sentence_ends(text)) > 3000
+    assert time.perf_counter() - t < 2
