@@ -43,7 +43,7 @@ OPENERS, CLOSERS = "„“”«‹「『（([〈《\"‘‚", "“”»›」』
 ENDS = ".!?…。！？؟।॥｡;\u037e"
 _GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
 _NOTE = r"(?:\[\^[^\]\s]{1,20}\])"
-_PLACE = re.compile(rf"[{re.escape(ENDS)}]+(?:[”“’\"'»›)\]」』）〉》]|\s?»|{_NOTE})*")
+_PLACE = re.compile(rf"[{re.escape(ENDS)}]+(?:[”“’\"'»›)\]」』）〉》]|\s?»(?!\w)|{_NOTE})*")
 _THAI = re.compile(r"(?<=[฀-๿])((?:[”»)\]]|\[\^[^\]\s]{1,20}\])*)\s+(?=[“«(\[]?[฀-๿A-Z])|\n+")
 _OTHER = re.compile(r"[฀-๿\n]")
 _ALNUM = re.compile(r"[^\W_]")
