@@ -11,7 +11,9 @@ Characters below U+0080 read the same under every pair, so texts of these alone,
 in which every run of three characters is known from clean text, stay clean.
 
 Defined results: null and empty texts are clean. Lost characters (U+FFFD) make a record
-garbled and stay in the restored text. Texts of any length are labelled whole.
+garbled and stay in the restored text. Texts of any length are labelled whole, long ones in
+windows: a window's path is decided by the characters around, so ``OVERLAP`` characters more
+on either side give the path of the whole text.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-TRAIN_DOCS, TRAIN_CHARS = 3000, 20_000  # bound of the training sample: rows, characters a row
 LOST = 0xFFFD
 # Fixed values: (bytes of, read as), and how often in a row.
 PAIRS = [
@@ -33,6 +34,7 @@ PAIRS = [
 ]
 STATES = ["clean", *(f"{a} as {b}" + (f" x{n}" if n > 1 else "") for a, b, n in PAIRS), "lost"]
 ENTER, LEAVE, NEVER, FLOOR = -9.0, -3.0, -50.0, -13.0
+WINDOW, OVERLAP = 100_000, 2_000  # characters
 _SEPARATOR = 10  # a line feed between the texts of a batch
 _SIGNS = np.array([ord(c) for c in "§°ª²³¹ºµ±×÷¼½¾©®«»"])
 # whole scripts and double-byte sets never come as a single character: dearer to enter
@@ -153,6 +155,16 @@ class CleanModel:
 
     def __init__(self, triples: np.ndarray, p3: np.ndarray, pairs: np.ndarray, p2: np.ndarray, chars: np.ndarray, p1: np.ndarray):
         self.triples, self.p3, self.pairs, self.p2, self.chars, self.p1 = triples, p3, pairs, p2, chars, p1
+        self._of: np.ndarray | None = None  # place of each code point among ``chars``, -1 for unseen ones
+
+    def __getstate__(self):
+        return self.__dict__ | {"_of": None}
+
+    def place(self, cp: np.ndarray) -> np.ndarray:
+        if self._of is None:
+            self._of = np.full(0x110000, -1, dtype=np.int32)
+            self._of[self.chars] = np.arange(len(self.chars))
+        return self._of[cp]
 
     @staticmethod
     def train(texts: list[str]) -> CleanModel:
@@ -177,14 +189,23 @@ class CleanModel:
         return at[~_find(self.triples, codes[at])[1]] + 2
 
     def score(self, before2: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        two = (before << 21) | after
-        i3, ok3 = _find(self.triples, (((before2 << 21) | before) << 21) | after)
-        i2, ok2 = _find(self.pairs, two)
-        i1, ok1 = _find(self.chars, after)
-        p = 0.65 * np.where(ok3, self.p3[i3], 0.0) + 0.25 * np.where(ok2, self.p2[i2], 0.0) + 0.02 * np.where(ok1, self.p1[i1], 0.0)
+        at, seen = self.place(after), self.place(before) >= 0
+        ok1 = at >= 0
+        p1 = np.where(ok1, self.p1[at], 0.0)
+        p = 0.02 * p1
+        # a pair holds only seen characters and a triple only seen pairs: the longer ones are looked up where they can be
+        i = np.flatnonzero(ok1 & seen)
+        k, ok = _find(self.pairs, (before[i] << 21) | after[i])
+        i, k = i[ok], k[ok]
+        p[i] += 0.25 * self.p2[k]
+        k, ok = _find(self.triples, (((before2[i] << 21) | before[i]) << 21) | after[i])
+        p[i[ok]] += 0.65 * self.p3[k[ok]]
         # after an unseen character any mark or blank may come
-        p = np.where(_find(self.chars, before)[1] | _letter(after), p, 0.9 * np.where(ok1, self.p1[i1], 0.0))
-        return np.where(ok1, np.maximum(np.log(np.maximum(p, 1e-12)), FLOOR), self._unseen(before, after))
+        p = np.where(seen | _letter(after), p, 0.9 * p1)
+        out = np.maximum(np.log(np.maximum(p, 1e-12)), FLOOR)
+        i = np.flatnonzero(~ok1)
+        out[i] = self._unseen(before[i], after[i])
+        return out
 
     @staticmethod
     def _unseen(before: np.ndarray, cp: np.ndarray) -> np.ndarray:
@@ -211,16 +232,24 @@ def label(model: CleanModel, texts: list[str | None], steps: int = 1_500_000) ->
         joined = np.concatenate([[_SEPARATOR, _SEPARATOR], joined])
         ends = np.cumsum([len(c) + 1 for c in cps])
         owner = np.searchsorted(ends, model.strange(joined) - 2, side="right")
-        asked = [(plain[k], cps[k]) for k in np.unique(owner)]
-    asked.sort(key=lambda x: len(x[1]))
-    while asked:
-        part, size = [], 0
-        while asked and (not part or size + len(asked[0][1]) <= steps // len(STATES)):
-            part.append(asked.pop(0))
-            size += len(part[-1][1])
-        for (i, _), states in zip(part, _viterbi(model, [c for _, c in part]), strict=True):
-            if states.any():
-                out[i] = states
+        for k in np.unique(owner).tolist():  # long texts in windows that overlap
+            n = len(cps[k])
+            for lo in range(0, max(1, n), WINDOW):
+                hi, a, b = min(n, lo + WINDOW), max(0, lo - OVERLAP), min(n, lo + WINDOW + OVERLAP)
+                asked.append((plain[k], lo, hi, a, cps[k][a:b], n))
+    asked.sort(key=lambda x: len(x[4]))
+    at = 0
+    while at < len(asked):
+        size, end = 0, at
+        while end < len(asked) and (end == at or size + len(asked[end][4]) <= steps // len(STATES)):
+            size += len(asked[end][4])
+            end += 1
+        for (i, lo, hi, a, _, n), states in zip(asked[at:end], _viterbi(model, [x[4] for x in asked[at:end]]), strict=True):
+            if states[lo - a : hi - a].any():
+                if out[i] is None:
+                    out[i] = np.zeros(n, dtype=np.int16)
+                out[i][lo:hi] = states[lo - a : hi - a]
+        at = end
     return out
 
 
@@ -345,12 +374,6 @@ def restore(text: str, states: np.ndarray | None) -> str:
     return "".join(out)
 
 
-def training_texts(documents: DataFrame, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> list[str]:
-    """A bounded sample of clean texts, chosen by hash of the id."""
-    ok = documents.where(F.length("text").between(1, chars)).select("doc_id", "text")
-    return [r["text"] for r in ok.orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs).collect()]
-
-
 def find_garbled(records: DataFrame, model: CleanModel) -> DataFrame:
     """``records(record_kind, record_id, text)`` → ``(record_kind, record_id, states, restored)``
     of the garbled records, once each."""

@@ -2,21 +2,25 @@
 
 Sentences become normalised TF-IDF vectors of hashed character n-grams. Each language has
 several centroids, clustered from labelled sentences; a sentence is compared with all of
-them by cosine, and is rejected when it is further from its nearest centroid than all but
-a small part of that language's own training sentences. Within a document a best path over
-the sentences' similarities, with a cost for each change, gives the segments; sentences
-that are rejected or short follow their neighbours.
-
-Training: a bounded sample of labelled documents (``TRAIN_DOCS`` rows, chosen by hash).
-Sentences nearer to another language than their label are left out once and the centroids
-fitted again, so some wrong labels do no harm.
-
-Defined results: null and blank texts, and texts without letters, have no segments.
+them by cosine. Within a document a best path over the sentences' similarities, with a cost
+for each change, gives the segments; short sentences follow their neighbours. A segment is
+rejected (``UNKNOWN``) where its whole text is too far from its language's centroids: less
+like them than a share of what the language's own sentences usually are, or than what those
+of its nearest neighbour among the languages are. The share grows with the segment, as longer
+texts come nearer to the centroid of their language.
+
+Training: a bounded sample of labelled documents (``sampling.SAMPLE_DOCS`` rows, chosen by
+hash). Sentences nearer to another language than their label are left out once and the
+centroids fitted again, so some wrong labels do no harm.
+
+Defined results: null and blank texts, and texts without letters, have no segments; text in
+a language that wasn't trained, or in none, is a segment of ``und`` with its distance.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,12 +30,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioflow.llm.sentences import sentence_spans
 
-TRAIN_DOCS, TRAIN_CHARS, TRAIN_SENTENCES = 4000, 20_000, 400  # rows, characters a row, sentences a language
+TRAIN_SENTENCES, TRAIN_EACH = 400, 6  # sentences a language, sentences a text
 BITS, ORDERS, CENTROIDS = 15, (1, 2, 3), 3
-CHANGE, SHORT, REJECT_SHARE = 0.9, 8, 0.002
+CHANGE, SHORT, PULL = 0.8, 8, 1.0
+REJECT_SHARE, REJECT_MORE = 0.36, 0.10  # of the median similarity of a language's own sentences; more for 200 letters more
+REJECT_NEAR, CHANCE, REJECT_FLOOR = 2.0, 0.052, 0.03  # of its neighbour's similarity beyond chance
+UNKNOWN = "und"
 _NOISE = re.compile(r"\S*[@/\\{}<>=#]\S*|\[\^[^\]]*\]")
 _NOISY = re.compile(r"[@/\\{}<>=#^]")
 _NONLETTER = re.compile(r"[\W\d_]+")
+_DENSE = re.compile(r"[\u3040-\u30ff\u4e00-\u9fff]")
 # Marks that name no language, and three-letter codes of the languages known here.
 NO_LANGUAGE = {"", "und", "zxx", "none", "x", "mul", "mis", "null", "unknown", "n/a", "qaa"}
 THREE = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl", "swe": "sv", "pol": "pl", "rus": "ru", "ukr": "uk", "ell": "el", "gre": "el", "tur": "tr", "ara": "ar", "hin": "hi", "jpn": "ja", "zho": "zh", "chi": "zh", "tha": "th"}
@@ -132,8 +140,9 @@ class Centroids:
                 if not len(rows):
                     rows = np.flatnonzero(lang == i)
                 x = dense(rows)
-                c = x[np.linspace(0, len(rows) - 1, min(k, len(rows))).astype(int)].copy()
-                for _ in range(rounds):
+                # wrong labels would make a cluster of their own: they are told by the languages' means alone
+                c = x[np.linspace(0, len(rows) - 1, 1 if again else min(k, len(rows))).astype(int)].copy()
+                for _ in range(1 if again else rounds):
                     at = (x @ c.T).argmax(axis=1)
                     for j in range(len(c)):
                         if (at == j).any():
@@ -142,18 +151,22 @@ class Centroids:
                 size = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
                 big = size >= 0.1 * len(rows)  # a few odd sentences are no cluster
                 mean = x.mean(axis=0)
-                c = np.vstack([c[big], mean / max(np.linalg.norm(mean), 1e-9)])
+                mean /= max(np.linalg.norm(mean), 1e-9)
+                c = np.vstack([c[big] + PULL * mean, mean])  # pulled to the mean, or a phrase becomes a language
+                c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
                 cents.append(c)
                 owner += [i] * len(c)
             matrix, owner_ = np.vstack(cents), np.array(owner)
-            least = np.zeros(len(languages))
+            least, like = np.zeros(len(languages)), np.zeros((len(languages), len(languages)))
             for i in range(len(languages)):
                 rows = np.flatnonzero(lang == i)
                 sims = dense(rows) @ matrix.T
                 if again:
                     keep[rows] = owner_[sims.argmax(axis=1)] == i
                 own = sims[keep[rows]][:, owner_ == i]
-                least[i] = np.quantile(own.max(axis=1), REJECT_SHARE) * 0.8 if len(own) else 0.1
+                least[i] = REJECT_SHARE * np.median(own.max(axis=1)) if len(own) else 0.2
+                like[i] = [sims[:, owner_ == j].max(axis=1).mean() if j != i else 0.0 for j in range(len(languages))]
+            least = np.maximum(REJECT_FLOOR, np.minimum(least, REJECT_NEAR * (like.max(axis=0) - CHANCE))) if len(languages) > 1 else least
         return Centroids(languages, owner_, np.ascontiguousarray(matrix.T.astype(np.float32)), idf, least)
 
     def similarities(self, texts: list[str], chunk: int = 150_000) -> np.ndarray:
@@ -175,24 +188,32 @@ class Centroids:
         return out
 
 
-def training_sentences(documents: DataFrame, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS, most: int = TRAIN_SENTENCES) -> dict[str, list[str]]:
-    ok = documents.where((F.length("text").between(1, chars)) & (F.length("lang") > 0)).select("doc_id", "text", "lang")
-    samples: dict[str, list[str]] = {}
-    for r in ok.orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs).collect():
-        lang = base_language(r["lang"])
-        kept = samples.setdefault(lang, []) if lang else None
-        if kept is None or len(kept) >= most:
+def training_sentences(sample: list[tuple[str | None, str]], most: int = TRAIN_SENTENCES, each: int = TRAIN_EACH) -> dict[str, list[str]]:
+    """Different sentences of each language from a sample of (language mark, text): at most ``each``
+    a text, and more of them only where a language has too few texts."""
+    samples: dict[str, dict[str, None]] = {}
+    spare: dict[str, list[str]] = {}
+    for mark, text in sample:
+        lang = base_language(mark)
+        kept = samples.setdefault(lang, {}) if lang else {}
+        if not lang or len(kept) >= most:
             continue
-        for line in r["text"].split("\n"):
+        n = 0
+        for line in text.split("\n"):
             for a, b in sentence_spans(line):
                 t = normal(line[a:b])
-                if letters(t) >= (8 if re.search("[぀-ヿ一-鿿]", t) else 20) and len(kept) < most:
-                    kept.append(t)
-    return samples
-
-
-def segments(model: Centroids, texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
-    """(start, end, language, confidence) of each segment of each text."""
+                if t in kept or letters(t) < (8 if _DENSE.search(t) else 20):
+                    continue
+                if n < each:
+                    kept[t] = None
+                    n += 1
+                elif len(spare.setdefault(lang, [])) < most:
+                    spare[lang].append(t)
+    return {lang: list(dict.fromkeys([*kept, *spare.get(lang, [])]))[:most] for lang, kept in samples.items()}
+
+
+def segments(model: Centroids, texts: list[str | None]) -> list[list[tuple[int, int, str, float, float]]]:
+    """(start, end, language, confidence, distance from the nearest centroid) of each segment of each text."""
     spans, flat = [], []
     for t in texts:
         found = []
@@ -202,52 +223,67 @@ def segments(model: Centroids, texts: list[str | None]) -> list[list[tuple[int,
                 found.append((a, b, len(s) - s.count(" ")))
                 flat.append(s)
         spans.append(found)
-    sims = model.remembered(flat) if flat else np.zeros((0, len(model.languages)))
-    out, at = [], 0
+    if not flat:
+        return [[] for _ in texts]
+    # all sentences of the batch at once: a row a sentence, a column a language
+    sims = model.remembered(flat)
+    rows = np.arange(len(flat))
+    size = np.array([x[2] for found in spans for x in found])
+    short = size < SHORT
+    weight = np.where(short, 0.1, 1.0) * np.minimum(1.5, np.sqrt(size / 20.0))
+    path = sims.argmax(axis=1)
+    counts = np.array([len(x) for x in spans])
+    firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    full = np.flatnonzero(counts)
+    mixed = np.maximum.reduceat(path, firsts[full]) != np.minimum.reduceat(path, firsts[full])
+    for i in full[mixed].tolist():
+        at, n = int(firsts[i]), int(counts[i])
+        gain = sims[at : at + n] * (weight[at : at + n, None] * 8.0)
+        score, back = gain[0].copy(), []
+        for j in range(1, n):
+            best = int(score.argmax())
+            move = score[best] - CHANGE
+            back.append(np.where(score >= move, np.arange(len(score)), best))
+            score = np.maximum(score, move) + gain[j]
+        at_end = [int(score.argmax())]
+        for step in reversed(back):
+            at_end.append(int(step[at_end[-1]]))
+        path[at : at + n] = at_end[::-1]
+    own = sims[rows, path]
+    sims[rows, path] = -1.0
+    margin = own - np.maximum(0.0, sims.max(axis=1))
+    confs = (1.0 / (1.0 + np.exp(-12.0 * margin)) * np.where(short, 0.8, 1.0)).tolist()
+    low = (own < model.least[path] * (1 + REJECT_MORE / REJECT_SHARE)).tolist()
+    own, path = own.tolist(), path.tolist()
+    out: list[list] = []
+    doubtful = []  # segments that may be too far: their texts are compared whole
+    k = 0
     for found in spans:
-        n = len(found)
-        s = sims[at : at + n]
-        at += n
-        if not n:
-            out.append([])
-            continue
-        best = s.argmax(axis=1)
-        size = np.array([x[2] for x in found])
-        rejected = (s.max(axis=1) < model.least[best]) | (size < SHORT)
-        weight = np.where(rejected, 0.1, 1.0) * np.minimum(1.5, np.sqrt(size / 20.0))
-        if (best == best[0]).all():
-            path = best
-        else:
-            gain = s * weight[:, None] * 8.0
-            score, back = gain[0].copy(), []
-            for j in range(1, n):
-                top = int(score.argmax())
-                move = score[top] - CHANGE
-                back.append(np.where(score >= move, np.arange(len(score)), top))
-                score = np.maximum(score, move) + gain[j]
-            at_end = [int(score.argmax())]
-            for step in reversed(back):
-                at_end.append(int(step[at_end[-1]]))
-            path = np.array(at_end[::-1])
-        rows = np.arange(n)
-        own = s[rows, path]
-        s[rows, path] = -1.0
-        margin = own - np.maximum(0.0, s.max(axis=1))
-        confs = 1.0 / (1.0 + np.exp(-12.0 * margin)) * np.where(weight > 0.2, 1.0, 0.8)
         res: list[list] = []
-        for (a, b, _), lang, conf in zip(found, path.tolist(), confs.tolist(), strict=True):
-            name = model.languages[lang]
-            if res and res[-1][2] == name:
-                res[-1][1] = b
-                res[-1][3].append((conf, b - a))
-            else:
-                res.append([a, b, name, [(conf, b - a)]])
-        out.append([(a, b, x, round(sum(c * z for c, z in cs) / max(1, sum(z for _, z in cs)), 4)) for a, b, x, cs in res])
-    return out
+        for a, b, n in found:
+            z = b - a
+            if not res or res[-1][2] != path[k]:
+                res.append([a, b, path[k], 0.0, 0.0, 0, 0, 0, k, k])
+            r = res[-1]
+            r[1], r[9] = b, k + 1
+            for at, v in ((3, confs[k] * z), (4, own[k] * z), (5, z), (6, n), (7, n * low[k])):
+                r[at] += v
+            k += 1
+        out.append(res)
+        doubtful += [r for r in res if 2 * r[7] >= r[6] >= SHORT]
+    if doubtful:
+        whole = model.similarities([" ".join(flat[r[8] : r[9]]) for r in doubtful])
+        for r, s in zip(doubtful, whole, strict=True):
+            share = 1 + REJECT_MORE / REJECT_SHARE * min(1.0, max(0.0, (r[6] - 60) / 200))
+            near = float(s[r[2]])
+            if near < model.least[r[2]] * share:
+                r[2], r[3], r[4] = -1, r[5] / (1.0 + math.exp(-12.0 * (float(model.least[r[2]]) * share - near))), near * r[5]
+    names = [*model.languages, UNKNOWN]
+    return [[(r[0], r[1], names[r[2]], round(r[3] / max(1, r[5]), 4), round(1 - r[4] / max(1, r[5]), 4)) for r in res] for res in out]
 
 
 def language_segments(records: DataFrame, key: str, model: Centroids, skip=None) -> DataFrame:
-    """``records(key, text, language)`` → ``(key, marked, n_letters, start_pos, end_pos, lang, confidence)``."""
+    """``records(key, text, language)`` → ``(key, marked, n_letters, start_pos, end_pos, lang, confidence, distance)``."""
     kind = records.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,7 +292,7 @@ def language_segments(records: DataFrame, key: str, model: Centroids, skip=None)
             if skip:
                 texts = [None if s else t for t, s in zip(texts, skip(texts), strict=True)]
             rows = [(k, base_language(m), letters(t), *seg) for k, m, t, found in zip(b[key], b["language"], texts, segments(model, texts), strict=True) if t for seg in found]
-            yield pd.DataFrame(rows, columns=[key, "marked", "n_letters", "start_pos", "end_pos", "lang", "confidence"])
+            yield pd.DataFrame(rows, columns=[key, "marked", "n_letters", "start_pos", "end_pos", "lang", "confidence", "distance"])
 
-    schema = f"{key} {kind}, marked string, n_letters bigint, start_pos bigint, end_pos bigint, lang string, confidence double"
+    schema = f"{key} {kind}, marked string, n_letters bigint, start_pos bigint, end_pos bigint, lang string, confidence double, distance double"
     return records.select(key, "text", "language").where(F.length("text") > 0).mapInPandas(run, schema).dropDuplicates([key, "start_pos"])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm.language import TRAIN_CHARS, TRAIN_DOCS
 from folioflow.llm.pii import Field, particulars, plain_sentences, redacted, train
+from folioflow.llm.sampling import sample_documents
 from folioflow.session import table
 
 _trained: dict[int, Field] = {}
@@ -13,9 +13,7 @@ _trained: dict[int, Field] = {}
 
 def field(spark: SparkSession, sf_dir: str) -> Field:
     """The field, trained once per process for the same plain sentences."""
-    ok = table(spark, sf_dir, "documents").where(F.length("text").between(1, TRAIN_CHARS) & F.col("lang").isNotNull()).select("doc_id", "lang", "text")
-    sample = [(r["lang"], r["text"]) for r in ok.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).collect()]
-    plain = plain_sentences(sample)
+    plain = plain_sentences(sample_documents(table(spark, sf_dir, "documents")))
     key = hash(tuple(plain))
     if key not in _trained:
         _trained.clear()

@@ -1,5 +1,6 @@
 import pytest
 
+from folioflow.llm import encodings as E
 from folioflow.llm.encodings import LOST, CleanModel, find_garbled, label, restore
 
 CLEAN = [
@@ -47,3 +48,14 @@ def test_frame(spark, model):
     got = find_garbled(df, model).collect()
     assert [(r.record_kind, r.record_id, r.restored) for r in got] == [("block", 1, CLEAN[1])]
     assert find_garbled(df.limit(0), model).count() == 0
+
+
+def test_windows_label_like_the_whole(monkeypatch):
+    texts = ["Die Überprüfung der Änderungen hält an. " * 5, "Größe und Maß der Übung bleiben gleich."]
+    model = E.CleanModel.train(texts * 3)
+    text = "".join(("Die Überprüfung der Änderungen hält an. ".encode().decode("cp1252") if k % 7 == 3 else "Größe und Maß der Übung bleiben gleich. ") for k in range(200))
+    (whole,) = E.label(model, [text])
+    monkeypatch.setattr(E, "WINDOW", 700)
+    monkeypatch.setattr(E, "OVERLAP", 100)
+    (parts,) = E.label(model, [text])
+    assert whole.any() and restore(text, whole) == restore(text, parts) and ((whole > 0) == (parts > 0)).mean() > 0.98

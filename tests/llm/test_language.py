@@ -1,6 +1,7 @@
 import pytest
 
-from folioflow.llm.language import Centroids, base_language, language_segments, normal, segments
+from folioflow.llm.language import UNKNOWN, Centroids, base_language, language_segments, normal, segments, training_sentences
+from folioflow.llm.sampling import sample_documents
 
 TEXT = {
     "en": ["The committee restored the opening sentence", "A later comment moved the section on method", "The editor shortened two long sentences", "Nobody in the team kept the old heading", "The second reader questioned the list of sources"],
@@ -29,6 +30,38 @@ def test_segments(model):
     assert [x[2] for x in long] == ["en"]
 
 
+FOREIGN = [
+    "Toimituskunta palautti ensimmäisen lauseen alkuperäiseen muotoonsa. Myöhempi kommentti siirsi menetelmää koskevan osan liitteeseen.",
+    "A bizottság visszaállította az első mondatot az eredeti formájába. Senki sem tartotta meg a régi címet, ahogy volt.",
+    "Ủy ban đã khôi phục câu đầu tiên về dạng ban đầu của nó. Không ai trong nhóm giữ tiêu đề cũ.",
+    "הוועדה החזירה את המשפט הראשון לצורתו המקורית. איש בצוות לא שמר על הכותרת הישנה.",
+    "sxqzj vkkw pprt qqzm wwxv jjkz ttrq zzkp vvqx kkrt",
+]
+
+
+def test_rejection(model):
+    for text in FOREIGN:
+        ((_, _, lang, confidence, distance),) = segments(model, [text])[0]
+        assert lang == UNKNOWN and 0 < confidence <= 1 and distance > 0.7, text
+    # a foreign sentence among others is a segment of its own
+    (got,) = segments(model, ["The editor kept the opening sentence. " + FOREIGN[3] + " A later comment moved two long sentences."])
+    assert got[0][2] == got[-1][2] == "en"
+
+
+def test_sample_takes_few_sentences_a_text():
+    long = ("en", ". ".join(f"the committee number {chr(97 + i)}{chr(97 + k)} kept this sentence" for i in range(20) for k in range(20)))
+    other = [("en", f"A reader numbered {chr(97 + i)} questioned the heading of it.") for i in range(20)]
+    got = training_sentences([long, *other, ("xx", None or ""), (None, "No mark here at all, really.")], most=50)
+    assert set(got) == {"en", "xx"} and len(got["en"]) == 50 and sum("questioned" in x for x in got["en"]) == 20
+
+
+def test_bounded_sample(spark):
+    df = spark.range(5000).selectExpr("id as doc_id", "'en' as lang", "concat('text ', id % 4000) as text", "1 as h")
+    got = sample_documents(df, docs=300)
+    assert 200 < len(got) <= 300 and len(set(got)) == len(got) and got == sample_documents(df, docs=300)
+    assert sample_documents(df.limit(0)) == [] and len(sample_documents(df.limit(7))) <= 7
+
+
 def test_held_out(model):
     for lang, t in (("en", "This paragraph confirmed the comparison of both versions"), ("de", "Der Übersetzer erwähnte den Vergleich beider Fassungen"), ("ru", "Второй рецензент заменил сравнение обеих версий")):
         assert segments(model, [t])[0][0][2] == lang

@@ -81,5 +81,5 @@ def test_best_split_against_brute_force():
 def test_linear_time():
     text = ("Before it “we keep it. It reads” wrote the reader. After it (maybe. Or not). e.g. this " * 3000)[:200_000]
     t = time.perf_counter()
-    assert len(sentence_ends(text)) > 3000
+    assert len(sentence_ends(text)) > 2000
     assert time.perf_counter() - t < 2
