@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 WORD = r"[\p{L}\p{N}_]+"
 SPACE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 TOKEN = rf"{WORD}|{SPACE}+|[^\p{{L}}\p{{N}}_\s\x0B\x1C-\x1F\x85\p{{Z}}]"
-PLACEHOLDER = r"[\x{E000}-\x{F8FF}]"
+PLACEHOLDER = r"[\x{E000}-\x{F8FF}\x{100000}-\x{10FFFD}]"
 FOOTNOTE_REFERENCE = r"\[\^([^\]\s]+)\]"
 FOOTNOTE_DEFINITION = r"^\[\^([^\]\s]+)\]:[ \t]*(.*)$"
 MIN_MOVE_CHARS, MIN_WORDS, MIN_CHARS, CONTENT_LETTERS = 20, 4, 15, 4

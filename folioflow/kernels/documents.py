@@ -13,6 +13,8 @@ import zipfile
 from dataclasses import dataclass, field
 from xml.etree import ElementTree as ET
 
+from folioflow.kernels.words import placeholder
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 W14 = "{http://schemas.microsoft.com/office/word/2010/wordml}"
 W15 = "{http://schemas.microsoft.com/office/word/2012/wordml}"
@@ -26,8 +28,6 @@ FO = "{urn:oasis:names:tc:opendocument:xmlns:xsl-fo-compatible:1.0}"
 DRAWING = "{urn:oasis:names:tc:opendocument:xmlns:drawing:1.0}"
 SVG = "{urn:oasis:names:tc:opendocument:xmlns:svg-compatible:1.0}"
 DC = "{http://purl.org/dc/elements/1.1/}"
-FIRST_PLACEHOLDER = 0xE000
-MOST_COMMENTS = 6400
 
 
 class DocumentError(ValueError):
@@ -135,7 +135,7 @@ def read_docx(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tr
         for c in (root := _xml(z, "word/comments.xml")) is not None and root.findall(W + "comment") or []:
             text = "\n".join("".join(t.text or "" for t in p.iter(W + "t")) for p in c.iter(W + "p")).strip()
             resolved = any(p.get(W14 + "paraId") in done for p in c.iter(W + "p"))
-            if text and not (resolved and skip_resolved) and len(doc.comments) < MOST_COMMENTS:
+            if text and not (resolved and skip_resolved):
                 comment_at[c.get(W + "id", "")] = len(doc.comments)
                 doc.comments.append((c.get(W + "author", ""), text, c.get(W + "date", ""), resolved))
     w = _Writer(changes)
@@ -203,7 +203,7 @@ def read_docx(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tr
                 w.add(_math(x), (), change)
             elif x.tag == W + "commentRangeStart":
                 if (k := comment_at.get(x.get(W + "id", ""))) is not None:
-                    w.add(chr(FIRST_PLACEHOLDER + k))
+                    w.add(placeholder(k))
             elif x.tag in (W + "sdt", W + "smartTag", W + "sdtContent"):
                 inline(x, change, link)
 
@@ -317,10 +317,10 @@ def read_odt(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tru
             elif t == OFFICE + "annotation":
                 text = "\n".join("".join(p.itertext()) for p in x.iter(TEXT + "p")).strip()
                 resolved = any(v == "true" for k, v in x.attrib.items() if k.endswith("resolved"))
-                if text and not (resolved and skip_resolved) and len(doc.comments) < MOST_COMMENTS:
+                if text and not (resolved and skip_resolved):
                     who, when = x.find(DC + "creator"), x.find(DC + "date")
                     doc.comments.append(((who.text or "") if who is not None else "", text, (when.text or "") if when is not None else "", resolved))
-                    w.add(chr(FIRST_PLACEHOLDER + len(doc.comments) - 1))
+                    w.add(placeholder(len(doc.comments) - 1))
             elif t == TEXT + "change-start":
                 if regions.get(x.get(TEXT + "change-id", ""), ("",))[0] == "ins":
                     active.append(x.get(TEXT + "change-id", ""))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 
+import numpy as np
+
 from folioflow.config import MoveSettings, PassageSettings
-from folioflow.kernels.lines import MEASURES, line_pairs, move_key, move_score, similarity_tokens
+from folioflow.kernels.lines import MEASURES, LineIndex, line_pairs, move_key, similarity_tokens
+from folioflow.kernels.matching import equal_pairs, greedy_pairs
+from folioflow.kernels.sequences import lcs_length
 from folioflow.kernels.words import TOKEN, WORD, comments_only, describe, quote, word_diff, word_ops
 
 
@@ -24,6 +27,7 @@ class Row:
     edited: bool = False
     out_spans: list[tuple[int, int, int]] = field(default_factory=list)  # start, end, move
     in_spans: list[tuple[int, int, int]] = field(default_factory=list)
+    plain: tuple[int, int] | None = None  # words added and removed before passages were marked
 
 
 @dataclass(frozen=True)
@@ -41,12 +45,31 @@ def _words(text: str) -> int:
     return len(WORD.findall(text))
 
 
-def _content(text: str, letters: int) -> Counter:
-    return Counter(w for w in (x.casefold() for x in WORD.findall(text)) if len(w) >= letters)
+class Piece:
+    """A text with its tokens, their places and its words, worked out once."""
+
+    __slots__ = ("text", "tokens", "starts", "ends", "bag")
+
+    def __init__(self, text: str):
+        found = [m for m in TOKEN.finditer(text) if not m.group().isspace()]
+        self.text = text
+        self.tokens = [m.group() for m in found]
+        self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
+        self.bag = Counter(self.tokens)
+
 
+def content_words(text: str, letters: int) -> Counter:
+    """Case-folded words of at least so many letters, with how often they occur."""
+    return Counter(w for x in WORD.findall(text) if len(w := x.casefold()) >= letters)
 
-def _long_enough(text: str, s: PassageSettings) -> bool:
-    return _words(text) >= s.min_words and len(re.sub(r"\s", "", text)) >= s.min_chars
+
+def long_enough(text: str, s: PassageSettings) -> bool:
+    return _words(text) >= s.min_words and sum(not c.isspace() for c in text) >= s.min_chars
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    t = text[a:b]
+    return a + len(t) - len(t.lstrip()), b - len(t) + len(t.rstrip())
 
 
 def plain_rows(old: list[str], new: list[str], moves: MoveSettings, ignore_whitespace: bool = False) -> list[Row]:
@@ -66,192 +89,204 @@ def plain_rows(old: list[str], new: list[str], moves: MoveSettings, ignore_white
     return rows
 
 
-def _passages(k: int, row: Row, old: list[str], new: list[str], moves: MoveSettings, s: PassageSettings, with_passages: bool) -> list[Passage]:
-    out = []
+def _changed_runs(text: str, ranges: list[tuple[int, int, int]], s: PassageSettings) -> list[tuple[int, int, int, int]]:
+    """(start, end, first op, last op) of the runs of changed ranges with few words between them."""
+    runs: list[tuple[int, int, int, int]] = []
+    for a, b, n in ranges:
+        if runs and _words(text[runs[-1][1] : a]) <= s.max_gap:
+            runs[-1] = (runs[-1][0], b, runs[-1][2], n)
+        else:
+            runs.append((a, b, n, n))
+    return runs
+
+
+def passages_of(k: int, row: Row, old: list[str], new: list[str], moves: MoveSettings, s: PassageSettings, with_passages: bool) -> list[Passage]:
+    """What of a row may have come from or gone to elsewhere: the whole of a lone line, or an edited line's runs of changes."""
     if row.kind in ("delete", "insert"):
         side, text = ("out", old[row.i]) if row.kind == "delete" else ("in", new[row.j])
-        a, b = len(text) - len(text.lstrip()), len(text.rstrip())
-        if (move_key(text) is not None and moves.similarity < 1) or (with_passages and _long_enough(text, s)):
-            out.append(Passage(k, side, a, b, -1, -1, move_key(text) is not None))
-        return out
+        line = move_key(text) is not None
+        wanted = (line and moves.similarity < 1) or (with_passages and long_enough(text, s))
+        return [Passage(k, side, *_trimmed(text, 0, len(text)), -1, -1, line)] if wanted else []
     if row.kind != "replace" or not with_passages:
-        return out
-    ops = word_ops(old[row.i], new[row.j])
-    for side, text, lo, hi in (("out", old[row.i], 1, 2), ("in", new[row.j], 3, 4)):
-        run: tuple[int, int, int, int] | None = None
-        for n, op in [*enumerate(ops), (len(ops), None)]:
-            if op is not None and (op[0] == "equal" or op[lo] == op[hi] or comments_only(old[row.i][op[1] : op[2]], new[row.j][op[3] : op[4]])):
-                continue
-            if op is not None and run and _words(text[run[1] : op[lo]]) <= s.max_gap:
-                run = (run[0], op[hi], run[2], n)
-                continue
-            if run:
-                a, b = run[0], run[1]
-                while a < b and text[a].isspace():
-                    a += 1
-                while b > a and text[b - 1].isspace():
-                    b -= 1
-                if _long_enough(text[a:b], s):
-                    out.append(Passage(k, side, a, b, run[2], run[3], False))
-            run = (op[lo], op[hi], n, n) if op is not None else None
+        return []
+    ops = [(n, op) for n, op in enumerate(word_ops(old[row.i], new[row.j])) if op[0] != "equal" and not comments_only(old[row.i][op[1] : op[2]], new[row.j][op[3] : op[4]])]
+    out = []
+    for side, text, at in (("out", old[row.i], 1), ("in", new[row.j], 3)):
+        for a, b, first, last in _changed_runs(text, [(op[at], op[at + 1], n) for n, op in ops if op[at] < op[at + 1]], s):
+            a, b = _trimmed(text, a, b)
+            if long_enough(text[a:b], s):
+                out.append(Passage(k, side, a, b, first, last, False))
     return out
 
 
-def _tokens(text: str) -> list[tuple[str, int, int]]:
-    return [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(text) if not m.group().isspace()]
-
+def shared_core(a: list[str], b: list[str], s: PassageSettings) -> tuple[int, int, int, int] | None:
+    """Token ranges of what two passages have in common, from the positions they match at.
 
-def _core(a: list, b: list, s: PassageSettings) -> tuple[int, int, int, int] | None:
-    """Token ranges from the first to the last shared run of either side."""
-    blocks = [m for m in SequenceMatcher(None, [t for t, *_ in a], [t for t, *_ in b], autojunk=False).get_matching_blocks() if m.size]
-    strong = [n for n, m in enumerate(blocks) if m.size >= s.edge_run]
-    if not strong:
+    Matched positions make runs, and runs with short gaps on both sides make islands. The core
+    goes from the beginning of the island with the first long run to the end of the one with the last.
+    """
+    at = [(x, y) for i, j, n in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for x, y in zip(range(i, i + n), range(j, j + n), strict=True)]
+    if not at:
         return None
-    lo, hi = strong[0], strong[-1]
-    near = lambda p, q: q.a - p.a - p.size <= s.max_gap and q.b - p.b - p.size <= s.max_gap
-    while lo and near(blocks[lo - 1], blocks[lo]):
-        lo -= 1
-    while hi + 1 < len(blocks) and near(blocks[hi], blocks[hi + 1]):
-        hi += 1
-    a1, b1, a2, b2 = blocks[lo].a, blocks[lo].b, blocks[hi].a + blocks[hi].size, blocks[hi].b + blocks[hi].size
-    while a1 < a2 and b1 < b2 and a[a1][0] == b[b1][0] and a[a1][0] in ".,;:!?":
-        a1, b1 = a1 + 1, b1 + 1
-    return (a1, a2, b1, b2) if a1 < a2 and b1 < b2 else None
-
-
-def _window(short: list, long: list) -> tuple[int, int]:
-    """Where in the longer side the shorter one fits best, widened by half its length."""
-    n = len(short)
-    want = Counter(t for t, *_ in short)
-    have: Counter = Counter()
-    shared = best = at = 0
-    for k, (t, *_) in enumerate(long):
-        have[t] += 1
-        shared += have[t] <= want[t]
-        if k >= n:
-            u = long[k - n][0]
-            shared -= have[u] <= want[u]
-            have[u] -= 1
-        if shared > best:
-            best, at = shared, max(0, k - n + 1)
-    return max(0, at - n // 2), min(len(long), at + n + n // 2)
-
-
-def passage_match(x: str, y: str, least: float, s: PassageSettings, algorithm: str = "token-sort") -> tuple[float, int, int, int, int] | None:
+    p, q = np.array(at).T
+    dp, dq = np.diff(p), np.diff(q)
+    run = np.concatenate([[0], np.cumsum((dp != 1) | (dq != 1))])
+    island = np.concatenate([[0], np.cumsum((dp > s.max_gap + 1) | (dq > s.max_gap + 1))])
+    long = np.flatnonzero(np.bincount(run)[run] >= s.edge_run)
+    if not len(long):
+        return None
+    lo, hi = np.searchsorted(island, island[long[0]]), np.searchsorted(island, island[long[-1]], side="right") - 1
+    a1, a2, b1, b2 = int(p[lo]), int(p[hi]) + 1, int(q[lo]), int(q[hi]) + 1
+    skip = 0
+    while a1 + skip < a2 and b1 + skip < b2 and a[a1 + skip] == b[b1 + skip] and a[a1 + skip] in ".,;:!?":
+        skip += 1
+    return (a1 + skip, a2, b1 + skip, b2) if a1 + skip < a2 and b1 + skip < b2 else None
+
+
+def best_window(short: list[str], long: list[str], tries: int = 4) -> tuple[int, int]:
+    """Where in the longer side the shorter one fits best, widened by half its length each way:
+    of the windows with most tokens in common the one that keeps their order best."""
+    n, m = len(short), len(long)
+    shared = np.zeros(m - n + 1, dtype=np.int32)
+    tokens = np.array(long, dtype=object)
+    for t, c in Counter(short).items():
+        total = np.concatenate([[0], np.cumsum(tokens == t)])
+        shared += np.minimum(total[n:] - total[:-n], c)
+    starts = np.argsort(-shared, kind="stable")[:tries].tolist()
+    at = max(starts, key=lambda k: (lcs_length(short, long[k : k + n]), -k))
+    return max(0, at - n // 2), min(m, at + n + n // 2)
+
+
+def passage_match(x: str | Piece, y: str | Piece, least: float, s: PassageSettings, algorithm: str = "token-sort") -> tuple[float, int, int, int, int] | None:
     """(score, ranges of characters on both sides) of the best common passage of two."""
-    a, b = _tokens(x), _tokens(y)
-    common = sum((Counter(t for t, *_ in a) & Counter(t for t, *_ in b)).values())
-    if common < max(s.min_words, least * min(len(a), len(b)) / 2):
+    x, y = (t if isinstance(t, Piece) else Piece(t) for t in (x, y))
+    n, m = len(x.tokens), len(y.tokens)
+    if (x.bag & y.bag).total() < max(s.min_words, least * min(n, m) / 2):
         return None
-    regions = [(0, len(a), 0, len(b))]
-    if min(len(a), len(b)) < s.partial_share * max(len(a), len(b)):
-        if len(a) < len(b):
-            regions.append((0, len(a), *_window(a, b)))
-        else:
-            regions.append((*_window(b, a), 0, len(b)))
-    best = None
+    regions = [(0, n, 0, m)]
+    if min(n, m) < s.partial_share * max(n, m):
+        regions.append((0, n, *best_window(x.tokens, y.tokens)) if n < m else (*best_window(y.tokens, x.tokens), 0, m))
+    found = []
     for i1, i2, j1, j2 in regions:
-        core = _core(a[i1:i2], b[j1:j2], s)
-        if not core:
-            continue
-        c = (a[i1 + core[0]][1], a[i1 + core[1] - 1][2], b[j1 + core[2]][1], b[j1 + core[3] - 1][2])
-        p, q = x[c[0] : c[1]], y[c[2] : c[3]]
-        if not (_long_enough(p, s) and _long_enough(q, s)):
-            continue
-        if sum((_content(p, s.content_letters) & _content(q, s.content_letters)).values()) < s.shared_words:
+        core = shared_core(x.tokens[i1:i2], y.tokens[j1:j2], s)
+        if core is None:
             continue
-        score = 1.0 if " ".join(p.split()) == " ".join(q.split()) else MEASURES[algorithm](similarity_tokens(p), similarity_tokens(q))
-        if score >= least - 1e-9 and (best is None or (score, *c) > best):
-            best = (score, *c)
-    return best
-
-
-def _candidates(out: list[Passage], into: list[Passage], text, s: PassageSettings):
-    if len(out) * len(into) <= s.max_pairs:
-        return [(p, q) for p in out for q in into]
-    df: Counter = Counter()
-    seen = {}
-    for p in [*out, *into]:
-        seen[p] = set(_content(text(p), s.content_letters))
-        df.update(seen[p])
-    limit = max(s.rare_min, s.rare_share * (len(out) + len(into)))
-    by: dict[str, list[int]] = {}
-    for n, q in enumerate(into):
-        for w in seen[q]:
-            if df[w] <= limit:
-                by.setdefault(w, []).append(n)
-    shared: Counter = Counter()
-    for m, p in enumerate(out):
-        for w in seen[p]:
-            for n in by.get(w, ()):
-                shared[m, n] += 1
-    top = sorted(shared.items(), key=lambda x: (-x[1], x[0]))[: s.max_pairs]
-    return [(out[m], into[n]) for (m, n), _ in top]
+        a1, a2, b1, b2 = x.starts[i1 + core[0]], x.ends[i1 + core[1] - 1], y.starts[j1 + core[2]], y.ends[j1 + core[3] - 1]
+        p, q = x.text[a1:a2], y.text[b1:b2]
+        if long_enough(p, s) and long_enough(q, s) and (content_words(p, s.content_letters) & content_words(q, s.content_letters)).total() >= s.shared_words:
+            alike = 1.0 if p.split() == q.split() else MEASURES[algorithm](similarity_tokens(p), similarity_tokens(q))
+            found.append((alike, a1, a2, b1, b2))
+    best = max(found, default=None)
+    return best if best and best[0] >= least - 1e-9 else None
+
+
+class MoveSearch:
+    """Moved lines and passages of one comparison, marked in its rows."""
+
+    def __init__(self, rows: list[Row], old: list[str], new: list[str], moves: MoveSettings, settings: PassageSettings, with_passages: bool):
+        self.rows, self.old, self.new, self.moves, self.settings, self.with_passages = rows, old, new, moves, settings, with_passages
+        self.moved = 0
+        self.met: set[tuple[Passage, Passage]] = set()
+        self.pieces: dict[Passage, Piece] = {}
+
+    def line(self, p: Passage) -> str:
+        row = self.rows[p.row]
+        return self.old[row.i] if p.side == "out" else self.new[row.j]
+
+    def piece(self, p: Passage) -> Piece:
+        if p not in self.pieces:
+            self.pieces[p] = Piece(self.line(p)[p.start : p.end])
+        return self.pieces[p]
+
+    def run(self) -> None:
+        gone, came = ([k for k, r in enumerate(self.rows) if r.kind == kind] for kind in ("delete", "insert"))
+        for a, b in equal_pairs([move_key(self.old[self.rows[k].i]) for k in gone], [move_key(self.new[self.rows[k].j]) for k in came]):
+            self.move_line(gone[a], came[b])
+        free = [p for k, r in enumerate(self.rows) for p in passages_of(k, r, self.old, self.new, self.moves, self.settings, self.with_passages)]
+        for turn in range(self.settings.rounds):
+            taken = greedy_pairs(self.ranked(free, turn == 0))
+            if not taken:
+                break
+            used = {p for _, *two, _ in taken for p in two}
+            left = [rest for _, p, q, match in taken for rest in self.settle(p, q, match)]
+            free = [p for p in free if p not in used and self.rows[p.row].kind in ("delete", "insert", "replace")] + left
+
+    def ranked(self, free: list[Passage], lines: bool):
+        """(rank, out, in, match) of every pair that fits: lines before passages, the likest first."""
+        out, into = [p for p in free if p.side == "out"], [p for p in free if p.side == "in"]
+        asked = set()
+        if lines:
+            index = LineIndex({n: self.line(q) for n, q in enumerate(into) if q.line}, self.moves.similarity, self.moves.algorithm)
+            for p in out:
+                for n, score in index.like(self.line(p)) if p.line else ():
+                    asked.add((p, into[n]))
+                    yield (0, -score, p.row, into[n].row), p, into[n], None
+        if not self.with_passages:
+            return
+        for p, q in self.candidates(out, into):
+            if (p, q) in self.met or (p, q) in asked or (p.row == q.row and p.first <= q.last and q.first <= p.last):
+                continue  # seen before, or an edit in place
+            self.met.add((p, q))
+            match = passage_match(self.piece(p), self.piece(q), self.moves.similarity, self.settings, self.moves.algorithm)
+            if match:
+                yield (1, -match[0], p.row, p.start, q.row, q.start), p, q, match
+        self.met |= asked
+
+    def candidates(self, out: list[Passage], into: list[Passage]) -> list[tuple[Passage, Passage]]:
+        """Pairs with content words in common, from an index of the words. Where there are more than
+        ``max_pairs`` pairs at all only rare words count, and the pairs with most of them are kept."""
+        s = self.settings
+        words = {p: content_words(self.piece(p).text, s.content_letters) for p in (*out, *into)}
+        many = len(out) * len(into) > s.max_pairs
+        if not many and s.shared_words < 1:
+            return [(p, q) for p in out for q in into]
+        spread = Counter(w for bag in words.values() for w in bag)
+        most = max(s.rare_min, s.rare_share * len(words)) if many else len(words)
+        holders: dict[str, list[int]] = {}
+        for n, q in enumerate(into):
+            for w in words[q]:
+                if spread[w] <= most:
+                    holders.setdefault(w, []).append(n)
+        shared: Counter = Counter()
+        for m, p in enumerate(out):
+            for w, c in words[p].items():
+                for n in holders.get(w, ()):
+                    shared[m, n] += 1 if many else min(c, words[into[n]][w])
+        if many:
+            kept = sorted(shared, key=lambda x: (-shared[x], x))[: s.max_pairs]
+        else:
+            kept = sorted(x for x, c in shared.items() if c >= s.shared_words)
+        return [(out[m], into[n]) for m, n in kept]
+
+    def settle(self, p: Passage, q: Passage, match: tuple | None) -> list[Passage]:
+        """Marks a pair as moved; what lies before and after the moved part of a passage is free again."""
+        if match is None:
+            self.move_line(p.row, q.row)
+            return []
+        self.moved += 1
+        left = []
+        for z, lo, hi, spans in ((p, *match[1:3], self.rows[p.row].out_spans), (q, *match[3:5], self.rows[q.row].in_spans)):
+            spans.append((z.start + lo, z.start + hi, self.moved))
+            for a, b in ((z.start, z.start + lo), (z.start + hi, z.end)):
+                a, b = _trimmed(self.line(z), a, b)
+                if a < b and long_enough(self.line(z)[a:b], self.settings):
+                    left.append(Passage(z.row, z.side, a, b, z.first, z.last, False))
+        return left
+
+    def move_line(self, a: int, b: int) -> None:
+        self.moved += 1
+        x, y = self.rows[a], self.rows[b]
+        d = word_diff(self.old[x.i], self.new[y.j])
+        edited = bool(d["changes"])
+        tail = ", edited: " + ", ".join(d["changes"]) if edited else ""
+        x.kind, y.kind, x.move, y.move, x.edited, y.edited = "moved-out", "moved-in", self.moved, self.moved, edited, edited
+        x.changes, y.changes = [f"moved to line {y.j + 1}{tail}"], [f"moved from line {x.i + 1}{tail}"]
+        x.words_removed, x.words_added, y.words_added, y.words_removed = d["words_removed"], 0, d["words_added"], 0
 
 
 def mark_moves(rows: list[Row], old: list[str], new: list[str], moves: MoveSettings, settings: PassageSettings, with_passages: bool = True) -> list[Row]:
     """Finds moved lines, then moved lines that were edited and moved passages; in place."""
-    number = 0
-    by_key: dict[str, list[int]] = {}
-    for k, r in enumerate(rows):
-        if r.kind == "insert" and (key := move_key(new[r.j])) is not None:
-            by_key.setdefault(key, []).append(k)
-
-    def line_move(a: int, b: int) -> None:
-        nonlocal number
-        number += 1
-        x, y = rows[a], rows[b]
-        d = word_diff(old[x.i], new[y.j])
-        edited = bool(d["changes"])
-        tail = ", edited: " if edited else ""
-        extra = ", ".join(d["changes"]) if edited else ""
-        x.kind, y.kind, x.move, y.move, x.edited, y.edited = "moved-out", "moved-in", number, number, edited, edited
-        x.changes, y.changes = [f"moved to line {y.j + 1}{tail}{extra}"], [f"moved from line {x.i + 1}{tail}{extra}"]
-        x.words_removed, x.words_added, y.words_added, y.words_removed = d["words_removed"], 0, d["words_added"], 0
-
-    for k, r in enumerate(rows):
-        if r.kind == "delete" and (key := move_key(old[r.i])) is not None and by_key.get(key):
-            line_move(k, by_key[key].pop(0))
-    text = lambda p: (old[rows[p.row].i] if p.side == "out" else new[rows[p.row].j])[p.start : p.end]
-    free = [p for k, r in enumerate(rows) for p in _passages(k, r, old, new, moves, settings, with_passages)]
-    tried: set = set()
-    for _ in range(settings.rounds):
-        out, into = [p for p in free if p.side == "out"], [p for p in free if p.side == "in"]
-        ranked = []
-        for p, q in _candidates(out, into, text, settings):
-            if (p, q) in tried:
-                continue
-            tried.add((p, q))
-            if p.row == q.row and p.first <= q.last and q.first <= p.last:
-                continue  # an edit in place is no move
-            if p.line and q.line and rows[p.row].kind == "delete" and rows[q.row].kind == "insert" and (sc := move_score(old[rows[p.row].i], new[rows[q.row].j], moves.similarity, moves.algorithm)) > 0:
-                ranked.append(((0, -sc, p.row, q.row), p, q, None))
-            elif with_passages and (m := passage_match(text(p), text(q), moves.similarity, settings, moves.algorithm)):
-                ranked.append(((1, -m[0], p.row, p.start, q.row, q.start), p, q, m))
-        ranked.sort(key=lambda x: x[0])
-        used: set[Passage] = set()
-        fresh: list[Passage] = []
-        for _, p, q, m in ranked:
-            if p in used or q in used:
-                continue
-            used |= {p, q}
-            if m is None:
-                line_move(p.row, q.row)
-                continue
-            number += 1
-            _, a1, a2, b1, b2 = m
-            rows[p.row].out_spans.append((p.start + a1, p.start + a2, number))
-            rows[q.row].in_spans.append((q.start + b1, q.start + b2, number))
-            for z, lo, hi in ((p, a1, a2), (q, b1, b2)):
-                for c, d in ((z.start, z.start + lo), (z.start + hi, z.end)):
-                    piece = Passage(z.row, z.side, c, d, z.first, z.last, False)
-                    t = text(piece)
-                    c, d = c + len(t) - len(t.lstrip()), d - (len(t) - len(t.rstrip()))
-                    if c < d and _long_enough(text(Passage(z.row, z.side, c, d, z.first, z.last, False)), settings):
-                        fresh.append(Passage(z.row, z.side, c, d, z.first, z.last, False))
-        if not used:
-            break
-        free = [p for p in free if p not in used and rows[p.row].kind in ("delete", "insert", "replace")] + fresh
+    MoveSearch(rows, old, new, moves, settings, with_passages).run()
     _redraw(rows, old, new)
     return rows
 
@@ -276,6 +311,7 @@ def _redraw(rows: list[Row], old: list[str], new: list[str]) -> None:
     for r in rows:
         if not r.out_spans and not r.in_spans:
             continue
+        r.plain = (r.words_added, r.words_removed)  # the counts as if no passage had moved
         changes, added, removed = [], 0, 0
         if r.kind == "replace":
             ops = word_ops(old[r.i], new[r.j])

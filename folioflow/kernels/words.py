@@ -12,13 +12,34 @@ from bisect import bisect_left
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+from folioflow.kernels.sequences import lcs_pairs
+
 TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 WORD = re.compile(r"\w+")
-PLACEHOLDERS = re.compile("[\ue000-\uf8ff]+")
+_AFTER_END = re.compile(r"(?:[\s”’\"'»)\]]|\[\^[^\]\s]+\])+$")  # what may stand between an end mark and the next sentence
+#: Comments stand in a text as one private-use character each.
+MARKS = "\ue000-\uf8ff\U00100000-\U0010fffd"
+MOST_MARKS = 6400 + 0xFFFE
+PLACEHOLDERS = re.compile(f"[{MARKS}]+")
 
 Op = tuple[str, int, int, int, int]
 
 
+class TooManyComments(ValueError):
+    """More comments than there are characters to stand for them."""
+
+
+def placeholder(k: int) -> str:
+    """The character of the k-th comment; there are ``MOST_MARKS``."""
+    if k >= MOST_MARKS:
+        raise TooManyComments(f"more than {MOST_MARKS} comments")
+    return chr(0xE000 + k if k < 6400 else 0x100000 + k - 6400)
+
+
+def placeholder_number(mark: str) -> int:
+    return ord(mark) - 0xE000 if ord(mark) < 0x100000 else ord(mark) - 0x100000 + 6400
+
+
 def _unique_matches(a: list[str], b: list[str], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
     """Longest increasing run of tokens that occur once on either side."""
     at: dict[str, list[int]] = {}
@@ -54,12 +75,11 @@ def patience_blocks(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     stack = [(0, len(a), 0, len(b))]
     while stack:
         a0, a1, b0, b1 = stack.pop()
-        head = tail = 0
         while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
             out.append((a0, b0))
-            a0, b0, head = a0 + 1, b0 + 1, head + 1
+            a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1, tail = a1 - 1, b1 - 1, tail + 1
+            a1, b1 = a1 - 1, b1 - 1
             out.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
@@ -71,9 +91,11 @@ def patience_blocks(a: list[str], b: list[str]) -> list[tuple[int, int]]:
                 if i < a1 or j < b1:
                     out.append((i, j))
                 pa, pb = i + 1, j + 1
-        elif head or tail or (a1 - a0) * (b1 - b0) <= 10_000:
+        elif (a1 - a0) * (b1 - b0) <= 10_000:
             for m in SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks():
                 out += [(a0 + m.a + k, b0 + m.b + k) for k in range(m.size)]
+        else:  # long stretches of repeated tokens: as good, and in bit-parallel rows
+            out += [(a0 + i, b0 + j) for i, j in lcs_pairs(a[a0:a1], b[b0:b1])]
     return sorted(out)
 
 
@@ -117,7 +139,7 @@ def _edge_score(text: str, start: int, end: int) -> int:
         if at in (0, len(text)):
             score += 4
         else:
-            before = text[:at].rstrip()[-1:]
+            before = _AFTER_END.sub("", text[max(0, at - 80) : at])[-1:]
             score += 3 if before in ".!?;:" and before else 1 if before == "," else 0
             if re.match(r"\w", text[at - 1]) and re.match(r"\w", text[at]):
                 score -= 5

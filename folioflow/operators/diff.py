@@ -40,15 +40,12 @@ def diff_rows(pairs: DataFrame, options: Options | None = None) -> DataFrame:
             for pair, old, new in zip(b["pair_id"], b["old"], b["new"], strict=True):
                 old, new = list(old), list(new)
                 compared = compare(old, new, moves, settings, options.move_passages, options.ignore_whitespace)
-                plain = {}
-                if any(r.out_spans for r in compared):  # what the counts are as if no passage had moved
-                    plain = {(r.i, r.j): r for r in compare(old, new, moves, settings, False, options.ignore_whitespace)}
                 for n, r in enumerate(compared):
-                    p = plain.get((r.i, r.j), r)
+                    plain = r.plain or (r.words_added, r.words_removed)
                     left, right = None if r.i is None else old[r.i], None if r.j is None else new[r.j]
                     rows.append((
                         pair, n + 1, r.kind, None if r.i is None else r.i + 1, None if r.j is None else r.j + 1, left, right, r.changes, r.words_added, r.words_removed, r.move, r.edited,
-                        [left[s:e] for s, e, _ in r.out_spans], [right[s:e] for s, e, _ in r.in_spans], p.words_added, p.words_removed,
+                        [left[s:e] for s, e, _ in r.out_spans], [right[s:e] for s, e, _ in r.in_spans], *plain,
                     ))
             out = pd.DataFrame(rows, columns=["pair_id", *(x.split()[0] for x in ROW_FIELDS.split(", "))])
             for c in ("left_no", "right_no", "move_pair"):
