@@ -56,16 +56,31 @@ def diff_rows(pairs: DataFrame, options: Options | None = None) -> DataFrame:
     return changed.mapInPandas(run, f"pair_id {kind}, {ROW_FIELDS}")
 
 
-def counts(rows: DataFrame, *by: str | Column, passages: bool = True) -> DataFrame:
-    """The nine counts, per pair by default; with ``passages`` off, as if no passage had moved."""
+def _nine(passages: bool) -> list[Column]:
     kind = F.col("kind")
     n = lambda *ks: F.count(F.when(kind.isin(*ks), 1))
     a, r = ("words_added", "words_removed") if passages else ("words_added_plain", "words_removed_plain")
     moved = F.size("moved_out") if passages else F.lit(0)
-    return rows.groupBy(*(by or ("pair_id",))).agg(
+    return [
         n("insert", "replace").alias("additions"), n("delete", "replace").alias("deletions"), F.sum(a).alias("words_added"), F.sum(r).alias("words_removed"), n("moved-out").alias("moved_lines"),
         F.sum(moved).cast("bigint").alias("moved_passages"), n("replace").alias("edited_lines"), n("insert").alias("inserted_lines"), n("delete").alias("deleted_lines"),
-    )
+    ]
+
+
+def counts(rows: DataFrame, *by: str | Column, passages: bool = True) -> DataFrame:
+    """The nine counts, per pair by default; with ``passages`` off, as if no passage had moved."""
+    return rows.groupBy(*(by or ("pair_id",))).agg(*_nine(passages))
+
+
+def counts_with_subtotals(rows: DataFrame, *by: str, passages: bool = True) -> DataFrame:
+    """The nine counts per ``by`` with the subtotals of each level and the total."""
+    return rows.rollup(*by).agg(*_nine(passages))
+
+
+def change_counts(rows: DataFrame) -> DataFrame:
+    """``pair_id, changes, formatted``: rows that changed at all, and those that only changed in their formats."""
+    only = F.size("formats") > 0 if "formats" in rows.columns else F.lit(False)
+    return rows.groupBy("pair_id").agg(F.count(F.when(F.col("kind") != "equal", 1)).alias("changes"), F.count(F.when((F.col("kind") == "equal") & only, 1)).alias("formatted"))
 
 
 def folded(rows: DataFrame, context: int = 0, max_hidden: int = 500) -> DataFrame:
@@ -78,6 +93,22 @@ def folded(rows: DataFrame, context: int = 0, max_hidden: int = 500) -> DataFram
     return r.withColumn("shown", shown).withColumn("omitted", ~shown & (F.col("_n") > max_hidden)).drop("_c", "_g", "_l", "_u", "_d", "_n")
 
 
+def skips(rows: DataFrame) -> DataFrame:
+    """The gaps between shown rows of ``folded`` rows: ``pair_id, after, hidden, omitted``; ``after``
+    is the number of the last row before the gap, ``omitted`` whether it is left out whole."""
+    order = W.partitionBy("pair_id").orderBy("row_no")
+    h = rows.where(~F.col("shown")).withColumn("_n", F.col("row_no") - F.row_number().over(order))
+    return h.groupBy("pair_id", "_n").agg((F.min("row_no") - 1).alias("after"), F.count("*").alias("hidden"), F.max("omitted").alias("omitted")).drop("_n")
+
+
+def stops(rows: DataFrame, prose: bool = True) -> DataFrame:
+    """``folded`` rows with ``stop``: where a reader going from change to change halts. In prose that
+    is every change, in code the first of each run; a gap that isn't shown ends a run."""
+    changed = F.col("shown") & (F.col("kind") != "equal")
+    before = F.lag(changed, 1, False).over(W.partitionBy("pair_id").orderBy("row_no"))
+    return rows.withColumn("stop", changed if prose else changed & ~before)
+
+
 def word_changes(rows: DataFrame) -> DataFrame:
     """Word-level ops of the edited rows: ``pair_id, row_no, op, tag, o1, o2, n1, n2``."""
     kind = rows.schema["pair_id"].dataType.simpleString()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as X
 from folioflow.operators import diff as D
 from folioflow.plans.prose import LINES_SQL, big, lines
-from folioflow.plans.revisions import NEW_SQL, new_lines
+from folioflow.plans.revisions import NEW_SQL
 from folioflow.plans.versions import pairs
 from folioflow.session import running, table
 
@@ -21,12 +21,6 @@ def review_rows(spark, sf):
     return lines(spark, sf).select("doc_id", (F.col("idx") + 1).alias("right_no"), F.lit("equal").alias("kind"), F.lit(None).cast("bigint").alias("left_no"))
 
 
-def new_versions(spark, sf):
-    """The whole new text of each revision."""
-    n = new_lines(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line"))).alias("x"))
-    return n.select("doc_id", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("text"))
-
-
 def reference_texts(spark, sf):
     """Texts given as context: each file's blocks, at most 200,000 characters in all."""
     b = table(spark, sf, "blocks").where("text is not null").select("block_id", "file_id", "text").dropDuplicates(["block_id"])
@@ -95,11 +89,10 @@ def changed_words(spark, sf):
     return g.join(table(spark, sf, "doc_files").select("file_id", "path"), "file_id").select("path", "added", "removed")
 
 
-QUERIES = {f.__name__: f for f in (review_rows, new_versions, reference_texts, language_tags, language_names, durations, counted_files, alignment_rebuilds, moves_one_to_one, row_languages, changed_words)}
+QUERIES = {f.__name__: f for f in (review_rows, reference_texts, language_tags, language_names, durations, counted_files, alignment_rebuilds, moves_one_to_one, row_languages, changed_words)}
 _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items())
 SQL = {
     "review_rows": f"WITH {LINES_SQL} SELECT doc_id, idx + 1 AS right_no, 'equal' AS kind, CAST(NULL AS BIGINT) AS left_no FROM lines",
-    "new_versions": f"WITH {LINES_SQL} {NEW_SQL} SELECT doc_id, string_agg(line, chr(10) ORDER BY idx) AS text FROM newlines GROUP BY doc_id",
     "reference_texts": "WITH b AS (SELECT DISTINCT block_id, file_id, text FROM blocks WHERE text IS NOT NULL), c AS (SELECT *, coalesce(sum(len(text) + 1) OVER (PARTITION BY file_id ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM b) SELECT file_id, string_agg(left(text, CAST(200000 - before AS BIGINT)), chr(10) ORDER BY block_id) AS reference FROM c WHERE before < 200000 GROUP BY file_id",
     "language_tags": """WITH p AS (SELECT block_id, language, lower(regexp_extract(language, '^([A-Za-z]{2,3})(?:[-_]|$)', 1)) AS base, upper(regexp_extract(language, '^[A-Za-z]{2,3}[-_]([A-Za-z]{2})$', 1)) AS region FROM blocks)
 SELECT language, CASE WHEN language IS NULL OR base = '' OR base IN ('und', 'zxx', 'non') THEN NULL WHEN region <> '' THEN base || '-' || region ELSE base END AS tag, count(DISTINCT block_id) AS blocks FROM p GROUP BY 1, 2""",

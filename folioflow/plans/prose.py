@@ -92,7 +92,7 @@ def html_escape(spark, sf):
 
 
 def prompt_cut(spark, sf):
-    """Texts as prompts take them. The SQL cuts at 400 characters."""
+    """Texts as prompts take them."""
     return table(spark, sf, "documents").select("doc_id", X.cut(F.col("text"), LIMIT).alias("cut"))
 
 
@@ -187,9 +187,9 @@ SQL = {
     "long_enough": f"WITH {LINES_SQL} SELECT doc_id, idx, len({WORDS_SQL}) >= 4 AND {NONBLANK_SQL} >= 15 AS long_enough FROM lines",
     "word_frequency": f"WITH w AS (SELECT DISTINCT doc_id, replace(lower(replace(unnest(regexp_extract_all(text, '{WORD}')), 'İ', 'i̇')), 'ß', 'ss') AS word FROM documents) SELECT word, count(*) AS documents FROM w GROUP BY word",
     "html_escape": f"WITH {LINES_SQL} SELECT doc_id, idx, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;') AS html FROM lines",
-    "prompt_cut": r"""WITH h AS (SELECT doc_id, text, left(text, 400) AS head FROM documents),
+    "prompt_cut": r"""WITH h AS (SELECT doc_id, text, left(text, 300000) AS head FROM documents),
 k AS (SELECT doc_id, text, CASE WHEN contains(head, chr(10)) THEN left(head, len(head) - len(regexp_extract(head, '[^\n]*$')) - 1) ELSE head END AS kept FROM h)
-SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(text) <= 400 THEN text ELSE kept || chr(10) || '[' || (len(text) - len(kept)) || ' more characters of the text left out]' END AS cut FROM k""",
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(text) <= 300000 THEN text ELSE kept || chr(10) || '[' || (len(text) - len(kept)) || ' more characters of the text left out]' END AS cut FROM k""",
     "heading_numbers": f"WITH {LINES_SQL}, h AS (SELECT doc_id, idx, CAST(len(regexp_extract(line, '^(#+)', 1)) AS BIGINT) AS level FROM lines WHERE regexp_matches(line, '^#{{1,6}} ')), t AS (SELECT *, min(level) OVER (PARTITION BY doc_id) AS top FROM h), "
     + "n AS (SELECT a.doc_id, a.idx, a.level, a.top, k, (SELECT count(*) FROM h b WHERE b.doc_id = a.doc_id AND b.idx <= a.idx AND b.level = k AND b.idx > coalesce((SELECT max(c.idx) FROM h c WHERE c.doc_id = a.doc_id AND c.idx <= a.idx AND c.level < k), -1)) AS c FROM t a, range(1, 7) r(k) WHERE k >= a.top AND k <= a.level) "
     + "SELECT doc_id, idx, level, string_agg(CAST(c AS VARCHAR), '.' ORDER BY k) || '.' AS number FROM n GROUP BY doc_id, idx, level",

@@ -129,7 +129,7 @@ def data_uris(spark, sf):
 
 
 def prompt_parts(spark, sf):
-    """Prompts put together from instruction, subject and the text. The SQL takes 300 characters of it."""
+    """Prompts put together from instruction, subject and the text."""
     d = table(spark, sf, "documents").where("text is not null")
     subject = F.concat(F.coalesce("project", F.lit("")), F.lit("/"), F.coalesce("source", F.lit("")))
     return d.select("doc_id", prompt(F.lit("review"), subject, F.col("text"), task=F.lit("Assess the text below.")).alias("prompt"))
@@ -174,7 +174,7 @@ QUERIES = {f.__name__: f for f in (comment_status, open_comments, comment_panel,
 MARKS_SQL = "WITH m AS (SELECT DISTINCT mark_id, c.file_id, author, text, resolved, side, split_part(path, '/', 1) AS project FROM comment_marks c JOIN doc_files f ON f.file_id = c.file_id)"
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 QUOTED = "'\"' || CASE WHEN len(text) > 60 THEN left(text, 59) || '…' ELSE text END || '\"'"
-CUT = "CASE WHEN len(text) <= 300 THEN text ELSE kept || chr(10) || '[' || (len(text) - len(kept)) || ' more characters of the text left out]' END"
+CUT = "CASE WHEN len(text) <= 300000 THEN text ELSE kept || chr(10) || '[' || (len(text) - len(kept)) || ' more characters of the document left out]' END"
 EST_SQL = """h AS (SELECT DISTINCT run_id, date, ai, effort, kind, seconds FROM assess_history WHERE seconds > 0 AND NOT isnan(seconds)),
 r AS (SELECT *, row_number() OVER (PARTITION BY ai, effort, kind ORDER BY date DESC, run_id DESC) AS r FROM h),
 g AS (SELECT ai, effort, kind, list_sort(list(seconds)) AS s, count(*) AS n FROM r WHERE r <= 20 GROUP BY ai, effort, kind HAVING count(*) >= 3),
@@ -203,7 +203,7 @@ SELECT assess_id, pos, n.side AS side, n.start AS start, n.problem AS problem, n
     "change_descriptions": f"SELECT DISTINCT span_id, CASE WHEN regexp_replace(text, '{SPACE}', '', 'g') = '' THEN CASE kind WHEN 'insertion' THEN 'added a space' ELSE 'removed a space' END ELSE CASE kind WHEN 'insertion' THEN 'added ' ELSE 'removed ' END || {QUOTED} END AS description FROM change_spans WHERE kind IN ('insertion', 'deletion') AND text <> ''",
     "binary_files": "SELECT doc_id, false AS binary FROM documents",
     "data_uris": "SELECT file_id, 'data:text/plain;base64,' || base64(encode(path)) AS uri FROM doc_files",
-    "prompt_parts": rf"""WITH h AS (SELECT *, left(text, 300) AS head FROM documents WHERE text IS NOT NULL), k AS (SELECT *, CASE WHEN contains(head, chr(10)) THEN left(head, len(head) - len(regexp_extract(head, '[^\n]*$')) - 1) ELSE head END AS kept FROM h)
+    "prompt_parts": rf"""WITH h AS (SELECT *, left(text, 300000) AS head FROM documents WHERE text IS NOT NULL), k AS (SELECT *, CASE WHEN contains(head, chr(10)) THEN left(head, len(head) - len(regexp_extract(head, '[^\n]*$')) - 1) ELSE head END AS kept FROM h)
 SELECT doc_id, 'Assess the text below.' || chr(10) || chr(10) || 'Subject: ' || coalesce(project, '') || '/' || coalesce(source, '') || chr(10) || chr(10) || {CUT} AS prompt FROM k""",
     "check_context": "WITH f AS (SELECT *, regexp_extract(path, '^(.*)/', 1) AS dir FROM doc_files) SELECT file_id FROM f WHERE side = 'old' AND dir IN (SELECT dir FROM f WHERE side = 'new')",
     "document_kinds": "SELECT split_part(path, '/', 1) AS project, string_agg(DISTINCT file_format, ',' ORDER BY file_format) AS kinds FROM doc_files GROUP BY 1",

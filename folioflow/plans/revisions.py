@@ -2,7 +2,8 @@
 
 Every document is compared with a revision made of it by rule, the same in both engines:
 each 7th line (by number, 3 of 7) is dropped, each 5th (2 of 5) gets ``(revised)`` at its end,
-and the first line moves to the end. All documents and all their lines take part.
+the first line moves to the end, the last stays. All documents and all their lines take part.
+The operators see only the two texts; the SQL knows the rule.
 """
 
 from __future__ import annotations
@@ -14,33 +15,61 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.functions import text as X
 from folioflow.kernels.lines import token_similarity
+from folioflow.operators.diff import counts, counts_with_subtotals, diff_rows, folded, skips, stops
 from folioflow.operators.folders import compare_folders, fingerprints_changed
 from folioflow.operators.similarity import mutual_best, rare_word_candidates, similar_lines
 from folioflow.plans.prose import LINES_SQL, NONBLANK_SQL, SPACED_SQL, TOKENS_SQL, WORDS_SQL, big, lines
-from folioflow.session import table
+from folioflow.session import cut_lineage, table
+from folioflow.sources.sinks import hunks as diff_hunks
+
+# Every line gets four words of its own in front, so which line became which is beyond doubt.
+KNOWN_SQL = """,
+marked AS (SELECT doc_id, idx, md5(doc_id || '/' || idx) AS h, line AS text, count(*) OVER (PARTITION BY doc_id) AS n FROM lines),
+known AS (SELECT doc_id, idx, n, substr(h, 1, 8) || ' ' || substr(h, 9, 8) || ' ' || substr(h, 17, 8) || ' ' || substr(h, 25, 8) || ' ' || text AS line,
+  CASE WHEN idx = 0 AND n > 1 THEN 'moved-out' WHEN idx % 7 = 3 AND idx < n - 1 THEN 'delete' WHEN idx % 5 = 2 AND idx < n - 1 THEN 'replace' ELSE 'equal' END AS kind FROM marked)"""
+ROWS_SQL = KNOWN_SQL + """,
+r0 AS (SELECT doc_id, idx AS ord, kind, idx + 1 AS left_no, CASE WHEN kind IN ('equal', 'replace') THEN count(*) FILTER (kind IN ('equal', 'replace')) OVER (PARTITION BY doc_id ORDER BY idx) END AS right_no, line AS old_line,
+    CASE kind WHEN 'equal' THEN line WHEN 'replace' THEN line || '(revised)' END AS new_line FROM known WHERE n > 1
+  UNION ALL SELECT doc_id, 1000000000, 'moved-in', NULL, (SELECT count(*) + 1 FROM known k WHERE k.doc_id = known.doc_id AND k.kind IN ('equal', 'replace')), NULL, line FROM known WHERE kind = 'moved-out'),
+rows_ AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS row_no, kind, left_no, right_no, old_line, new_line, coalesce(old_line, new_line) AS line FROM r0)"""
+
+
+def known_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_id, idx, line, kind``: all lines with words of their own in front, and what becomes of each."""
+    d = lines(spark, sf)
+    h = F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), F.col("idx").cast("string")).cast("binary"))
+    d = d.withColumn("h", h).withColumn("line", F.concat_ws(" ", *[F.substring("h", k, 8) for k in (1, 9, 17, 25)], "line"))
+    n = d.groupBy("doc_id").agg(F.count("*").alias("n"))
+    d = d.join(n, "doc_id")
+    inside = F.col("idx") < F.col("n") - 1
+    kind = F.when((F.col("idx") == 0) & (F.col("n") > 1), "moved-out").when((F.col("idx") % 7 == 3) & inside, "delete").when((F.col("idx") % 5 == 2) & inside, "replace").otherwise("equal")
+    return d.select("doc_id", "idx", "line", kind.alias("kind"))
 
-NEW_SQL = """,
-newlines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN idx = 0 THEN 1000000000 ELSE idx END) - 1 AS idx, idx AS was, CASE WHEN idx % 5 = 2 THEN line || ' (revised)' ELSE line END AS line FROM lines WHERE idx % 7 <> 3)"""
-ROWS_SQL = """,
-r0 AS (SELECT doc_id, CASE WHEN idx = 0 THEN -1 ELSE idx END AS ord, CASE WHEN idx = 0 THEN 'moved-out' WHEN idx % 7 = 3 THEN 'delete' WHEN idx % 5 = 2 THEN 'replace' ELSE 'equal' END AS kind, line FROM lines
-  UNION ALL SELECT doc_id, 1000000000, 'moved-in', line FROM lines WHERE idx = 0),
-rows_ AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS row_no, kind, line FROM r0)"""
+
+def known_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its known revision: ``pair_id, old, new``."""
+    d = known_lines(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "line", "kind"))).alias("x"))
+    line = lambda s: s["line"]
+    kept = F.transform(F.filter("x", lambda s: s["kind"].isin("equal", "replace")), lambda s: F.when(s["kind"] == "replace", F.concat(s["line"], F.lit("(revised)"))).otherwise(s["line"]))
+    moved = F.transform(F.filter("x", lambda s: s["kind"] == "moved-out"), line)
+    return d.select(F.col("doc_id").alias("pair_id"), F.transform("x", line).alias("old"), F.concat(kept, moved).alias("new"))
+
+
+def known_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that the operator finds for the known revisions."""
+    return diff_rows(known_pairs(spark, sf))
 
 
 def new_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """A revision of the lines as they are, copies and all: each 7th (3 of 7) dropped, each 5th (2 of 5) edited, the first at the end."""
     kept = lines(spark, sf).where(F.col("idx") % 7 != 3)
     order = W.partitionBy("doc_id").orderBy(F.when(F.col("idx") == 0, 1_000_000_000).otherwise(F.col("idx")))
     text = F.when(F.col("idx") % 5 == 2, F.concat("line", F.lit(" (revised)"))).otherwise(F.col("line"))
-    return kept.select("doc_id", big(F.row_number().over(order) - 1).alias("idx"), F.col("idx").alias("was"), text.alias("line"))
+    return kept.select("doc_id", (F.row_number().over(order) - 1).cast("bigint").alias("idx"), F.col("idx").alias("was"), text.alias("line"))
 
 
-def rows_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of the side-by-side table: equal, replace, delete, moved-out, moved-in."""
-    d = lines(spark, sf)
-    kind = F.when(F.col("idx") == 0, "moved-out").when(F.col("idx") % 7 == 3, "delete").when(F.col("idx") % 5 == 2, "replace").otherwise("equal")
-    old = d.select("doc_id", F.when(F.col("idx") == 0, -1).otherwise(F.col("idx")).alias("ord"), kind.alias("kind"), "line")
-    moved = d.where("idx = 0").select("doc_id", F.lit(1_000_000_000).cast("bigint").alias("ord"), F.lit("moved-in").alias("kind"), "line")
-    return old.union(moved).select("doc_id", big(F.row_number().over(W.partitionBy("doc_id").orderBy("ord"))).alias("row_no"), "kind", "line")
+NEW_SQL = """,
+newlines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN idx = 0 THEN 1000000000 ELSE idx END) - 1 AS idx, idx AS was, CASE WHEN idx % 5 = 2 THEN line || ' (revised)' ELSE line END AS line FROM lines WHERE idx % 7 <> 3)"""
 
 
 def snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -78,9 +107,10 @@ def line_multiset_counts(spark, sf):
 
 
 def _lone(spark, sf) -> tuple[DataFrame, DataFrame]:
-    old = lines(spark, sf).where("idx % 7 = 3 or idx % 5 = 2 or idx = 0").select("doc_id", F.col("idx").alias("i"), "line")
-    new = new_lines(spark, sf).where("was % 5 = 2 or was = 0").select("doc_id", F.col("idx").alias("j"), "line")
-    return old, new
+    """The lines that the alignment leaves without an equal on the other side."""
+    r = known_rows(spark, sf).where("kind <> 'equal'").select(F.col("pair_id").alias("doc_id"), "left_no", "right_no", "old_line", "new_line")
+    r = cut_lineage(r)  # both sides come of one comparison
+    return r.where("left_no is not null").select("doc_id", (F.col("left_no") - 1).alias("i"), F.col("old_line").alias("line")), r.where("right_no is not null").select("doc_id", (F.col("right_no") - 1).alias("j"), F.col("new_line").alias("line"))
 
 
 def exact_moves(spark, sf):
@@ -128,89 +158,49 @@ def token_similarities(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ordered_similarity(spark, sf):
-    """LCS similarity of each revised line with what it was. The SQL looks only at lines up to 12 tokens long."""
+    """LCS similarity of each revised line with what it was. """
     d = lines(spark, sf).where("idx % 5 = 2").withColumn("a", X.similarity_tokens(F.col("line")))
     d = d.withColumn("b", X.similarity_tokens(F.concat("line", F.lit(" (revised)"))))
     return token_similarities(d, ["doc_id", "idx"]).withColumn("similarity", F.round("similarity", 6))
 
 
-def _counts(r: DataFrame) -> list:
-    kind = F.col("kind")
-    words = F.when(kind == "delete", F.size(X.words(F.col("line")))).otherwise(0)
-    count = lambda *ks: F.count(F.when(kind.isin(*ks), 1))
-    return [count("replace").alias("additions"), count("replace", "delete").alias("deletions"), big(F.sum(words)).alias("words_removed"), count("replace").alias("words_added"), count("moved-in").alias("moved_lines"), count("delete").alias("deleted_lines"), F.count("*").alias("rows")]
-
-
 def file_counts(spark, sf):
-    r = rows_table(spark, sf)
-    return r.groupBy("doc_id").agg(*_counts(r))
+    return counts(known_rows(spark, sf), F.col("pair_id").alias("doc_id"))
 
 
 def total_counts(spark, sf):
-    r = rows_table(spark, sf)
-    return r.agg(*_counts(r))
+    return counts(known_rows(spark, sf), F.lit("all").alias("pair_id")).drop("pair_id")
 
 
 def counts_rollup(spark, sf):
     """Counts per project and file with subtotals and the total."""
-    r = rows_table(spark, sf).join(table(spark, sf, "documents").select("doc_id", "project"), "doc_id")
-    return r.rollup("project", "doc_id").agg(*_counts(r))
+    r = known_rows(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("pair_id"), "project"), "pair_id")
+    return counts_with_subtotals(r, "project", "pair_id").withColumnRenamed("pair_id", "doc_id")
 
 
 def first_of_change(spark, sf):
     """In code only the first row of each run of changes is a stop."""
-    r = rows_table(spark, sf)
-    changed = F.col("kind") != "equal"
-    before = F.lag(changed, 1, False).over(W.partitionBy("doc_id").orderBy("row_no"))
-    return r.select("doc_id", "row_no", (changed & ~before).alias("first"))
-
-
-def _gaps(r: DataFrame) -> DataFrame:
-    order = W.partitionBy("doc_id").orderBy("row_no")
-    r = r.withColumn("changed", (F.col("kind") != "equal").cast("int")).withColumn("gap", F.sum("changed").over(order))
-    last = F.max("gap").over(W.partitionBy("doc_id"))
-    r = r.withColumn("last_gap", last)
-    inside = W.partitionBy("doc_id", "gap", "changed")
-    return r.withColumn("up", F.row_number().over(inside.orderBy("row_no"))).withColumn("down", F.row_number().over(inside.orderBy(F.desc("row_no")))).withColumn("size", F.count("*").over(inside))
+    return stops(folded(known_rows(spark, sf), context=1), prose=False).where("shown").select(F.col("pair_id").alias("doc_id"), "row_no", F.col("stop").alias("first"))
 
 
 def context_fold(spark, sf):
     """Which rows show with two rows of context around changes."""
-    r = _gaps(rows_table(spark, sf))
-    shown = (F.col("changed") == 1) | ((F.col("gap") > 0) & (F.col("up") <= 2)) | ((F.col("gap") < F.col("last_gap")) & (F.col("down") <= 2))
-    return r.select("doc_id", "row_no", shown.alias("shown"))
+    return folded(known_rows(spark, sf), context=2).select(F.col("pair_id").alias("doc_id"), "row_no", "shown")
 
 
 def long_gap(spark, sf):
-    """Unchanged gaps over 4 rows, which are left out."""
-    r = _gaps(rows_table(spark, sf)).where("changed = 0")
-    return r.groupBy("doc_id", "gap").agg(F.count("*").alias("omitted")).where("omitted > 4").select("doc_id", big(F.col("gap")).alias("gap"), "omitted")
-
-
-def _hunks(r: DataFrame, context: int) -> DataFrame:
-    c = r.where("kind <> 'equal'").select("doc_id", F.greatest(F.col("row_no") - context, F.lit(1)).alias("a"), (F.col("row_no") + context).alias("b"))
-    n = r.groupBy("doc_id").agg(F.max("row_no").alias("n"))
-    c = c.join(n, "doc_id").select("doc_id", "a", F.least("b", "n").alias("b"))
-    before = F.max("b").over(W.partitionBy("doc_id").orderBy("a", "b").rowsBetween(W.unboundedPreceding, -1))
-    c = c.withColumn("new", F.when(F.col("a") <= before + 1, 0).otherwise(1)).withColumn("hunk", F.sum("new").over(W.partitionBy("doc_id").orderBy("a", "b")))
-    return c.groupBy("doc_id", "hunk").agg(F.min("a").alias("first"), F.max("b").alias("last")).withColumn("hunk", big(F.col("hunk")))
+    """Unchanged gaps, those over 3 rows left out whole."""
+    return skips(folded(known_rows(spark, sf), context=0, max_hidden=3)).select(F.col("pair_id").alias("doc_id"), "after", "hidden", "omitted")
 
 
 def hunks(spark, sf):
     """Changes with a row of context each, touching ones merged."""
-    return _hunks(rows_table(spark, sf), 1)
+    return diff_hunks(known_rows(spark, sf), 1).select(F.col("pair_id").alias("doc_id"), big(F.col("hunk")).alias("hunk"), big(F.col("first")).alias("first"), big(F.col("last")).alias("last"))
 
 
 def hunk_headers(spark, sf):
     """Header of each hunk of a unified diff; an empty side names the line before."""
-    r = rows_table(spark, sf)
-    order = W.partitionBy("doc_id").orderBy("row_no")
-    left, right = F.col("kind") != "moved-in", ~F.col("kind").isin("delete", "moved-out")
-    r = r.withColumn("o", F.sum(left.cast("int")).over(order)).withColumn("n", F.sum(right.cast("int")).over(order)).withColumn("l", left.cast("int")).withColumn("r", right.cast("int"))
-    h = _hunks(rows_table(spark, sf), 1)
-    j = h.join(r, "doc_id").where("row_no between first and last").groupBy("doc_id", "hunk").agg(F.min("o").alias("o0"), F.sum("l").alias("on"), F.max("o").alias("o1"), F.sum("r").alias("nn"), F.max("n").alias("n1"))
-    side = lambda last, n: F.concat((F.when(n == 0, last).otherwise(last - n + 1)).cast("string"), F.when(n == 1, "").otherwise(F.concat(F.lit(","), n.cast("string"))))
-    return j.select("doc_id", "hunk", F.concat(F.lit("@@ -"), side(F.col("o1"), F.col("on")), F.lit(" +"), side(F.col("n1"), F.col("nn")), F.lit(" @@")).alias("header"))
+    return diff_hunks(known_rows(spark, sf), 1).select(F.col("pair_id").alias("doc_id"), big(F.col("hunk")).alias("hunk"), "header")
 
 
 QUERIES = {f.__name__: f for f in (folder_compare, folder_compare_common, rename_detect, changed_fingerprints, line_multiset_counts, exact_moves, moved_lines_fuzzy, moved_lines_matched, rare_word_blocking, ordered_similarity, file_counts, total_counts, counts_rollup, first_of_change, context_fold, long_gap, hunks, hunk_headers)}
@@ -222,13 +212,13 @@ n AS (SELECT CASE WHEN doc_id % 10 = 1 THEN 'moved/' || path ELSE path END AS pa
 c AS (SELECT CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END AS change, o.path AS old_path, n.path AS new_path, o.content AS oc, n.content AS nc
   FROM o FULL OUTER JOIN n ON o.path = n.path WHERE o.content IS DISTINCT FROM n.content)"""
 LONE_SQL = f""",
-oldl AS (SELECT doc_id, idx AS i, line FROM lines WHERE idx % 7 = 3 OR idx % 5 = 2 OR idx = 0),
-newl AS (SELECT doc_id, idx AS j, line FROM newlines WHERE was % 5 = 2 OR was = 0),
+oldl AS (SELECT doc_id, left_no - 1 AS i, old_line AS line FROM rows_ WHERE kind <> 'equal' AND left_no IS NOT NULL),
+newl AS (SELECT doc_id, right_no - 1 AS j, new_line AS line FROM rows_ WHERE kind <> 'equal' AND right_no IS NOT NULL),
 ok AS (SELECT *, CASE WHEN {NONBLANK_SQL} >= 20 THEN {SPACED_SQL} END AS key FROM oldl),
 nk AS (SELECT *, CASE WHEN {NONBLANK_SQL} >= 20 THEN {SPACED_SQL} END AS key FROM newl)"""
 SIMTOK = f"list_filter({TOKENS_SQL}, lambda x: NOT regexp_matches(x, '^([\\s\\x0b\\x1c-\\x1f\\x{{85}}\\p{{Z}}]|[\\x{{E000}}-\\x{{F8FF}}])'))"
-COUNTS_SQL = f"""count(*) FILTER (kind = 'replace') AS additions, count(*) FILTER (kind IN ('replace', 'delete')) AS deletions, CAST(coalesce(sum(CASE WHEN kind = 'delete' THEN len({WORDS_SQL}) ELSE 0 END), NULL) AS BIGINT) AS words_removed,
-count(*) FILTER (kind = 'replace') AS words_added, count(*) FILTER (kind = 'moved-in') AS moved_lines, count(*) FILTER (kind = 'delete') AS deleted_lines, count(*) AS rows"""
+COUNTS_SQL = f"""count(*) FILTER (kind = 'replace') AS additions, count(*) FILTER (kind IN ('replace', 'delete')) AS deletions, count(*) FILTER (kind = 'replace') AS words_added, CAST(sum(CASE WHEN kind = 'delete' THEN len({WORDS_SQL}) ELSE 0 END) AS BIGINT) AS words_removed,
+count(*) FILTER (kind = 'moved-out') AS moved_lines, CAST(0 AS BIGINT) AS moved_passages, count(*) FILTER (kind = 'replace') AS edited_lines, CAST(0 AS BIGINT) AS inserted_lines, count(*) FILTER (kind = 'delete') AS deleted_lines"""
 GAPS_SQL = """,
 g AS (SELECT *, CASE WHEN kind <> 'equal' THEN 1 ELSE 0 END AS changed, sum(CASE WHEN kind <> 'equal' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY row_no) AS gap FROM rows_),
 gg AS (SELECT *, max(gap) OVER (PARTITION BY doc_id) AS last_gap, row_number() OVER (PARTITION BY doc_id, gap, changed ORDER BY row_no) AS up, row_number() OVER (PARTITION BY doc_id, gap, changed ORDER BY row_no DESC) AS down FROM g)"""
@@ -252,17 +242,18 @@ SQL = {
     + "SELECT change, old_path, new_path FROM c WHERE NOT (change = 'deleted' AND old_path IN (SELECT old_path FROM m)) AND NOT (change = 'added' AND new_path IN (SELECT new_path FROM m)) UNION ALL SELECT 'renamed', old_path, new_path FROM m",
     "changed_fingerprints": f"{SNAP_SQL} SELECT o.path FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.path = o.path AND n.content = o.content)",
     "line_multiset_counts": f"{LN}, o AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY idx) AS k FROM lines), n AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY idx) AS k FROM newlines) SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, count(*) FILTER (o.k IS NOT NULL AND n.k IS NOT NULL) AS lines_kept, count(*) FILTER (n.k IS NULL) AS lines_removed, count(*) FILTER (o.k IS NULL) AS lines_added FROM o FULL OUTER JOIN n ON o.doc_id = n.doc_id AND o.line = n.line AND o.k = n.k GROUP BY 1",
-    "exact_moves": f"{LN} {LONE_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS k FROM ok WHERE key IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY j) AS k FROM nk WHERE key IS NOT NULL) SELECT a.doc_id, i, j FROM a JOIN b ON a.doc_id = b.doc_id AND a.key = b.key AND a.k = b.k",
-    "moved_lines_fuzzy": f"{LN} {LONE_SQL} {SCORES_SQL} SELECT doc_id, i, count(*) AS links, round(max(score), 6) AS score, min(j) FILTER (score = m) AS j FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, i) AS m FROM sc) GROUP BY doc_id, i",
-    "rare_word_blocking": f"{LN} {LONE_SQL}, ow AS (SELECT DISTINCT doc_id, i, unnest({FOLDED}) AS word FROM oldl), nw AS (SELECT DISTINCT doc_id, j, unnest({FOLDED}) AS word FROM newl), np AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM oldl UNION ALL SELECT doc_id FROM newl) GROUP BY doc_id), df AS (SELECT doc_id, word, count(*) AS df FROM (SELECT doc_id, word FROM ow UNION ALL SELECT doc_id, word FROM nw) GROUP BY ALL), "
+    "exact_moves": f"{LR} {LONE_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY i) AS k FROM ok WHERE key IS NOT NULL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY j) AS k FROM nk WHERE key IS NOT NULL) SELECT a.doc_id, i, j FROM a JOIN b ON a.doc_id = b.doc_id AND a.key = b.key AND a.k = b.k",
+    "moved_lines_fuzzy": f"{LR} {LONE_SQL} {SCORES_SQL} SELECT doc_id, i, count(*) AS links, round(max(score), 6) AS score, min(j) FILTER (score = m) AS j FROM (SELECT *, max(score) OVER (PARTITION BY doc_id, i) AS m FROM sc) GROUP BY doc_id, i",
+    "rare_word_blocking": f"{LR} {LONE_SQL}, ow AS (SELECT DISTINCT doc_id, i, unnest({FOLDED}) AS word FROM oldl), nw AS (SELECT DISTINCT doc_id, j, unnest({FOLDED}) AS word FROM newl), np AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM oldl UNION ALL SELECT doc_id FROM newl) GROUP BY doc_id), df AS (SELECT doc_id, word, count(*) AS df FROM (SELECT doc_id, word FROM ow UNION ALL SELECT doc_id, word FROM nw) GROUP BY ALL), "
     + "rare AS (SELECT df.doc_id, word FROM df JOIN np ON np.doc_id = df.doc_id WHERE df <= greatest(20.0, n * 0.01)), p AS (SELECT ow.doc_id, i, j, count(*) AS shared FROM ow JOIN rare ON rare.doc_id = ow.doc_id AND rare.word = ow.word JOIN nw ON nw.doc_id = ow.doc_id AND nw.word = ow.word GROUP BY ALL), q AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY shared DESC, i, j) AS r FROM p) SELECT doc_id, i, count(*) AS candidates, max(shared) AS most FROM q WHERE r <= 250000 GROUP BY doc_id, i",
-    "ordered_similarity": f"{L} SELECT doc_id, idx, round(2.0 * n / (2 * n + 3), 6) AS similarity FROM (SELECT doc_id, idx, len({SIMTOK}) AS n FROM lines WHERE idx % 5 = 2) WHERE n <= 12",
+    "ordered_similarity": f"{L} SELECT doc_id, idx, round(2.0 * n / (2 * n + 3), 6) AS similarity FROM (SELECT doc_id, idx, len({SIMTOK}) AS n FROM lines WHERE idx % 5 = 2)",
+    "moved_lines_matched": f"{LR} SELECT doc_id, left_no - 1 AS i, coalesce(right_no, (SELECT max(right_no) FROM rows_ x WHERE x.doc_id = rows_.doc_id)) - 1 AS j, CASE kind WHEN 'replace' THEN round(2.0 * len({SIMTOK}) / (2 * len({SIMTOK}) + 3), 6) ELSE 1.0 END AS score FROM rows_ WHERE kind IN ('replace', 'moved-out')",
     "file_counts": f"{LR} SELECT doc_id, {COUNTS_SQL} FROM rows_ GROUP BY doc_id",
     "total_counts": f"{LR} SELECT {COUNTS_SQL} FROM rows_",
     "counts_rollup": f"{LR} SELECT project, r.doc_id, {COUNTS_SQL} FROM rows_ r JOIN (SELECT doc_id, project FROM documents) d ON d.doc_id = r.doc_id GROUP BY ROLLUP (project, r.doc_id)",
-    "first_of_change": f"{LR} SELECT doc_id, row_no, kind <> 'equal' AND NOT lag(kind <> 'equal', 1, false) OVER (PARTITION BY doc_id ORDER BY row_no) AS first FROM rows_",
+    "first_of_change": f"{LR}, c AS (SELECT *, kind <> 'equal' AS c, lag(kind <> 'equal', 1, false) OVER w AS before, lead(kind <> 'equal', 1, false) OVER w AS next FROM rows_ WINDOW w AS (PARTITION BY doc_id ORDER BY row_no)) SELECT doc_id, row_no, c AND NOT before AS first FROM c WHERE c OR before OR next",
     "context_fold": f"{LR} {GAPS_SQL} SELECT doc_id, row_no, changed = 1 OR (gap > 0 AND up <= 2) OR (gap < last_gap AND down <= 2) AS shown FROM gg",
-    "long_gap": f"{LR} {GAPS_SQL} SELECT doc_id, CAST(gap AS BIGINT) AS gap, count(*) AS omitted FROM gg WHERE changed = 0 GROUP BY ALL HAVING count(*) > 4",
+    "long_gap": f"{LR} {GAPS_SQL} SELECT doc_id, min(row_no) - 1 AS after, count(*) AS hidden, count(*) > 3 AS omitted FROM gg WHERE changed = 0 GROUP BY doc_id, gap",
     "hunks": f"{LR} {HUNKS_SQL} SELECT * FROM h",
     "hunk_headers": f"{LR} {HUNKS_SQL}, s AS (SELECT *, sum(CASE WHEN kind <> 'moved-in' THEN 1 ELSE 0 END) OVER w AS o, sum(CASE WHEN kind NOT IN ('delete', 'moved-out') THEN 1 ELSE 0 END) OVER w AS n FROM rows_ WINDOW w AS (PARTITION BY doc_id ORDER BY row_no)), "
     + "j AS (SELECT h.doc_id, hunk, max(o) AS o1, count(*) FILTER (kind <> 'moved-in') AS ol, max(n) AS n1, count(*) FILTER (kind NOT IN ('delete', 'moved-out')) AS nl FROM h JOIN s ON s.doc_id = h.doc_id AND row_no BETWEEN first AND last GROUP BY ALL) "

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from folioflow.functions.text import escape_html
 
 
-def unified(rows: DataFrame, context: int = 3) -> DataFrame:
-    """``(pair_id, diff)``: the hunks of each pair with changes, in unified form."""
+def hunks(rows: DataFrame, context: int = 3) -> DataFrame:
+    """``(pair_id, hunk, first, last, header, body)``: changes with ``context`` rows around them, touching
+    ones as one. An empty side of a header names the line before."""
     order = W.partitionBy("pair_id").orderBy("row_no")
     left, right = F.col("left_no").isNotNull(), F.col("right_no").isNotNull()
     r = rows.withColumn("o", F.sum(left.cast("int")).over(order)).withColumn("n", F.sum(right.cast("int")).over(order))
@@ -20,14 +21,17 @@ def unified(rows: DataFrame, context: int = 3) -> DataFrame:
     plus = F.when(right & ~F.col("same"), F.concat(F.lit("+"), "new_line"))
     side = lambda last, n: F.concat(F.when(n == 0, last).otherwise(last - n + 1).cast("string"), F.when(n == 1, "").otherwise(F.concat(F.lit(","), n.cast("string"))))
     h = r.groupBy("pair_id", "hunk").agg(
-        F.max("o").alias("o1"), F.count(F.when(left, 1)).alias("on"), F.max("n").alias("n1"), F.count(F.when(right, 1)).alias("nn"),
+        F.min("row_no").alias("first"), F.max("row_no").alias("last"), F.max("o").alias("o1"), F.count(F.when(left, 1)).alias("on"), F.max("n").alias("n1"), F.count(F.when(right, 1)).alias("nn"),
         F.array_sort(F.collect_list(F.struct("row_no", F.array_compact(F.array(minus, plus)).alias("l")))).alias("rows"),
     )
     head = F.concat(F.lit("@@ -"), side(F.col("o1"), F.col("on")), F.lit(" +"), side(F.col("n1"), F.col("nn")), F.lit(" @@"))
-    # within a run of changed rows all removals come before all additions
     body = F.array_join(F.flatten(F.transform("rows", lambda s: s["l"])), "\n")
-    h = h.select("pair_id", "hunk", F.concat(head, F.lit("\n"), body).alias("text"))
-    g = h.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("hunk", "text"))).alias("h"))
+    return h.select("pair_id", "hunk", "first", "last", head.alias("header"), body.alias("body"))
+
+
+def unified(rows: DataFrame, context: int = 3) -> DataFrame:
+    """``(pair_id, diff)``: the hunks of each pair with changes, in unified form."""
+    g = hunks(rows, context).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("hunk", F.concat_ws("\n", "header", "body").alias("text")))).alias("h"))
     return g.select("pair_id", F.array_join(F.transform("h", lambda s: s["text"]), "\n").alias("diff"))
 
 
