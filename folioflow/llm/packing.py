@@ -1,12 +1,13 @@
 """Filling containers of fixed capacity by mixture-controlled packing.
 
 Deficit round-robin over one queue per source: every window (container) adds its capacity
-times a source's target share to that source's deficit; the source with the largest
-deficit that still has an item small enough gives its largest such item, until nothing
-fits. Items are dealt by hash to shards of bounded size that pack independently, so a
+times a source's target share to that source's deficit. The source with the largest deficit
+gives the largest item its deficit covers, until no deficit covers any; a source whose next item
+is larger than its deficit waits. What is then left of the space takes the items that fill it
+best at the least overdraft, which later windows pay back. Items are dealt by hash to shards of bounded size that pack independently, so a
 source with a third of all rows is spread like any other. What the sources are owed at the
 start of a shard is known from the shards' token totals (a prefix sum over a small table),
-so deficits carry across windows and across shards exactly as in one long run.
+so deficits carry across windows, and across shards up to the space left unused.
 
 No item is split unless it alone exceeds the capacity; such an item gives full pieces
 of the capacity, each its own container, and a remainder that is packed like an item.
@@ -22,15 +23,15 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from folioflow.session import cut_lineage
+from folioflow.session import cut_lineage, running
 
 SHARD_TOKENS = 4_000_000
 
 
 def pack_shard(sizes: list[int], sources: list, owed: dict, shares: dict, capacity: int) -> list[tuple[int, int]]:
-    """Container number of each item, by position; ``owed`` is used up in place."""
+    """(item by position, container) of every item; ``owed`` is what each source is owed at the start."""
     queues: dict = {}
     for i in sorted(range(len(sizes)), key=lambda i: (sizes[i], i)):
         q = queues.setdefault(sources[i], ([], []))
@@ -39,25 +40,35 @@ def pack_shard(sizes: list[int], sources: list, owed: dict, shares: dict, capaci
     deficit = {s: owed.get(s, 0.0) for s in queues}
     out: list[tuple[int, int]] = []
     container = 0
+
+    def give(s, at: int) -> int:
+        z, waiting = queues[s]
+        size = z.pop(at)
+        out.append((waiting.pop(at), container))
+        deficit[s] -= size
+        if not z:
+            del queues[s]
+        return size
+
     while queues:
         for s in queues:
             deficit[s] += capacity * shares.get(s, 0.0)
         room = capacity
-        while True:
-            best, most = None, None
+        while True:  # within its deficit each source gives the largest item it can, the neediest first
+            able = [(deficit[s], k) for k, (s, (z, _)) in enumerate(queues.items()) if z[0] <= min(room, deficit[s])]
+            if not able:
+                break
+            s = list(queues)[max(able, key=lambda x: (x[0], -x[1]))[1]]
+            room -= give(s, bisect_right(queues[s][0], min(room, deficit[s])) - 1)
+        while queues and room > 0:  # what is left of the space goes to items that fill it, at the least overdraft
+            best = None
             for s, (z, _) in queues.items():
-                if z[0] <= room and (most is None or deficit[s] > most):
-                    best, most = s, deficit[s]
-            if most is None:
+                at = bisect_right(z, room) - 1
+                if at >= 0 and (best is None or max(0.0, z[at] - deficit[s]) - z[at] / 2 < best[0]):
+                    best = (max(0.0, z[at] - deficit[s]) - z[at] / 2, s, at)
+            if best is None:
                 break
-            z, items = queues[best]
-            at = bisect_right(z, room) - 1
-            size = z.pop(at)
-            out.append((items.pop(at), container))
-            room -= size
-            deficit[best] -= size
-            if not z:
-                del queues[best]
+            room -= give(best[1], best[2])
         container += 1
     return out
 
@@ -73,9 +84,8 @@ def pack(items: DataFrame, sizes: DataFrame, item: str = "doc_id", source: str =
     by_source = per.groupBy("source").agg(F.sum("t").alias("of_source"))
     by_shard = per.groupBy("shard").agg(F.sum("t").alias("of_shard"))
     # what each source is owed before a shard: its share of all earlier tokens less its own
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    earlier = by_shard.withColumn("before", F.coalesce(F.sum("of_shard").over(before), F.lit(0))).select("shard", "before")
-    own = per.withColumn("own", F.sum("t").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)))
+    earlier = running(by_shard.withColumn("all", F.lit(0)), "all", [F.col("shard")], {"before": F.col("of_shard")}).select("shard", "before")
+    own = running(per, "source", [F.col("shard")], {"own": F.col("t")})
     share = F.col("of_source") / F.lit(float(max(1, total)))
     carry = (
         own.join(earlier, "shard").join(by_source.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select("shard", "source", share.alias("share"), (share * F.col("before") - F.coalesce("own", F.lit(0))).alias("owed"))
