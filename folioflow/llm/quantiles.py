@@ -29,6 +29,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 K = 2048
 FAN_IN = 64
+MOST_GROUPS = 20_000  # sketches a task holds at a time
+
+
+def buffer_size(error: float, rows: int) -> int:
+    """Size of the buffers that keeps the rank error of ``rows`` values below ``error`` times their number."""
+    k = 16
+    while (math.log2(max(2.0, rows / k)) + 1) / k > error:
+        k *= 2
+    return k
 
 
 class Sketch:
@@ -140,6 +149,9 @@ def build_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = K, f
     d = df.select(*keys, F.col(value).cast("double").alias("_value"), F.spark_partition_id().alias("_part"))
     partial = T.StructType([*_key_fields(df, keys), T.StructField("_part", T.IntegerType()), T.StructField("sketch", T.BinaryType())])
 
+    def frame(kept: dict, part: int) -> pd.DataFrame:
+        return pd.DataFrame([(*name, part, s.pack()) for name, s in kept.items()], columns=[*keys, "_part", "sketch"])
+
     def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[tuple, Sketch] = {}
         part = 0
@@ -163,8 +175,11 @@ def build_sketches(df: DataFrame, keys: Sequence[str], value: str, k: int = K, f
                     x = u[i]
                     name.append(None if x is None or x is pd.NA or (isinstance(x, float) and math.isnan(x)) else x)
                 kept.setdefault(tuple(reversed(name)), Sketch(k)).add(values[at])
+                if len(kept) >= MOST_GROUPS:  # many groups: what there is goes out and is merged later
+                    yield frame(kept, part)
+                    kept = {}
         if kept:
-            yield pd.DataFrame([(*name, part, s.pack()) for name, s in kept.items()], columns=[*keys, "_part", "sketch"])
+            yield frame(kept, part)
 
     return merge_sketches(d.mapInPandas(partly, partial), keys, fan_in)
 

@@ -45,3 +45,18 @@ def test_frame(spark):
     assert build_sketches(df.limit(0), ["g", "h"], "v").count() == 0
     again = read_quantiles(merge_sketches(sk, ["h"]), ["h"], {"p50": 0.5})
     assert sum(r.n for r in again.collect()) == 9001
+
+
+def test_many_groups_and_buffer_sizes(spark, monkeypatch):
+    from folioflow.llm import quantiles as Q
+
+    monkeypatch.setattr(Q, "MOST_GROUPS", 5)
+    df = spark.range(3000).selectExpr("id % 40 as g", "cast(id div 40 as double) as v").coalesce(1)
+    got = {r.g: (r.n, r.p50) for r in Q.read_quantiles(Q.build_sketches(df, ["g"], "v"), ["g"], {"p50": 0.5}).collect()}
+    assert len(got) == 40 and all(n == 75 and abs(p - 37) <= 1 for n, p in got.values())
+    import numpy as np
+
+    for error, n in ((0.05, 5000), (0.01, 40_000)):
+        s = Q.Sketch(Q.buffer_size(error, n))
+        s.add(np.random.default_rng(1).normal(size=n))
+        assert s.rank_error() <= error * n
