@@ -63,3 +63,51 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "one two"), (2, None), (3, ""), (4, "<|endoftext|>" * 50)], "i int, text string")
     got = {r.i: r.tokens for r in with_tokens(df, ["i"]).collect()}
     assert got[1] >= 2 and got[2] == got[3] == 0 and got[4] > 50
+
+
+def test_takes_stay_within_deficits():
+    """Small items, many sources: the containers come near the target proportions, and debts are paid back."""
+    rng = random.Random(9)
+    shares = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
+    sizes, src = [], []
+    for s, w in shares.items():
+        left = int(400_000 * w)
+        while left > 0:
+            z = min(left, rng.randint(5, 60))
+            sizes.append(z)
+            src.append(s)
+            left -= z
+    out = pack_shard(sizes, src, {}, shares, 2000)
+    per: dict = {}
+    for i, c in out:
+        per.setdefault(c, {}).setdefault(src[i], 0)
+        per[c][src[i]] += sizes[i]
+    dev = [0.5 * sum(abs(g.get(s, 0) / sum(g.values()) - w) for s, w in shares.items()) for g in per.values()]
+    assert sum(dev) / len(dev) < 0.02 and sum(sum(g.values()) for g in per.values()) / (2000 * len(per)) > 0.99
+    # what a source is owed at the start comes first
+    first = {src[i] for i, c in pack_shard(sizes, src, {"d": 2000.0}, shares, 2000) if c == 0}
+    assert "d" in first
+
+
+def test_mixture_report(spark, tmp_path):
+    from folioflow.llm.p8 import p8_mixture
+
+    rows = [(i, f"word {i % 7} " * (3 + i % 5), f"s{i % 3}") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "x", 500)], "pack_id int, label string, capacity int").write.parquet(f"{tmp_path}/pack_sizes.parquet")
+    (r,) = p8_mixture(spark, str(tmp_path)).collect()
+    assert r.containers > 3 and 0 <= r.mean_deviation < 0.1 and r.shard_deviation < 1e-6
+
+
+def test_schedules(spark):
+    from folioflow.llm.mixing import pieces
+
+    assert pieces([]) == pieces([(0.3, 0.0)]) == [] and all(abs(p[1] - p[3]) < 1e-9 and p[4:] == (1.0, 1.0) for p in pieces([(0.4, 3.0)]))
+    assert [p[:4] for p in pieces([(0.0, 0.0), (1.0, 2.0), (None, 5.0), (0.5, -1.0)])] == [(0.0, 1.0, 0.0, 1.0)]
+    records = spark.createDataFrame([(i, "ab"[i % 2], 10, 0) for i in range(2000)], "doc_id bigint, source string, tokens bigint, course int")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    points = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 1.0), ("b", 0.0, 1.0), ("b", 0.5, 1.0), ("b", 0.5001, 0.0), ("b", 1.0, 0.0), (None, 0.1, 1.0)], "source string, t double, weight double")
+    got = mix(records, targets, schedules=points).toPandas()
+    a, b = got[got.source == "a"].position, got[got.source == "b"].position
+    assert len(a) == len(b) == 1000 and got.position.is_monotonic_increasing
+    assert abs(a.mean() - 2 / 3) < 0.01 and abs((a < 0.5).mean() - 0.25) < 0.01 and b.max() < 0.501 and abs(b.mean() - 0.25) < 0.01
