@@ -37,7 +37,7 @@ CHUNK = 300_000  # characters handled at a time
 _CJK = "぀-ヿ㐀-鿿豈-﫿々"
 _LOCAL = "A-Za-z0-9À-ɏ"
 TOKEN = re.compile(
-    rf"(?P<EMAIL>[{_LOCAL}][{_LOCAL}._+\-]*(?:@|\s?\[at\]\s?|\s?\(at\)\s?)[A-Za-z0-9\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[A-Za-z0-9\-]+)+)"
+    rf"(?P<EMAIL>[{_LOCAL}][{_LOCAL}._+\-]*+(?:@|\s?\[at\]\s?|\s?\(at\)\s?)[A-Za-z0-9\-]+(?:(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?)[A-Za-z0-9\-]+)+)"
     r"|(?P<SPACED>[A-Z]{2}(?: \d{2}){3} [A-Z](?!\w))"
     r"|(?P<CODE>(?=[A-Z0-9]*\d)(?=[A-Z0-9]*[A-Z])[A-Z0-9]{3,}(?!\w))"
     r"|(?P<HOUSE>\d{1,4}[a-z](?!\w))"
@@ -48,11 +48,19 @@ TOKEN = re.compile(
 )
 
 
+_PLAIN = {"WORD", "MARK", "LINE", "CJK"}
+
+
 def tokenize(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Keys (what features see) and places of the tokens."""
     keys, places = [], []
     for m in TOKEN.finditer(text):
-        kind, s, (a, b) = m.lastgroup, m.group(), m.span()
+        kind, s = m.lastgroup, m[0]
+        if kind in _PLAIN:
+            keys.append(s)
+            places.append(m.span())
+            continue
+        a, b = m.span()
         if kind == "NUM":
             if s.count("(") != s.count(")") and s.startswith("("):
                 a, s = a + 1, s[1:]
@@ -224,16 +232,16 @@ def plain_sentences(samples: list[tuple[str | None, str]], each: int = PLAIN_EAC
             if len(kept) >= 20 * each:
                 break
         # spread over the documents; scripts written a character at a time need more
-        most = each * (2 if lang in ("ja", "zh") else 1)
+        most = each * (4 if lang in ("ja", "zh") else 1)
         out += random.Random(7).sample(sorted(kept), min(most, len(kept)))
     return out or PLAIN
 
 
-def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, plain: list[str] | None = None, rounds: int = 120, decay: float = 5e-5, rate: float = 0.25) -> Field:
+def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, plain: list[str] | None = None, rounds: int = 100, decay: float = 7e-5, rate: float = 0.25) -> Field:
     """Fit the field; ``plain`` are texts that hold nothing."""
     table = in_context(rows() if table is None else table, plain or PLAIN)
     index: dict[str, int] = {}
-    feats, toks, golds = [], [], []
+    words, toks, golds = [], [], []
     for text, spans in table:
         keys, places = tokenize(text)
         if not keys:
@@ -245,17 +253,34 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, pla
                 y[i] = 1 + 2 * TYPES.index(kind) + (k > 0)
         golds.append(y)
         toks.append(len(keys))
-        for i in range(len(keys)):
-            feats.append([index.setdefault(f, len(index)) for o in OFFSETS for f in _features_at(keys[i + o] if 0 <= i + o < len(keys) else "<PAD>", o)])
-    L, S, most = len(LABELS), len(toks), max(toks)
-    firsts = np.concatenate([[0], np.cumsum(toks)[:-1]])
-    mask = np.arange(most)[None, :] < np.array(toks)[:, None]
-    place = np.where(mask, firsts[:, None] + np.arange(most)[None, :], 0)
+        words.append(keys)
+    L = len(LABELS)
+    by_length = np.argsort([-n for n in toks], kind="stable").tolist()  # the longest first: at a step those still going on come first
+    toks, golds, words = [toks[i] for i in by_length], [golds[i] for i in by_length], [words[i] for i in by_length]
+    S, most, lengths = len(toks), toks[0], np.array(toks)
+    going = np.searchsorted(-lengths, -np.arange(most + 1), side="left")  # how many are longer than i
+    mask = np.arange(most)[None, :] < lengths[:, None]
+    place = np.where(mask, (np.concatenate([[0], np.cumsum(lengths)[:-1]]))[:, None] + np.arange(most)[None, :], 0)
+    # a token's scores at an offset depend on its key alone: features are summed once for each (key, offset)
+    pad = max(map(abs, OFFSETS))
+    known: dict[str, int] = {"<PAD>": 0}
+    stream = [0] * pad
+    at = []
+    for keys in words:
+        at += range(len(stream), len(stream) + len(keys))
+        stream += [known.setdefault(k, len(known)) for k in keys] + [0] * pad
+    stream_, at_ = np.array(stream), np.array(at)
+    combos, which = np.unique(np.stack([stream_[at_ + o] * len(OFFSETS) + j for j, o in enumerate(OFFSETS)], axis=1), return_inverse=True)
+    which = which.reshape(len(at), len(OFFSETS))
+    names = list(known)
+    feats = [[index.setdefault(f, len(index)) for f in _features_at(names[c // len(OFFSETS)], OFFSETS[c % len(OFFSETS)])] for c in combos.tolist()]
     flat = np.concatenate([np.array(f) for f in feats])
     owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    token_start = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
+    combo_start = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
     by_feature = np.argsort(flat, kind="stable")
     feature_start = np.searchsorted(flat[by_feature], np.arange(len(index)))
+    by_combo = np.argsort(which.ravel(), kind="stable")
+    token_of, use_start = by_combo // len(OFFSETS), np.searchsorted(which.ravel()[by_combo], np.arange(len(combos)))
     gold = np.concatenate(golds)
     one = np.zeros((len(gold), L), dtype=np.float32)
     one[np.arange(len(gold)), gold] = 1.0
@@ -270,34 +295,33 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, pla
     m_w, v_w, m_t, v_t = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
     scale = np.array([SCALE[abs(int(f[: 1 + (f[0] == "-")]))] for f in index], dtype=np.float32)[:, None]
     for step in range(1, rounds + 1):
-        emit = np.add.reduceat((w * scale)[flat], token_start, axis=0)
+        emit = np.add.reduceat((w * scale)[flat], combo_start, axis=0)[which].sum(axis=1)
         ex = np.exp(emit - emit.max(axis=1, keepdims=True))[place]  # scaled: sums and products instead of logarithms
         tr = np.where(banned, 0.0, np.exp(t)).astype(np.float32)
         alpha, beta = np.zeros((S, most, L), dtype=np.float32), np.zeros((S, most, L), dtype=np.float32)
         x = tr[0][None] * ex[:, 0]
         alpha[:, 0] = x / x.sum(axis=1, keepdims=True)
         for i in range(1, most):
-            x = (alpha[:, i - 1] @ tr) * ex[:, i]
-            alpha[:, i] = np.where(mask[:, i, None], x / x.sum(axis=1, keepdims=True), alpha[:, i - 1])
-        end = np.tile(tr[:, 0] / tr[:, 0].sum(), (S, 1))
-        beta[:, -1] = end
-        for i in range(most - 2, -1, -1):
-            x = (ex[:, i + 1] * beta[:, i + 1]) @ tr.T
-            beta[:, i] = np.where(mask[:, i + 1, None], x / x.sum(axis=1, keepdims=True), end)
-        marg = alpha * beta
-        marg = (marg / marg.sum(axis=2, keepdims=True))[mask]
+            n = going[i]
+            x = (alpha[:n, i - 1] @ tr) * ex[:n, i]
+            alpha[:n, i] = x / x.sum(axis=1, keepdims=True)
+        beta[np.arange(S), lengths - 1] = tr[:, 0] / tr[:, 0].sum()
         pair = np.zeros((L, L))
-        for i in range(1, most):
-            ok = mask[:, i]
-            if ok.any():
-                y = ex[ok, i] * beta[ok, i]
-                norm = ((alpha[ok, i - 1] @ tr) * y).sum(axis=1, keepdims=True)
-                pair += (alpha[ok, i - 1].T @ (y / norm)) * tr
+        for i in range(most - 2, -1, -1):
+            n = going[i + 1]
+            y = ex[:n, i + 1] * beta[:n, i + 1]
+            x = y @ tr.T
+            beta[:n, i] = x / x.sum(axis=1, keepdims=True)
+            norm = (alpha[:n, i] * x).sum(axis=1, keepdims=True)
+            pair += (alpha[:n, i].T @ (y / norm)) * tr
+        marg = (alpha * beta)[mask]
+        marg /= marg.sum(axis=1, keepdims=True)
         first = tr[0][None] * ex[:, 0] * beta[:, 0]
-        last = alpha[:, -1] * tr[:, 0][None]
+        last = alpha[np.arange(S), lengths - 1] * tr[:, 0][None]
         pair[0] += (first / first.sum(axis=1, keepdims=True)).sum(axis=0)
         pair[:, 0] += (last / last.sum(axis=1, keepdims=True)).sum(axis=0)
-        g_w = np.add.reduceat((one - marg)[owner[by_feature]], feature_start, axis=0) * scale / S - decay * w
+        g_combo = np.add.reduceat((one - marg)[token_of], use_start, axis=0)
+        g_w = np.add.reduceat(g_combo[owner[by_feature]], feature_start, axis=0) * scale / S - decay * w
         g_t = np.where(banned, 0.0, (observed - pair) / S - decay * t)
         for p, g, m, v in ((w, g_w, m_w, v_w), (t, g_t, m_t, v_t)):  # Adam
             m += 0.1 * (g - m)

@@ -19,6 +19,23 @@ def test_held_out(field):
     assert right / sum(len(a) for _, a in table) > 0.85 and right / sum(map(len, got)) > 0.9
 
 
+def test_names_and_towns_never_seen(field, monkeypatch):
+    """Recall on given names, streets and towns that the training table does not hold."""
+    from folioflow.llm import pii_table as T
+
+    known = {*T.GIVEN, *T.TOWNS, *T.PLACES, *T.STREETS}
+    given, towns, places = ["Bartholomew", "Clementine", "Radoslav", "Xiomara", "Thaddeus", "Philippa"], ["Wexbridge", "Sandoval", "Quimperlé", "Altenkirchen"], ["Juniper", "Barley", "Foundry"]
+    assert not known & {*given, *towns, *places}
+    monkeypatch.setattr(T, "_given", lambda r: r.choice(given))
+    monkeypatch.setattr(T, "_town", lambda r: r.choice(towns))
+    monkeypatch.setattr(T, "_place", lambda r: r.choice(places))
+    table = T.rows(seed=5, times=1)
+    got = find(field, [t for t, _ in table])
+    for kind in ("name", "address"):
+        want = [(n, x) for n, (_, spans) in enumerate(table) for x in spans if x[2] == kind]
+        assert sum(x in got[n] for n, x in want) / len(want) > 0.8, kind
+
+
 def test_examples(field):
     text = "Send corrections to anna.berg@post.example before Friday.\nPhone +44 1632 960 573 (mornings only).\nISBN 979-0-99-541482-3.\n"
     (got,) = find(field, [text])
