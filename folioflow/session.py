@@ -15,13 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) a fresh local folder is set.
+    Only where the session names none and runs on one machine (tests, a laptop) a fresh local
+    folder is set; on a cluster that is an error, as other machines would not see it.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if current:
         return current
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     folder = named or os.path.join(tempfile.gettempdir(), f"folioflow-{os.getpid()}")
     sc.setCheckpointDir(folder)
     return folder

@@ -68,3 +68,22 @@ def test_frame(spark):
     got = {r.record_id: r.utc_us for r in normalise_dates(df).collect()}
     assert got == {i: c[3] for i, c in enumerate(CASES) if c[3] is not None}
     assert normalise_dates(df.limit(0)).count() == 0
+
+
+def test_dates_before_1970_and_long_zones(spark):
+    rows = [("s", 1, "1965-07-01 12:00", "America/New_York", "en-US"), ("s", 2, "1965-01-01 12:00", "America/New_York", "en-US"), ("s", 3, "1943-08-01 12:00", "Europe/London", "en-GB"), ("s", 4, "2024-07-01T12:00:00.123456789-03:00[America/Argentina/ComodRivadavia]", "Europe/Berlin", "de-DE")]
+    df = spark.createDataFrame(rows, "record_kind string, record_id bigint, date string, zone string, locale string")
+    got = {r.record_id: r.utc_us // 1_000_000 for r in normalise_dates(df).collect()}
+    assert got == {1: -142070400, 2: -157705200, 3: -833724000, 4: 1719846000}
+
+
+def test_zone_version_is_told(monkeypatch):
+    import sys
+    import zoneinfo
+
+    from folioflow.functions import timestamps as T
+
+    monkeypatch.setattr(zoneinfo, "TZPATH", ())
+    monkeypatch.setitem(sys.modules, "tzdata", None)
+    told = T.zone_version()
+    assert told.startswith("digest ") and told == T.zone_version()
