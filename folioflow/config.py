@@ -52,6 +52,7 @@ class Options:
     comments: str = "markers"
     changes: str = "accept-all"
     skip_resolved: bool = True
+    empty_comments: bool = False
     move_passages: bool = True
     paragraph_moves: MoveSettings = field(default_factory=MoveSettings)
     sentence_moves: MoveSettings = field(default_factory=lambda: MoveSettings(0.55))

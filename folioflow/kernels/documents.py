@@ -58,10 +58,19 @@ class _Writer:
         self.parts: list[str] = []
         self.size = 0
         self.styles: list[tuple[int, int, str]] = []
+        self.letters: dict[str, int] = {}  # letters of the block by the language they are marked with
 
-    def add(self, text: str, names: tuple[str, ...] = (), change: str | None = None) -> None:
+    def language(self) -> str | None:
+        """The language with most letters since the last block, the first of equals."""
+        best = max(self.letters, key=self.letters.get, default=None)
+        self.letters = {}
+        return best
+
+    def add(self, text: str, names: tuple[str, ...] = (), change: str | None = None, language: str | None = None) -> None:
         if not text or (change == "ins" and self.changes == "reject-all") or (change == "del" and self.changes == "accept-all"):
             return
+        if language and (n := sum(map(str.isalpha, text))):
+            self.letters[language] = self.letters.get(language, 0) + n
         if change and self.changes == "show":
             text = "{+" + text + "+}" if change == "ins" else "[-" + text + "-]"
         for n in names:
@@ -117,10 +126,17 @@ def read_docx(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tr
         if body is None:
             raise DocumentError("no word/document.xml")
         styles: dict[str, tuple[str, str | None]] = {}
+        said: dict[str, str] = {}  # languages that styles set
+        usual: str | None = None
         for s in (root := _xml(z, "word/styles.xml")) is not None and root.findall(W + "style") or []:
             n = s.find(W + "name")
             based = s.find(W + "basedOn")
+            tongue = s.find(f"{W}rPr/{W}lang")
+            if tongue is not None and tongue.get(W + "val"):
+                said[s.get(W + "styleId", "")] = tongue.get(W + "val", "")
             styles[s.get(W + "styleId", "")] = ((n.get(W + "val", "") if n is not None else "").lower(), based.get(W + "val") if based is not None else None)
+        if root is not None and (tongue := root.find(f"{W}docDefaults/{W}rPrDefault/{W}rPr/{W}lang")) is not None:
+            usual = tongue.get(W + "val")
         notes: dict[tuple[str, str], ET.Element] = {}
         for kind in ("footnote", "endnote"):
             for x in (root := _xml(z, f"word/{kind}s.xml")) is not None and root.findall(W + kind) or []:
@@ -160,9 +176,24 @@ def read_docx(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tr
             key, hops = parent, hops + 1
         return ("item", 0) if pr.find(W + "numPr") is not None else ("p", 0)
 
+    def spoken(key: str | None) -> str | None:
+        """The language of a style, its own or inherited."""
+        hops = 0
+        while key and hops < 10:
+            if key in said:
+                return said[key]
+            key, hops = styles.get(key, ("", None))[1], hops + 1
+        return None
+
+    here: list[str | None] = [None]  # the language of the paragraph
+
     def run(r: ET.Element, change: str | None, link: bool) -> None:
         pr = r.find(W + "rPr")
         names = ["link"] if link else []
+        language = here[0]
+        if pr is not None:
+            own, style = pr.find(W + "lang"), pr.find(W + "rStyle")
+            language = (own.get(W + "val") if own is not None else None) or (spoken(style.get(W + "val")) if style is not None else None) or language
         if pr is not None:
             for tag, n in (("b", "bold"), ("i", "italic"), ("u", "underline"), ("strike", "strike")):
                 x = pr.find(W + tag)
@@ -173,7 +204,7 @@ def read_docx(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tr
                 names.append(v.get(W + "val"))
         for x in r:
             if x.tag in (W + "t", W + "delText"):
-                w.add(x.text or "", tuple(names), change)
+                w.add(x.text or "", tuple(names), change, language)
             elif x.tag in (W + "tab", W + "br", W + "cr"):
                 w.add(" ", tuple(names), change)
             elif x.tag == W + "noBreakHyphen":
@@ -211,6 +242,8 @@ def read_docx(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tr
         k, level = style_of(p)
         if k == "toc":
             return
+        named = p.find(f"{W}pPr/{W}pStyle")
+        here[0] = (spoken(named.get(W + "val")) if named is not None else None) or usual
         inline(p)
         mark = p.find(f"{W}pPr/{W}rPr")
         gone = mark is not None and ((mark.find(W + "del") is not None and changes == "accept-all") or (mark.find(W + "ins") is not None and changes == "reject-all"))
@@ -218,7 +251,7 @@ def read_docx(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tr
             return  # the paragraph's mark is deleted: it goes on in the next one
         text, st = w.take()
         if text or kind != "note":
-            out.append(Block(kind or k, level, text, st))
+            out.append(Block(kind or k, level, text, st, w.language()))
 
     def body_of(node: ET.Element, out: list[Block]) -> None:
         for x in node:
@@ -256,10 +289,23 @@ def read_odt(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tru
             raise DocumentError("no content.xml")
         more = _xml(z, "styles.xml")
     styles: dict[str, tuple[set[str], str | None, str]] = {}
+    said: dict[str, str] = {}
+    usual: str | None = None
+
+    def tongue(p: ET.Element) -> str | None:
+        language, country = p.get(FO + "language"), p.get(FO + "country")
+        return None if not language or language == "none" else language if not country or country == "none" else f"{language}-{country}"
+
+    for r in (more, root):
+        for d in r.iter(STYLE + "default-style") if r is not None else ():
+            if d.get(STYLE + "family") == "paragraph":
+                usual = next((t for p in d.findall(STYLE + "text-properties") if (t := tongue(p))), usual)
     for r in (more, root):
         for s in r.iter(STYLE + "style") if r is not None else ():
             names = set()
             for p in s.findall(STYLE + "text-properties"):
+                if t := tongue(p):
+                    said[s.get(STYLE + "name", "")] = t
                 if p.get(FO + "font-weight") == "bold":
                     names.add("bold")
                 if p.get(FO + "font-style") == "italic":
@@ -283,6 +329,14 @@ def read_odt(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tru
             key, hops = styles[key][1], hops + 1
         return tuple(sorted(found))
 
+    def spoken(key: str | None) -> str | None:
+        hops = 0
+        while key and hops < 10:
+            if key in said:
+                return said[key]
+            key, hops = styles.get(key, (set(), None, ""))[1], hops + 1
+        return None
+
     doc, w = Document(), _Writer(changes)
     regions: dict[str, tuple[str, ET.Element | None]] = {}
     for t in root.iter(TEXT + "changed-region"):
@@ -299,8 +353,8 @@ def read_odt(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tru
     def deleted_text(x: ET.Element) -> str:
         return " ".join("".join(p.itertext()) for p in x.iter() if p.tag in (TEXT + "p", TEXT + "h"))
 
-    def inline(node: ET.Element, names: tuple[str, ...] = ()) -> None:
-        w.add(node.text or "", names, change())
+    def inline(node: ET.Element, names: tuple[str, ...] = (), language: str | None = None) -> None:
+        w.add(node.text or "", names, change(), language)
         for x in node:
             t = x.tag
             if t == TEXT + "s":
@@ -308,9 +362,9 @@ def read_odt(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tru
             elif t in (TEXT + "tab", TEXT + "line-break"):
                 w.add(" ", names, change())
             elif t == TEXT + "span":
-                inline(x, tuple(dict.fromkeys((*names, *style_names(x.get(TEXT + "style-name"))))))
+                inline(x, tuple(dict.fromkeys((*names, *style_names(x.get(TEXT + "style-name"))))), spoken(x.get(TEXT + "style-name")) or language)
             elif t == TEXT + "a":
-                inline(x, (*names, "link"))
+                inline(x, (*names, "link"), language)
             elif t == TEXT + "note":
                 notes.append(x)
                 w.add(f"[^{len(notes)}]", (), change())
@@ -336,17 +390,17 @@ def read_odt(data: bytes, changes: str = "accept-all", skip_resolved: bool = Tru
                 says = (d.text or "") if d is not None else ""
                 w.add(f"[image: {says}]" if says else "[image]", (), change())
             elif t not in (OFFICE + "annotation-end", TEXT + "tracked-changes"):
-                inline(x, names)
-            w.add(x.tail or "", names, change())
+                inline(x, names, language)
+            w.add(x.tail or "", names, change(), language)
 
     def body_of(node: ET.Element, out: list[Block], item: bool = False) -> None:
         for x in node:
             if x.tag in (TEXT + "p", TEXT + "h"):
-                inline(x)
+                inline(x, (), spoken(x.get(TEXT + "style-name")) or usual)
                 text, st = w.take()
                 level = int(x.get(TEXT + "outline-level", "1")) if x.tag == TEXT + "h" else 0
                 title = styles.get(x.get(TEXT + "style-name", ""), (set(), None, ""))[2] == "title"
-                out.append(Block("heading" if level or title else "item" if item else "p", level or int(title), text, st))
+                out.append(Block("heading" if level or title else "item" if item else "p", level or int(title), text, st, w.language()))
             elif x.tag in (TEXT + "list", TEXT + "list-item", TEXT + "list-header"):
                 body_of(x, out, True)
             elif x.tag == TABLE + "table":

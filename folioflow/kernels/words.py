@@ -243,3 +243,28 @@ def word_line(old: str, new: str) -> str:
         else:
             out += [f"[-{old[i1:i2]}-]"] * (i2 > i1) + [f"{{+{new[j1:j2]}+}}"] * (j2 > j1)
     return "".join(out)
+
+
+def _escape(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&#34;").replace("'", "&#39;")
+
+
+def marked_html(old: str | None, new: str | None, kind: str = "replace") -> tuple[str, str]:
+    """Both sides of a row as HTML, what changed in ``del`` and ``ins``; of a word that became a
+    similar one only the letters."""
+    if kind == "equal" or old is None or new is None:
+        mark = {"delete": "del", "insert": "ins"}.get(kind)
+        one = lambda x: "" if x is None else f"<{mark}>{_escape(x)}</{mark}>" if mark else _escape(x)
+        return one(old), one(new)
+    left, right = [], []
+
+    def put(tag: str, o: str, n: str) -> None:
+        left.append(_escape(o) if tag == "equal" or not o else f"<del>{_escape(o)}</del>")
+        right.append(_escape(n) if tag == "equal" or not n else f"<ins>{_escape(n)}</ins>")
+
+    for tag, i1, i2, j1, j2 in word_ops(old, new):
+        o, n = old[i1:i2], new[j1:j2]
+        letters = char_marks(o, n) if tag == "replace" else None
+        for t, a, b, c, d in letters or [(tag, 0, len(o), 0, len(n))]:
+            put(t, o[a:b], n[c:d])
+    return "".join(left), "".join(right)

@@ -47,3 +47,60 @@ def assess(prompts: DataFrame, runner: Callable[[str], str], key: str = "id", te
             yield pd.DataFrame(rows, columns=[key, "markdown", "error"])
 
     return prompts.select(key, text).mapInPandas(run, f"{key} {kind}, markdown string, error string")
+
+
+#: Runners by name, ``(prompt, model) -> answer``; the caller registers what it may call.
+BACKENDS: dict[str, Callable[[str, str | None], str]] = {}
+
+
+def register_backend(name: str, runner: Callable[[str, str | None], str]) -> None:
+    if not name or ":" in name:
+        raise ValueError("a backend's name has no colon")
+    BACKENDS[name] = runner
+
+
+def backend(spec: str) -> Callable[[str], str]:
+    """The runner of ``name`` or ``name:model``."""
+    name, _, model = spec.partition(":")
+    if name not in BACKENDS:
+        raise ValueError(f"no such backend: {name}; known: {', '.join(sorted(BACKENDS)) or 'none'}")
+    run = BACKENDS[name]
+    return lambda text: run(text, model or None)
+
+
+def comparison_prompts(rows: DataFrame, kind: str = "value", limit: int = LIMIT) -> DataFrame:
+    """``(pair_id, prompt)``: the changes of each pair word by word and the new version, each cut to the limit."""
+    from folioflow.operators.diff import word_lines
+    from folioflow.sources.sinks import new_version
+
+    lines = word_lines(rows.where("kind <> 'equal'")).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "text"))).alias("l"))
+    changes = lines.select("pair_id", F.array_join(F.transform("l", lambda s: s["text"]), "\n").alias("changes"))
+    both = changes.join(new_version(rows), "pair_id", "left")
+    parts = F.concat(F.lit("Changes:\n"), cut(F.col("changes"), limit, "changes"), F.lit("\n\nNew version:\n"), cut(F.coalesce("text", F.lit("")), limit, "new version"))
+    return both.select("pair_id", prompt(F.lit(kind), F.col("pair_id").cast("string"), parts, limit=3 * limit).alias("prompt"))
+
+
+def assess_comparison(rows: DataFrame, runner: Callable[[str], str], kind: str = "value") -> DataFrame:
+    """``(pair_id, markdown, error)`` of each pair with changes."""
+    return assess(comparison_prompts(rows, kind), runner, "pair_id")
+
+
+def apply_fixes(texts: DataFrame, fixes: DataFrame) -> DataFrame:
+    """``texts(key, text)`` and ``fixes(key, start, replacement)`` → ``(key, text, applied)``: each quotation
+    ``start`` replaced where it is found, line by line; of overlapping fixes the first counts. What can't be
+    found is left out."""
+    from folioflow.kernels.prose import with_fixes
+
+    g = fixes.where("start <> '' and replacement is not null").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "replacement"))).alias("fixes"))
+    kind = texts.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for key, text, asked in zip(b["key"], b["text"], b["fixes"], strict=True):
+                places = [(at, at + len(f["start"]), f["replacement"]) for f in (asked if asked is not None else ()) if text and (at := text.find(f["start"])) >= 0]
+                fixed = with_fixes(text, places) if places else text
+                out.append((key, fixed, len(places)))
+            yield pd.DataFrame(out, columns=["key", "text", "applied"])
+
+    return texts.select("key", "text").join(g, "key", "left").mapInPandas(run, f"key {kind}, text string, applied bigint")

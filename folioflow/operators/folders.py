@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 
 def digests(snapshot: DataFrame) -> DataFrame:
-    return snapshot.select("path", F.sha2(F.coalesce(F.col("content"), F.lit("")), 256).alias("sha"))
+    return snapshot.select("path", F.sha2(F.coalesce(F.col("content").cast("binary"), F.lit(b"")), 256).alias("sha"))
 
 
 def compare_folders(old: DataFrame, new: DataFrame, common_only: bool = False, renames: bool = True) -> DataFrame:

@@ -115,9 +115,10 @@ def unified_diff(spark, sf):
 
 
 def html_report(spark, sf):
-    """How long each report is, and how many rows it shows."""
+    """Rows, marks and folded gaps of each report."""
     h = _html(D.folded(known_rows(spark, sf), context=1))
-    return h.select("pair_id", big(F.size(F.split("html", "<tr class=")) - 1).alias("rows"))
+    marks = lambda t: big(F.size(F.split("html", t)) - 1)
+    return h.select("pair_id", marks("<tr class=").alias("rows"), marks("<ins>").alias("inserted"), marks("<del>").alias("deleted"), marks("<details>").alias("gaps"))
 
 
 def new_versions(spark, sf):
@@ -149,6 +150,6 @@ SELECT pair_id, row_no, CAST(0 AS BIGINT) AS op, 'equal' AS tag, 0 AS o1, a AS o
     "unified_diff": f"""{LR} {HUNKS_SQL}, s AS (SELECT *, count(left_no) OVER w AS o, count(right_no) OVER w AS n FROM rows_ WINDOW w AS (PARTITION BY doc_id ORDER BY row_no)),
 j AS (SELECT h.doc_id, hunk, max(o) AS o1, count(left_no) AS ol, max(n) AS n1, count(right_no) AS nl, string_agg(CASE kind WHEN 'equal' THEN ' ' || old_line WHEN 'replace' THEN '-' || old_line || chr(10) || '+' || new_line WHEN 'moved-in' THEN '+' || new_line ELSE '-' || old_line END, chr(10) ORDER BY row_no) AS body FROM h JOIN s ON s.doc_id = h.doc_id AND row_no BETWEEN first AND last GROUP BY ALL)
 SELECT doc_id AS pair_id, string_agg('@@ -' || CAST(CASE WHEN ol = 0 THEN o1 ELSE o1 - ol + 1 END AS BIGINT) || CASE WHEN ol = 1 THEN '' ELSE ',' || ol END || ' +' || CAST(CASE WHEN nl = 0 THEN n1 ELSE n1 - nl + 1 END AS BIGINT) || CASE WHEN nl = 1 THEN '' ELSE ',' || nl END || ' @@' || chr(10) || body, chr(10) ORDER BY hunk) AS diff FROM j GROUP BY doc_id""",
-    "html_report": f"{LR} {GAPS_SQL} SELECT doc_id AS pair_id, count(*) FILTER ({SHOW_SQL.format(k=1)}) AS rows FROM gg GROUP BY doc_id",
+    "html_report": f"{LR} {GAPS_SQL}, t AS (SELECT *, {SHOW_SQL.format(k=1)} AS shown FROM gg), u AS (SELECT *, lag(shown, 1, true) OVER (PARTITION BY doc_id ORDER BY row_no) AS before FROM t) SELECT doc_id AS pair_id, count(*) FILTER (shown) AS rows, count(*) FILTER (kind = 'replace') AS inserted, count(*) FILTER (kind = 'delete') AS deleted, count(*) FILTER (NOT shown AND before) AS gaps FROM u GROUP BY doc_id",
     "new_versions": f"{LR} SELECT doc_id AS pair_id, string_agg(new_line, chr(10) ORDER BY row_no) AS text FROM rows_ WHERE right_no IS NOT NULL GROUP BY doc_id",
 }

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import dates, extras, marks, prose, review, revisions, versions
+from folioflow.plans import dates, documents, extras, marks, prose, review, revisions, versions
 
 FLAGSHIP = "aligned_counts"
-MODULES = (dates, prose, revisions, review, versions, marks, extras)
+MODULES = (dates, prose, revisions, review, versions, marks, documents, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,55 +9,34 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioflow.functions.text import in_paths, included, suffix_of
 from folioflow.kernels.documents import DocumentError, document_kind, read_docx, read_odt
+from folioflow.kernels.encodings import decode_text, is_binary
 
 LOCKS = r"(^|/)(~\$[^/]*|\.~lock\.[^/]*#)$"
-BOMS = ((b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"), (b"\xef\xbb\xbf", "utf-8-sig"))
-#: Encodings tried on text that isn't UTF-8; letters usual in running text decide, ties go to the first.
-LADDER = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254")
-LIKELY = {"cp1252": "éèàçñöüäßáíóúâêîôûåæøìòù’“”–«»", "cp1250": "łżźćńęąśóščřžýáíéěůťďňőű„”", "cp1251": "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъ", "cp1253": "αβγδεζηθικλμνξοπρστυφχψωάέήίόύώς", "cp1254": "ışğçöüİ"}
+def list_folder(spark: SparkSession, path: str, include: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """``(path, modificationTime, length)`` of a folder's files by their path below it, without lock
+    files and what lies in ``.git``; contents are not read."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "modificationTime", "length")
+    d = raw.withColumn("path", F.substring_index("path", path.rstrip("/") + "/", -1))
+    return d.where(~F.col("path").rlike(LOCKS) & ~F.col("path").rlike(r"(^|/)\.git/") & included(F.col("path"), include) & in_paths(F.col("path"), paths or []))
 
 
 def read_folder(spark: SparkSession, path: str, include: str | None = None, paths: list[str] | None = None) -> DataFrame:
-    """``(path, content)`` of a folder's files by their path below it, without lock files and
-    what lies in ``.git``. Filters apply before any content is read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = path.rstrip("/") + "/"
-    rel = F.substring_index("path", root, -1)
-    d = raw.select(rel.alias("path"), "content", "modificationTime", "length")
-    return d.where(~F.col("path").rlike(LOCKS) & ~F.col("path").rlike(r"(^|/)\.git/") & included(F.col("path"), include) & in_paths(F.col("path"), paths or []))
+    """``(path, content, modificationTime, length)`` of the files of ``list_folder``. A single pattern of a
+    name reaches the scan, and so do the folders or files of ``paths``; other filters follow the listing."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    root = path.rstrip("/")
+    if include and "|" not in include and "/" not in include:  # the scan's patterns mind case, ours do not
+        reader = reader.option("pathGlobFilter", "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in include))
+    d = reader.load([f"{root}/{p}" for p in paths] if paths else root).withColumn("path", F.substring_index("path", root + "/", -1))
+    d = d.where(~F.col("path").rlike(LOCKS) & ~F.col("path").rlike(r"(^|/)\.git/") & included(F.col("path"), include) & in_paths(F.col("path"), paths or []))
+    return d.select("path", "content", "modificationTime", "length")
 
 
-def decode_text(data: bytes, encoding: str | None = None) -> tuple[str, str]:
-    """(text, what it was read as): UTF-8 where that fits, else by BOM, else the likeliest of a ladder."""
-    if encoding:
-        return data.decode(encoding, "replace"), encoding
-    for bom, name in BOMS:
-        if data.startswith(bom):
-            try:
-                return data.decode(name), name
-            except UnicodeDecodeError:
-                break
-    try:
-        text = data.decode("utf-8")
-        if not any("\x80" <= c < "\xa0" for c in text):
-            return text, "utf-8"
-    except UnicodeDecodeError:
-        pass
-    best = ("", "", -1e9)
-    for name in LADDER:
-        try:
-            text = data.decode(name)
-        except UnicodeDecodeError:
-            continue
-        wide = [c for c in text if c > "\x7f"]
-        score = sum(c.lower() in LIKELY[name] for c in wide) - 0.5 * sum(not c.isalpha() and c.lower() not in LIKELY[name] for c in wide)
-        words = text.split()
-        score -= 2 * sum(any(c > "\x7f" and c.isupper() for c in w[1:]) and not w.isupper() for w in words)
-        if name in ("cp1251", "cp1253"):  # a word of two scripts is no word
-            score -= 3 * sum(any(c.isascii() and c.isalpha() for c in w) and any(c > "\u0370" and c.isalpha() for c in w) for w in words)
-        if score > best[2]:
-            best = (text, name, score)
-    return (best[0], best[1]) if best[1] else (data.decode("latin-1"), "latin-1")
+def describe_files(files: DataFrame) -> DataFrame:
+    """``(path, name, kind, changed)`` of listed files: the name alone, what kind of file its suffix says, and the minute of its last change."""
+    suffix = suffix_of(F.col("path"))
+    kind = F.when(suffix == ".docx", "Word").when(suffix == ".odt", "OpenDocument").when(suffix.isin(".md", ".markdown", ".qmd", ".rmd"), "Markdown").otherwise("text")
+    return files.select("path", F.substring_index("path", "/", -1).alias("name"), kind.alias("kind"), F.date_format("modificationTime", "yyyy-MM-dd HH:mm").alias("changed"))
 
 
 def read_texts(files: DataFrame, encoding: str | None = None) -> DataFrame:
@@ -69,8 +48,7 @@ def read_texts(files: DataFrame, encoding: str | None = None) -> DataFrame:
             rows = []
             for path, data in zip(b["path"], b["content"], strict=True):
                 data = bytes(data or b"")
-                marked = any(data.startswith(m) for m, _ in BOMS)
-                if b"\0" in data[:8000] and not marked:
+                if is_binary(data):
                     rows.append((path, None, None, True))
                 else:
                     rows.append((path, *decode_text(data, encoding), False))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioflow.functions.text import escape_html
+from folioflow.operators.diff import skips
 
 
 def hunks(rows: DataFrame, context: int = 3) -> DataFrame:
@@ -41,14 +46,54 @@ def new_version(rows: DataFrame) -> DataFrame:
     return r.select("pair_id", F.array_join(F.transform("l", lambda s: s["new_line"]), "\n").alias("text"))
 
 
-def html_report(rows: DataFrame) -> DataFrame:
-    """``(pair_id, html)``: a table of the shown rows of each pair, everything escaped."""
-    cell = lambda no, line: F.concat(F.lit("<td>"), F.coalesce(no.cast("string"), F.lit("")), F.lit("</td><td>"), escape_html(F.coalesce(line, F.lit(""))), F.lit("</td>"))
-    row = F.concat(F.lit('<tr class="'), F.col("kind"), F.lit('">'), cell(F.col("left_no"), F.col("old_line")), cell(F.col("right_no"), F.col("new_line")), F.lit("<td>"), escape_html(F.array_join("changes", "; ")), F.lit("</td></tr>"))
-    g = rows.where("shown").groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("row_no", row.alias("h")))).alias("r"))
-    return g.select("pair_id", F.concat(F.lit("<!doctype html><meta charset=utf-8><table>"), F.array_join(F.transform("r", lambda s: s["h"]), ""), F.lit("</table>")).alias("html"))
+STYLE = "table{border-collapse:collapse;width:100%}td{vertical-align:top;padding:2px 6px}del{background:#fdd}ins{background:#dfd;text-decoration:none}.moved-out,.moved-in{background:#eef}summary{color:#666}"
+
+
+def html_report(rows: DataFrame, comments: dict[str, tuple[str, str, str]] | None = None) -> DataFrame:
+    """``(pair_id, html)``: a table of the rows of each pair with words marked, moves told and unchanged
+    gaps folded away (those left out whole only counted); everything is escaped. ``comments`` says what
+    placeholders stand for, by character."""
+    from folioflow.kernels.prose import balloon
+    from folioflow.kernels.words import MARKS, marked_html
+
+    known = dict(comments or {})
+
+    def shown(html: str) -> str:
+        return re.sub(f"[{MARKS}]", lambda m: balloon(*known[m.group()]) if m.group() in known else "", html)
+
+    @F.pandas_udf("array<string>")
+    def cells(kind: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([[shown(x) for x in marked_html(o, n, k)] for k, o, n in zip(kind, old, new, strict=True)])
+
+    omitted = F.col("omitted") if "omitted" in rows.columns else F.lit(False)
+    r = rows.where(~omitted).withColumn("_c", cells("kind", "old_line", "new_line"))
+    cell = lambda no, k: F.concat(F.lit("<td>"), F.coalesce(no.cast("string"), F.lit("")), F.lit("</td><td>"), F.col("_c")[k], F.lit("</td>"))
+    row = F.concat(F.lit('<tr class="'), F.col("kind"), F.lit('">'), cell(F.col("left_no"), 0), cell(F.col("right_no"), 1), F.lit("<td>"), escape_html(F.array_join("changes", "; ")), F.lit("</td></tr>"))
+    one = r.select("pair_id", "row_no", F.when(F.col("shown"), row).otherwise(F.regexp_replace(row, "^<tr ", "<tr hidden ")).alias("h"))
+    gaps = skips(rows).select("pair_id", (F.col("after") + 0.5).alias("row_no"), F.concat(F.lit('<tr><td colspan="5"><details><summary>'), F.col("hidden").cast("string"), F.when(F.col("omitted"), " unchanged lines left out").otherwise(" unchanged lines"), F.lit("</summary></details></td></tr>")).alias("h"))
+    g = one.withColumn("row_no", F.col("row_no").cast("double")).union(gaps).groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("row_no", "h"))).alias("r"))
+    return g.select("pair_id", F.concat(F.lit(f"<!doctype html><meta charset=utf-8><style>{STYLE}</style><table>"), F.array_join(F.transform("r", lambda s: s["h"]), ""), F.lit("</table>")).alias("html"))
 
 
 def write_text(texts: DataFrame, folder: str, column: str) -> None:
-    """One text per pair under ``folder``, partitioned by the pair."""
-    texts.select("pair_id", F.col(column).alias("value")).write.mode("overwrite").partitionBy("pair_id").text(folder)
+    """All texts under ``folder`` as Parquet of ``(pair_id, text)``; ``write_files`` makes files of them."""
+    texts.select("pair_id", F.col(column).alias("text")).write.mode("overwrite").parquet(folder)
+
+
+def write_files(texts: DataFrame, folder: str, column: str, suffix: str = ".txt") -> DataFrame:
+    """One file a pair under ``folder``, which all executors see, written where the rows are:
+    ``(pair_id, path)``. Names that are no safe paths are escaped."""
+
+    def run(batches):
+        for b in batches:
+            paths = []
+            for pair, text in zip(b["pair_id"], b["text"], strict=True):
+                name = "".join(c if c.isalnum() or c in "-_. /" else f"%{ord(c):x}" for c in str(pair)).replace("..", "%2e%2e").strip("/")
+                path = os.path.join(folder, name + suffix)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as f:
+                    f.write(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"))
+                paths.append(path)
+            yield pd.DataFrame({"pair_id": b["pair_id"].astype(str), "path": paths})
+
+    return texts.select("pair_id", F.col(column).alias("text")).mapInPandas(run, "pair_id string, path string")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioflow.functions.text import split_lines
 from folioflow.operators.diff import counts, diff_rows
+from folioflow.session import cut_lineage
 
 
 def compare_batch(batch: DataFrame, kept: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -30,18 +31,36 @@ def compare_batch(batch: DataFrame, kept: DataFrame | None) -> tuple[DataFrame,
     return counts(diff_rows(pairs)), seq.withColumn("_r", last).where("_r = 1").select("path", "version", "text")
 
 
+BUCKETS = 256  # parts of the kept versions by path; a batch reads and writes only those it touches
+
+
+def bucket(path: str = "path"):
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
+def kept_versions(spark, state_folder: str, touched: list[int], number: int) -> DataFrame | None:
+    """The newest kept versions of the touched buckets from before batch ``number``; None where no batch has been."""
+    if number == 0:
+        return None
+    held = spark.read.option("basePath", state_folder).parquet(f"{state_folder}/batch=*").where((F.col("batch") < number) & F.col("bucket").isin(touched))
+    newest = held.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()  # at most a row a bucket
+    pairs = F.lit(False)
+    for r in newest:
+        pairs = pairs | ((F.col("bucket") == r["bucket"]) & (F.col("batch") == r["batch"]))
+    return held.where(pairs).select("path", "version", "text")
+
+
 def watch(arriving: DataFrame, state_folder: str, sink: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts the stream; the kept versions live as tables under ``state_folder``, one a batch,
-    so a batch that is done again finds the same state."""
+    """Starts the stream. The kept versions live as ``batch=N/bucket=B`` under ``state_folder``; a batch writes
+    whole buckets anew, only those it touches, so a batch that is done again finds the same state. A
+    state that can't be read stops the stream."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            kept = spark.read.parquet(f"{state_folder}/{number - 1}") if number else None
-        except Exception:  # the first batch has no state
-            kept = None
-        out, state = compare_batch(batch, kept)
-        state.write.mode("overwrite").parquet(f"{state_folder}/{number}")
+        batch = cut_lineage(batch.select("path", "version", "text"))
+        touched = [r["b"] for r in batch.select(bucket().alias("b")).distinct().collect()]
+        out, state = compare_batch(batch, kept_versions(spark, state_folder, touched, number))
+        state.withColumn("bucket", bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{state_folder}/batch={number}")
         sink(out, number)
 
     return arriving.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()

@@ -84,7 +84,7 @@ def test_diff_frames(spark, tmp_path):
     words = {(r.pair_id, r.row_no): r.text for r in D.word_lines(rows).collect()}
     assert "{+2 +}two" in words["a", 2]
     html = sinks.html_report(D.folded(rows, 1)).where("pair_id = 'a'").first()["html"]
-    assert "<td>four</td>" in html
+    assert "<td><ins>four</ins></td>" in html and "<details>" not in html
     assert D.word_changes(rows).where("pair_id = 'a' and tag = 'insert'").count() == 1
     assert D.diff_rows(D.text_pairs(old.limit(0), new.limit(0), "path", "text"), Options(move_passages=False)).count() == 0
 
