@@ -16,6 +16,7 @@ of a text comes out once; in the redacted text all places are replaced.
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -33,6 +34,7 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 OFFSETS = (-4, -3, -2, -1, 0, 1, 2, 3)
 SCALE = {0: 1.0, 1: 0.6, 2: 0.4, 3: 0.25, 4: 0.25}  # a token's own features lead its neighbours'
 _PARTICLES = re.compile(r"(?<![A-Za-zÀ-ɏ])((?:van der|van|von|de) )$")
+PAD = "<PAD>"
 CHUNK = 300_000  # characters handled at a time
 _CJK = "぀-ヿ㐀-鿿豈-﫿々"
 _LOCAL = "A-Za-z0-9À-ɏ"
@@ -48,39 +50,42 @@ TOKEN = re.compile(
 )
 
 
-_PLAIN = {"WORD", "MARK", "LINE", "CJK"}
+_FIND = re.compile(re.sub(r"\(\?P<\w+>", "(?:", TOKEN.pattern))  # the same without names, for all tokens at once
+
+
+def key_of(token: str) -> str:
+    """What features see of a token."""
+    kind, s = TOKEN.match(token).lastgroup, token
+    if kind == "NUM":
+        if s.count("(") != s.count(")") and s.startswith("("):
+            s = s[1:]
+        i = re.search(r"\d", s).start()
+        head = s[i : i + 2]
+        return "#" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s[:i]) + (re.sub(r"[1-9]", "9", head) if head[0] == "0" else re.sub(r"\d", "9", head)) + re.sub(r"\d", "9", s[i + 2 :])).replace("\xa0", " ")
+    if kind in ("CODE", "SPACED"):
+        return "%" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s))
+    return {"HOUSE": "~9a", "EMAIL": "<EMAIL>"}.get(kind, s)
+
+
+def places_of(text: str, tokens: list[str]) -> list[tuple[int, int]]:
+    """Where the tokens are; only blanks lie between them. A number doesn't begin with a bracket that it doesn't close."""
+    out, at = [], 0
+    for t in tokens:
+        a = text.find(t, at)
+        at = a + len(t)
+        out.append((a + (t[0] == "(" and len(t) > 1 and t.count("(") != t.count(")")), at))
+    return out
 
 
 def tokenize(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     """Keys (what features see) and places of the tokens."""
-    keys, places = [], []
-    for m in TOKEN.finditer(text):
-        kind, s = m.lastgroup, m[0]
-        if kind in _PLAIN:
-            keys.append(s)
-            places.append(m.span())
-            continue
-        a, b = m.span()
-        if kind == "NUM":
-            if s.count("(") != s.count(")") and s.startswith("("):
-                a, s = a + 1, s[1:]
-            i = re.search(r"\d", s).start()
-            head = s[i : i + 2]
-            s = "#" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s[:i]) + (re.sub(r"[1-9]", "9", head) if head[0] == "0" else re.sub(r"\d", "9", head)) + re.sub(r"\d", "9", s[i + 2 :])).replace(" ", " ")
-        elif kind in ("CODE", "SPACED"):
-            s = "%" + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s))
-        elif kind == "HOUSE":
-            s = "~9a"
-        elif kind == "EMAIL":
-            s = "<EMAIL>"
-        keys.append(s)
-        places.append((a, b))
-    return keys, places
+    tokens = _FIND.findall(text)
+    return [key_of(t) for t in tokens], places_of(text, tokens)
 
 
 def token_features(key: str) -> tuple[list[str], list[str], list[str]]:
     """Features for the token itself, for near and for far neighbours."""
-    if key in ("<EMAIL>", "<PAD>", "\n", "~9a"):
+    if key in ("<EMAIL>", PAD, "\n", "~9a"):
         return [key], [key], [key]
     if key[0] in "#%" and len(key) > 1:
         digits = key.count("9") + key.count("0")
@@ -110,8 +115,8 @@ class Field:
         self.index, self.weights, self.transitions = index, weights, transitions
         allowed = transitions[transitions > -1e3]
         self.certain = float(2 * (allowed.max() - allowed.min()))
-        self._ids: dict[str, int] = {}
-        self._rows: list[np.ndarray] = []
+        self._ids: dict[str, int] = {}  # rows by token and by key
+        self._keys: dict[str, int] = {}
         self._table: np.ndarray | None = None
 
     def __getstate__(self):
@@ -120,37 +125,48 @@ class Field:
     def __setstate__(self, state):
         self.__init__(**state)
 
-    def ids(self, keys: list[str]) -> np.ndarray:
-        """Row of each token in the table of summed scores, new tokens added to it."""
+    def ids(self, tokens: list[str]) -> np.ndarray:
+        """Row of each token in the table of summed scores, new tokens added to it; ``PAD`` is none."""
         if len(self._ids) > 300_000:
-            self._ids, self._rows, self._table = {}, [], None
+            self._ids, self._keys, self._table = {}, {}, None
         known = self._ids
-        before = len(known)
-        out = np.array([known.setdefault(k, len(known)) for k in keys], dtype=np.int64)
-        if len(known) > before:
-            fresh = list(known)[before:]
-            zero = np.zeros(len(LABELS), dtype=np.float32)
-            block = np.zeros((len(fresh), len(OFFSETS), len(LABELS)), dtype=np.float32)
-            for i, k in enumerate(fresh):
-                own, near, far = token_features(k)
-                for j, o in enumerate(OFFSETS):
-                    s = zero
-                    for f in own if o == 0 else near if abs(o) <= 2 else far:
-                        at = self.index.get(f"{o}{f}")
-                        if at is not None:
-                            s = s + self.weights[at]
-                    block[i, j] = s
-            self._table = block if self._table is None else np.concatenate([self._table, block])
-        return out
-
-    def emissions(self, keys: list[str]) -> np.ndarray:
+        out = list(map(known.get, tokens))
+        if None in out:
+            before = len(self._keys)
+            for i, x in enumerate(out):
+                if x is None:
+                    t = tokens[i]
+                    if (x := known.get(t)) is None:
+                        key = PAD if t == PAD else key_of(t)
+                        x = known[t] = self._keys.setdefault(key, len(self._keys))
+                    out[i] = x
+            self._grow(list(itertools.islice(self._keys, before, None)))
+        return np.array(out, dtype=np.int64)
+
+    def _grow(self, fresh: list[str]) -> None:
+        if not fresh:
+            return
+        zero = np.zeros(len(LABELS), dtype=np.float32)
+        block = np.zeros((len(OFFSETS), len(fresh), len(LABELS)), dtype=np.float32)
+        for i, k in enumerate(fresh):
+            own, near, far = token_features(k)
+            for j, o in enumerate(OFFSETS):
+                s = zero
+                for f in own if o == 0 else near if abs(o) <= 2 else far:
+                    at = self.index.get(f"{o}{f}")
+                    if at is not None:
+                        s = s + self.weights[at]
+                block[j, i] = s
+        self._table = block if self._table is None else np.concatenate([self._table, block], axis=1)
+
+    def emissions(self, tokens: list[str]) -> np.ndarray:
         """Scores of one long run of tokens."""
-        n = len(keys)
+        n = len(tokens)
         pad = max(map(abs, OFFSETS))
-        ids = self.ids(["<PAD>"] * pad + keys + ["<PAD>"] * pad)
+        ids = self.ids([PAD] * pad + tokens + [PAD] * pad)
         out = np.zeros((n, len(LABELS)), dtype=np.float32)
         for j, o in enumerate(OFFSETS):
-            out += self._table[ids[pad + o : pad + o + n], j]
+            out += self._table[j].take(ids[pad + o : pad + o + n], axis=0)
         return out
 
     def decode(self, emit: np.ndarray) -> np.ndarray:
@@ -163,6 +179,7 @@ class Field:
         order = np.argsort(ends - starts, kind="stable")
         starts, lengths = starts[order], (ends - starts)[order]
         t_ = self.transitions.astype(np.float32)
+        into = np.ascontiguousarray(t_.T)
         at = 0
         while at < len(starts):
             size, stop = 0, at  # paths of like lengths together
@@ -174,9 +191,10 @@ class Field:
             back = np.zeros((most, len(s), len(LABELS)), dtype=np.int8)
             for t in range(1, most):
                 live = int(np.searchsorted(ln, t, side="right"))
-                step = score[live:, :, None] + t_[None]
-                back[t, live:] = step.argmax(axis=1)
-                score[live:] = step.max(axis=1) + emit[s[live:] + t]
+                step = score[live:, None, :] + into[None]  # of each label to come, from each before
+                top = step.argmax(axis=2)
+                back[t, live:] = top
+                score[live:] = np.take_along_axis(step, top[:, :, None], axis=2)[:, :, 0] + emit[s[live:] + t]
             last = (score + t_[:, 0][None, :]).argmax(axis=1)  # and the one after
             for t in range(most - 1, -1, -1):
                 live = int(np.searchsorted(ln, t, side="right"))
@@ -263,7 +281,7 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]] | None = None, pla
     place = np.where(mask, (np.concatenate([[0], np.cumsum(lengths)[:-1]]))[:, None] + np.arange(most)[None, :], 0)
     # a token's scores at an offset depend on its key alone: features are summed once for each (key, offset)
     pad = max(map(abs, OFFSETS))
-    known: dict[str, int] = {"<PAD>": 0}
+    known: dict[str, int] = {PAD: 0}
     stream = [0] * pad
     at = []
     for keys in words:
@@ -355,26 +373,29 @@ def _sound(kind: str, s: str) -> bool:
 def find(field: Field, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
     """(start, end, type) of the particulars of each text, in order."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    pad = ["<PAD>"] * max(map(abs, OFFSETS))
+    pad = [PAD] * max(map(abs, OFFSETS))
     at = 0
     while at < len(texts):
-        keys: list[str] = []
+        stream: list[str] = []
         parts = []
         size = 0
         while at < len(texts) and (not parts or size < CHUNK):
             t = texts[at]
             if t:
-                k, places = tokenize(t)
-                parts.append((at, len(keys), places))
-                keys += k + pad
+                tokens = _FIND.findall(t)
+                parts.append((at, len(stream), tokens))
+                stream += tokens
+                stream += pad
                 size += len(t)
             at += 1
-        if not keys:
+        if not stream:
             continue
-        labels = field.decode(field.emissions(keys))
-        for i, start, places in parts:
-            mine = labels[start : start + len(places)]
-            for j in np.flatnonzero(mine % 2 == 1):
+        labels = field.decode(field.emissions(stream))
+        for i, start, tokens in parts:
+            mine = labels[start : start + len(tokens)]
+            begins = np.flatnonzero(mine % 2 == 1)
+            places = places_of(texts[i], tokens) if len(begins) else []
+            for j in begins:
                 k = int(j) + 1
                 while k < len(mine) and mine[k] == mine[j] + 1:
                     k += 1
