@@ -117,6 +117,24 @@ def included(path: Column, globs: str | None) -> Column:
     return hit
 
 
+def natural_key(c: Column) -> Column:
+    """Sorts so that 2 comes before 10, in any case: numbers of any length go by their number of digits first."""
+    number = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    digits = lambda p: F.concat(F.lpad(F.length(number(p)).cast("string"), 6, "0"), number(p))
+    return F.concat_ws("", F.transform(F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d"), digits(p)).otherwise(F.lower(p))))
+
+
+# The kinds of image that a report shows, and how large they may be.
+IMAGES = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".gif": "image/gif", ".svg": "image/svg+xml", ".webp": "image/webp"}
+MOST_IMAGE = 5 * 1024 * 1024
+
+
+def image_uri(path: Column, content: Column) -> Column:
+    """An image as a data URI; null for other suffixes and for more than 5 MiB."""
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in IMAGES.items() for x in kv]), suffix_of(path))
+    return F.when(kind.isNotNull() & (F.octet_length(content) <= MOST_IMAGE), F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content)))
+
+
 def cut(c: Column, limit: int, what: str = "text") -> Column:
     """At most ``limit`` characters, cut at the last line's end before it, saying how much is left out."""
     head = F.substring(c, 1, limit)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioflow.functions.text import similarity_tokens
+from folioflow.session import cut_lineage
 
 TOLERANCE = 1e-9
 
@@ -27,26 +28,30 @@ def token_counts(lines: DataFrame, keys: list[str], text: str = "line") -> DataF
 def similar_lines(old: DataFrame, new: DataFrame, group: str, threshold: float) -> DataFrame:
     """``old(group, i, line)`` and ``new(group, j, line)`` → ``(group, i, j, score)`` of the pairs
     within a group at or over the threshold. Lines without tokens are in no pair."""
-    a, b = token_counts(old, [group, "i"]), token_counts(new, [group, "j"])
-    rarity = a.select(group, "token").union(b.select(group, "token")).groupBy(group, "token").agg(F.count("*").alias("df"))
-
-    def prefix(side: DataFrame, key: str) -> DataFrame:
-        line = W.partitionBy(group, key)
-        e = side.join(rarity, [group, "token"]).withColumn("n", F.sum("c").over(line))
-        before = F.coalesce(F.sum("c").over(line.orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        need = F.ceil(F.lit(threshold) * F.col("n") / (2 - threshold) - TOLERANCE)
-        return e.withColumn("_before", before).where(F.col("_before") < F.col("n") - need + 1).select(group, "token", key, F.col("n").alias(f"n_{key}"))
-
-    cand = prefix(a, "i").join(prefix(b, "j"), [group, "token"])
+    def sides() -> DataFrame:
+        """Both sides' lines as sorted arrays of (token, copies), made once."""
+        o = old.select(group, F.lit(0).alias("side"), F.col("i").alias("line_id"), F.col("line"))
+        n = new.select(group, F.lit(1).alias("side"), F.col("j").alias("line_id"), F.col("line"))
+        tokens = similarity_tokens(F.col("line"))
+        sorted_ = F.array_sort(tokens)
+        d = o.union(n).select(group, "side", "line_id", sorted_.alias("t")).where(F.size("t") > 0)
+        # the k-th copy of a token carries k, so that sets stand for multisets: its place less the place of the first copy
+        numbered = F.transform("t", lambda x, k: F.concat(x, F.lit("\x01"), (k - F.array_position("t", x).cast("int") + 2).cast("string")))
+        return d.select(group, "side", "line_id", numbered.alias("t"), F.size("t").alias("n"))
+
+    lines = cut_lineage(sides())
+    each = lines.select(group, "side", "line_id", "n", F.explode("t").alias("token"))
+    rarity = each.groupBy(group, "token").agg(F.count("*").alias("df"))
+    line = W.partitionBy(group, "side", "line_id").orderBy("df", "token")
+    need = F.ceil(F.lit(threshold) * F.col("n") / (2 - threshold) - TOLERANCE)
+    prefix = each.join(rarity, [group, "token"]).withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= F.col("n") - need + 1)
+    prefix = cut_lineage(prefix.select(group, "side", "token", "line_id", "n"))
+    a = prefix.where("side = 0").select(group, "token", F.col("line_id").alias("i"), F.col("n").alias("n_i"))
+    b = prefix.where("side = 1").select(group, "token", F.col("line_id").alias("j"), F.col("n").alias("n_j"))
     lo, hi = F.least("n_i", "n_j"), F.greatest("n_i", "n_j")
-    cand = cand.where(lo >= F.lit(threshold) * hi / (2 - threshold) - TOLERANCE).select(group, "i", "j", "n_i", "n_j").distinct()
-
-    def numbered(side: DataFrame, key: str, name: str) -> DataFrame:
-        """Each line's tokens with the number of the copy, so that sets stand for multisets."""
-        copies = F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("c")), lambda k: F.concat("token", F.lit("\x01"), k.cast("string")))
-        return side.groupBy(group, key).agg(F.flatten(F.collect_list(copies)).alias(name))
-
-    scored = cand.join(numbered(a, "i", "ta"), [group, "i"]).join(numbered(b, "j", "tb"), [group, "j"])
+    cand = a.join(b, [group, "token"]).where(lo >= F.lit(threshold) * hi / (2 - threshold) - TOLERANCE).select(group, "i", "j", "n_i", "n_j").distinct()
+    of = lambda side, key, name: lines.where(F.col("side") == side).select(group, F.col("line_id").alias(key), F.col("t").alias(name))
+    scored = cand.join(of(0, "i", "ta"), [group, "i"]).join(of(1, "j", "tb"), [group, "j"])
     scored = scored.withColumn("score", 2.0 * F.size(F.array_intersect("ta", "tb")) / (F.col("n_i") + F.col("n_j")))
     return scored.where(F.col("score") >= threshold - TOLERANCE).select(group, "i", "j", "score")
 

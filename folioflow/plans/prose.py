@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators.assess import LIMIT
-from folioflow.session import table
+from folioflow.session import running, table
 
 WORD, SPACE = r"[\p{L}\p{N}_]+", r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 TOKEN = rf"{WORD}|{SPACE}+|[^\p{{L}}\p{{N}}_\s\x0b\x1c-\x1f\x{{85}}\p{{Z}}]"
@@ -136,8 +136,7 @@ def sentence_labels(spark, sf):
 
 def natural_order(spark, sf):
     """Keys that sort paths so that 2 comes before 10."""
-    parts = F.transform(F.regexp_extract_all("path", F.lit(r"(\d+|\D+)"), F.lit(1)), lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(F.lower(p)))
-    return table(spark, sf, "doc_files").select("file_id", F.concat_ws("", parts).alias("sort_key"))
+    return table(spark, sf, "doc_files").select("file_id", X.natural_key(F.concat_ws("/", "path", F.repeat(F.col("file_id").cast("string"), 4))).alias("sort_key"))
 
 
 def file_suffixes(spark, sf):
@@ -159,10 +158,12 @@ def short_dates(spark, sf):
 def style_runs(spark, sf):
     """Runs of consecutive blocks of one kind in a file, as first and last place and length."""
     b = table(spark, sf, "blocks").select("file_id", "block_id", "kind").distinct()
-    w = W.partitionBy("file_id").orderBy("block_id")
-    b = b.withColumn("place", F.row_number().over(w)).withColumn("new", F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1))
-    b = b.withColumn("run", F.sum("new").over(w))
-    return b.groupBy("file_id", "run", "kind").agg(big(F.min("place")).alias("first"), big(F.max("place")).alias("last"), F.count("*").alias("n")).withColumn("run", big(F.col("run")))
+    # the next row in file and block order, over the ends of tasks too: a file with a third of all blocks isn't one task
+    b = running(b, "file_id", [F.col("block_id")], {"before": F.lit(1)})
+    last = b.select("file_id", (F.col("before") + 1).alias("before"), F.col("kind").alias("was"))
+    b = b.join(last, ["file_id", "before"], "left").withColumn("new", F.when(F.col("was").eqNullSafe(F.col("kind")) & (F.col("before") > 0), 0).otherwise(1))
+    b = running(b, "file_id", [F.col("block_id")], {"earlier": F.col("new")}).withColumn("run", F.col("earlier") + F.col("new"))
+    return b.groupBy("file_id", "run", "kind").agg(big(F.min("before") + 1).alias("first"), big(F.max("before") + 1).alias("last"), F.count("*").alias("n")).withColumn("run", big(F.col("run")))
 
 
 TOKENS_SQL = f"regexp_extract_all(line, '{TOKEN}')"
@@ -196,7 +197,7 @@ SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(text) <= 300000 THEN te
     "footnote_refs": f"WITH {LINES_SQL}, r AS (SELECT doc_id, idx, regexp_extract_all(line, '\\[\\^([^\\]\\s]+)\\]', 1) AS l FROM lines WHERE NOT regexp_matches(line, '^\\[\\^([^\\]\\s]+)\\]:[ \\t]*(.*)$')), u AS (SELECT doc_id, idx, unnest(range(len(l))) AS pos, unnest(l) AS label FROM r), g AS (SELECT doc_id, label, count(*) AS n, min(idx * 1000000 + pos) AS first FROM u GROUP BY ALL) SELECT doc_id, label, n, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS number FROM g",
     "simple_sentences": f"WITH {LINES_SQL} {SENTENCES_SQL} SELECT * FROM sentences",
     "sentence_labels": f"WITH {LINES_SQL} {SENTENCES_SQL} SELECT doc_id, idx, pos, CAST(idx + 1 AS VARCHAR) || CASE WHEN count(*) OVER (PARTITION BY doc_id, idx) > 1 THEN '.' || row_number() OVER (PARTITION BY doc_id, idx ORDER BY pos) ELSE '' END AS label FROM sentences",
-    "natural_order": r"""SELECT file_id, array_to_string(list_transform(regexp_extract_all(path, '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(p, 12, '0') ELSE lower(p) END), '') AS sort_key FROM doc_files""",
+    "natural_order": r"""WITH p AS (SELECT file_id, path || '/' || repeat(CAST(file_id AS VARCHAR), 4) AS path FROM doc_files) SELECT file_id, array_to_string(list_transform(regexp_extract_all(path, '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN lpad(CAST(len(CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END) AS VARCHAR), 6, '0') || CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END ELSE lower(p) END), '') AS sort_key FROM p""",
     "file_suffixes": r"SELECT file_id, lower(regexp_extract(path, '(\.[^./]+)$', 1)) AS suffix FROM doc_files",
     "include_globs": "SELECT file_id, path FROM doc_files WHERE lower(path) LIKE '%.docx' OR lower(path) LIKE '%/review/%.md' OR regexp_matches(lower(path), '(^|/)appendix_.\\.[^/]*$')",
     "path_filter": "SELECT file_id, path FROM doc_files WHERE path = 'harbour-handbook/review' OR starts_with(path, 'harbour-handbook/review/') OR path = 'proj-0003' OR starts_with(path, 'proj-0003/')",

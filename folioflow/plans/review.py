@@ -125,7 +125,12 @@ def binary_files(spark, sf):
 
 
 def data_uris(spark, sf):
-    return table(spark, sf, "doc_files").select("file_id", F.concat(F.lit("data:text/plain;base64,"), F.base64(F.encode("path", "UTF-8"))).alias("uri"))
+    """Images as data URIs: every file under a name by its number, of which some are no images and one kind is too large."""
+    f = table(spark, sf, "doc_files")
+    names = F.array(*[F.lit(x) for x in (".png", ".JPG", ".svg", ".docx", ".gif")])
+    path = F.concat("path", F.element_at(names, (F.col("file_id") % 5 + 1).cast("int")))
+    content = F.when(F.col("file_id") % 5 == 4, F.repeat(F.lit("0123456789abcdef"), 327_681)).otherwise(F.col("path"))
+    return f.select("file_id", X.image_uri(path, F.encode(content, "UTF-8")).alias("uri"))
 
 
 def prompt_parts(spark, sf):
@@ -202,7 +207,7 @@ SELECT assess_id, pos, n.side AS side, n.start AS start, n.problem AS problem, n
     "newest_revisions": "WITH a AS (SELECT assess_id, min(loaded_at) AS t FROM assessments GROUP BY 1) SELECT assess_id, (SELECT count(*) FROM a) AS total FROM a ORDER BY t DESC, assess_id DESC LIMIT 50",
     "change_descriptions": f"SELECT DISTINCT span_id, CASE WHEN regexp_replace(text, '{SPACE}', '', 'g') = '' THEN CASE kind WHEN 'insertion' THEN 'added a space' ELSE 'removed a space' END ELSE CASE kind WHEN 'insertion' THEN 'added ' ELSE 'removed ' END || {QUOTED} END AS description FROM change_spans WHERE kind IN ('insertion', 'deletion') AND text <> ''",
     "binary_files": "SELECT doc_id, false AS binary FROM documents",
-    "data_uris": "SELECT file_id, 'data:text/plain;base64,' || base64(encode(path)) AS uri FROM doc_files",
+    "data_uris": "SELECT file_id, CASE file_id % 5 WHEN 0 THEN 'data:image/png;base64,' WHEN 1 THEN 'data:image/jpeg;base64,' WHEN 2 THEN 'data:image/svg+xml;base64,' END || base64(encode(path)) AS uri FROM doc_files",
     "prompt_parts": rf"""WITH h AS (SELECT *, left(text, 300000) AS head FROM documents WHERE text IS NOT NULL), k AS (SELECT *, CASE WHEN contains(head, chr(10)) THEN left(head, len(head) - len(regexp_extract(head, '[^\n]*$')) - 1) ELSE head END AS kept FROM h)
 SELECT doc_id, 'Assess the text below.' || chr(10) || chr(10) || 'Subject: ' || coalesce(project, '') || '/' || coalesce(source, '') || chr(10) || chr(10) || {CUT} AS prompt FROM k""",
     "check_context": "WITH f AS (SELECT *, regexp_extract(path, '^(.*)/', 1) AS dir FROM doc_files) SELECT file_id FROM f WHERE side = 'old' AND dir IN (SELECT dir FROM f WHERE side = 'new')",
