@@ -110,6 +110,34 @@ def passage_moves(trials: int, seed: int = 7) -> dict:
     return {"precision": round(p, 4), "recall": round(q, 4), "f1": round(2 * p * q / (p + q), 4), "moves": true, "wrong": wrong, "boundary_iou": round(overlap / max(1, right), 4), "seconds": round(took, 2), "without_passages": round(plain, 2)}
 
 
+def stress(seed: int = 11, paragraphs: int = 400, moves: int = 30) -> dict:
+    """One large revision in the published set-up: 30 moved sentences and 30 decoys among 400 paragraphs,
+    every other one 15 % edited."""
+    r = random.Random(seed)
+    v = vocabulary(r)
+    sents = [[sentence(r, v, r.randint(8, 20)) for _ in range(r.randint(3, 6))] for _ in range(paragraphs)]
+    new = [list(x) for x in sents]
+    moved = set()
+    for a in r.sample(range(paragraphs), moves):
+        b = r.choice([x for x in range(paragraphs) if abs(x - a) > 2])
+        s = new[a].pop(r.randrange(1, len(new[a])))
+        new[b].append(s)
+        moved.add(s)
+    for a in r.sample(range(paragraphs), moves):
+        new[a].append(sentence(r, v, 12))
+    new = [[x if x in moved or k % 2 else edited(r, v, x, 0.15) for x in para] for k, para in enumerate(new)]
+    o, n = [" ".join(x) for x in sents], [" ".join(x) for x in new]
+    t = time.perf_counter()
+    rows = compare(o, n, MoveSettings(0.7))
+    took = time.perf_counter() - t
+    t = time.perf_counter()
+    compare(o, n, MoveSettings(0.7), passages=False)
+    plain = time.perf_counter() - t
+    found = [o[x.i][a:b].strip() for x in rows for a, b, _ in x.out_spans]
+    hit = {m for m in moved for f in found if (f in m or m in f) and min(len(f), len(m)) / max(len(f), len(m)) >= 0.5}
+    return {"moves": len(moved), "found": len(hit), "reported": len(found), "seconds": round(took, 2), "without_passages": round(plain, 2)}
+
+
 def pair_scores(n: int = 250, m: int = 200) -> dict:
     r = random.Random(1)
     v = vocabulary(r)
@@ -124,4 +152,4 @@ def pair_scores(n: int = 250, m: int = 200) -> dict:
 
 if __name__ == "__main__":
     k = int(sys.argv[1]) if len(sys.argv) > 1 else 200
-    print(json.dumps({"line_moves": line_moves(k), "passages": passage_moves(max(10, k // 4)), "token_sort": pair_scores()}))
+    print(json.dumps({"line_moves": line_moves(k), "passages": passage_moves(max(10, k // 4)), "stress": stress(), "token_sort": pair_scores()}))

@@ -13,7 +13,9 @@ class MoveSettings:
     def __post_init__(self):
         if not 0 < self.similarity <= 1:
             raise ValueError("similarity lies above 0 and up to 1")
-        if self.algorithm not in ("token-sort", "token-set"):
+        from folioflow.kernels.lines import MEASURES
+
+        if self.algorithm not in MEASURES:
             raise ValueError(f"no such measure: {self.algorithm}")
 
 

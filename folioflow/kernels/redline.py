@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import copy
 import io
 import zipfile
+from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
-from folioflow.kernels.moves import Row
-from folioflow.kernels.words import word_ops
+from folioflow.kernels.documents import DocumentError, W, read_docx
+from folioflow.kernels.moves import Row, compare
+from folioflow.kernels.words import PLACEHOLDERS, word_ops
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 _O = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:dc="http://purl.org/dc/elements/1.1/"'
@@ -121,3 +124,198 @@ def commented_docx(lines: list[str], notes: list[tuple[int, int, int, str]], aut
         ("word/document.xml", f"{head}<w:document {_W}><w:body>{''.join(body)}</w:body></w:document>"),
         ("word/comments.xml", f"{head}<w:comments {_W}>{comments}</w:comments>"),
     ])
+
+
+class Redline:
+    """Tracked changes put into the new version's own Word file: its styles, tables, notes and parts stay.
+
+    Paragraphs of the body whose text is all in plain runs are marked word by word, run by run, so
+    that each piece keeps its format. Others, and rows of tables, that changed are left as they are
+    in the new version and counted in ``left``.
+    """
+
+    def __init__(self, old: bytes, new: bytes, author: str = "Comparison", date: str = "2000-01-01T00:00:00Z"):
+        self.author, self.date, self.numbers, self.left = author, date, 900_000, 0
+        with zipfile.ZipFile(io.BytesIO(new)) as z:
+            self.parts = [(i, z.read(i)) for i in z.infolist()]
+        xml = next((d for i, d in self.parts if i.filename == "word/document.xml"), None)
+        if xml is None:
+            raise DocumentError("no word/document.xml")
+        self.names = [n for _, n in ET.iterparse(io.BytesIO(xml), ("start-ns",))]
+        for prefix, uri in self.names:
+            if prefix and not prefix.startswith("ns"):
+                ET.register_namespace(prefix, uri)
+        self.root = ET.fromstring(xml)
+        self.body = self.root.find(W + "body")
+        lines = lambda data: [(b.kind, PLACEHOLDERS.sub("", b.text)) for b in read_docx(data).blocks if b.kind != "note"]
+        self.old, self.new = lines(old), lines(new)
+
+    def _mark(self, kind: str) -> ET.Element:
+        self.numbers += 1
+        return ET.Element(W + kind, {W + "id": str(self.numbers), W + "author": self.author, W + "date": self.date})
+
+    def _run(self, text: str, like: ET.Element | None, deleted: bool) -> ET.Element:
+        r = ET.Element(W + "r")
+        if like is not None and (pr := like.find(W + "rPr")) is not None:
+            r.append(copy.deepcopy(pr))
+        t = ET.SubElement(r, W + ("delText" if deleted else "t"), {"{http://www.w3.org/XML/1998/namespace}space": "preserve"})
+        t.text = text
+        return r
+
+    def _paragraph_mark(self, p: ET.Element, kind: str) -> None:
+        pr = p.find(W + "pPr")
+        if pr is None:
+            pr = ET.Element(W + "pPr")
+            p.insert(0, pr)
+        rpr = pr.find(W + "rPr")
+        if rpr is None:
+            rpr = ET.SubElement(pr, W + "rPr")
+        rpr.insert(0, self._mark(kind))
+
+    @staticmethod
+    def _plain(p: ET.Element) -> list[tuple[ET.Element, str]] | None:
+        """The runs of a paragraph with their texts, or None where it holds more than plain runs."""
+        out = []
+        for x in p:
+            if x.tag in (W + "pPr", W + "bookmarkStart", W + "bookmarkEnd", W + "proofErr"):
+                continue
+            if x.tag != W + "r" or any(c.tag not in (W + "rPr", W + "t") for c in x):
+                return None
+            out.append((x, "".join(t.text or "" for t in x.findall(W + "t"))))
+        return out
+
+    def _inserted(self, p: ET.Element) -> None:
+        for k, x in enumerate(list(p)):
+            if x.tag == W + "r":
+                m = self._mark("ins")
+                p.remove(x)
+                p.insert(k, m)
+                m.append(x)
+        self._paragraph_mark(p, "ins")
+
+    def _deleted(self, text: str) -> ET.Element:
+        p = ET.Element(W + "p")
+        self._paragraph_mark(p, "del")
+        if text:
+            m = self._mark("del")
+            m.append(self._run(text, None, True))
+            p.append(m)
+        return p
+
+    def _edited(self, p: ET.Element, runs: list[tuple[ET.Element, str]], old: str, new: str) -> None:
+        ends, at = [], 0
+        for _, t in runs:
+            at += len(t)
+            ends.append(at)
+        made: list[ET.Element] = []
+
+        def pieces(a: int, b: int) -> list[ET.Element]:
+            out, start = [], 0
+            for (r, t), end in zip(runs, ends, strict=True):
+                x, y = max(a, start), min(b, end)
+                if x < y:
+                    out.append(self._run(t[x - start : y - start], r, False))
+                start = end
+            return out
+
+        for tag, i1, i2, j1, j2 in word_ops(old, new):
+            if tag == "equal":
+                made += pieces(j1, j2)
+                continue
+            if i2 > i1:
+                near = next((r for (r, _), end in zip(runs, ends, strict=True) if end > j1), runs[-1][0] if runs else None)
+                m = self._mark("del")
+                m.append(self._run(old[i1:i2], near, True))
+                made.append(m)
+            if j2 > j1:
+                m = self._mark("ins")
+                m.extend(pieces(j1, j2))
+                made.append(m)
+        first = next((k for k, x in enumerate(p) if x.tag == W + "r"), len(p))
+        for r, _ in runs:
+            p.remove(r)
+        for k, x in enumerate(made):
+            p.insert(first + k, x)
+
+    def _places(self) -> list[tuple[ET.Element, ET.Element] | None]:
+        """(parent, paragraph, or for a row its table) of each line of the new version, None for what can't be placed."""
+        found: list[tuple[ET.Element, ET.Element]] = []
+
+        def walk(node: ET.Element) -> None:
+            for x in node:
+                if x.tag == W + "p":
+                    found.append((node, x))
+                elif x.tag == W + "tbl":
+                    found.extend([(node, x)] * len(list(x.iter(W + "tr"))))
+                elif x.tag in (W + "sdt", W + "sdtContent"):
+                    walk(x)
+
+        walk(self.body)
+        if len(found) == len(self.new):
+            return found
+        out: list[tuple[ET.Element, ET.Element] | None] = []
+        k = 0  # paragraphs that the reader leaves out (contents tables, joined ones): by their texts
+        for kind, text in self.new:
+            fits = lambda x: x[1].tag == W + "tbl" if kind == "row" else x[1].tag == W + "p" and "".join(t.text or "" for t in x[1].iter(W + "t")) == text  # noqa: B023, E731
+            at = next((n for n in range(k, len(found)) if fits(found[n])), None)
+            out.append(None if at is None else found[at])
+            k = k if at is None else at + 1
+        return out
+
+    def write(self, options=None) -> bytes:
+        from folioflow.config import Options
+
+        options = options or Options()
+        places = self._places()
+        a, b = [t for _, t in self.old], [t for _, t in self.new]
+        rows = compare(a, b, options.moves, options.passages, options.move_passages, options.ignore_whitespace)
+        waiting: list[str] = []
+
+        def put(place: tuple[ET.Element, ET.Element] | None) -> None:
+            if place is None or not waiting:
+                return
+            at = list(place[0]).index(place[1])
+            for k, text in enumerate(waiting):
+                place[0].insert(at + k, self._deleted(text))
+            waiting.clear()
+
+        for r in rows:
+            if r.j is None:
+                waiting.append(a[r.i])
+                continue
+            place = places[r.j]
+            put(place)
+            if r.i is not None and a[r.i] == b[r.j]:
+                continue
+            runs = self._plain(place[1]) if place else None
+            if place is None or place[1].tag != W + "p" or (r.i is not None and (runs is None or "".join(t for _, t in runs) != b[r.j])):
+                self.left += 1
+            elif r.i is None:
+                self._inserted(place[1])
+            else:
+                self._edited(place[1], runs, a[r.i], b[r.j])
+        if waiting:  # at the end, before the section's own settings
+            at = next((k for k, x in enumerate(self.body) if x.tag == W + "sectPr"), len(self.body))
+            for k, text in enumerate(waiting):
+                self.body.insert(at + k, self._deleted(text))
+        xml = ET.tostring(self.root, encoding="unicode")
+        head, _, rest = xml.partition(">")
+        for prefix, uri in self.names:  # names that only attributes speak of must stay declared
+            if prefix and f"xmlns:{prefix}=" not in head:
+                head += f" xmlns:{prefix}={quoteattr(uri)}"
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for info, content in self.parts:
+                z.writestr(info, f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>{head}>{rest}' if info.filename == "word/document.xml" else content)
+        return data.getvalue()
+
+
+def check_redline(data: bytes, old: bytes, new: bytes) -> list[str]:
+    """What is wrong with tracked changes: accepting them must give the new text, rejecting them the old one."""
+    texts = lambda x, how: [t for b in read_docx(x, how).blocks if b.kind != "note" and (t := PLACEHOLDERS.sub("", b.text))]
+    wrong = []
+    if texts(data, "accept-all") != texts(new, "accept-all"):
+        wrong.append("accepting all changes does not give the new text")
+    if texts(data, "reject-all") != texts(old, "accept-all"):
+        wrong.append("rejecting all changes does not give the old text")
+    return wrong

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.kernels.redline import commented_docx
+from folioflow.functions.registry import register_functions
+from folioflow.kernels.documents import read_docx
+from folioflow.kernels.redline import Redline, check_redline, commented_docx
 from folioflow.operators import compare as C, diff as D
 from folioflow.plans.prose import LINES_SQL, big
-from folioflow.plans.revisions import COUNTS_SQL, KNOWN_SQL, ROWS_SQL, SNAP_SQL, known_pairs, snapshots
+from folioflow.plans.revisions import COUNTS_SQL, KNOWN_SQL, ROWS_SQL, SIMTOK, SNAP_SQL, known_lines, known_pairs, snapshots
 from folioflow.session import cut_lineage, table
 
 COMMENTS = ("Which one is meant?", "Gone by now.", "Only just written.")  # on both sides, on the old, on the new one
@@ -71,7 +73,31 @@ def edits_reviewed(spark, sf):
     return D.counts(D.diff_rows(C.review_edits(d, "doc_id", "text", F.concat("text", F.lit("\nReviewed and released.")))))
 
 
-QUERIES = {f.__name__: f for f in (document_counts, document_panel, renumbered_notes, tree_revisions, edits_reviewed)}
+def redlined_files(spark, sf):
+    """Changes tracked inside each new Word file: whether accepting and rejecting them gives both texts,
+    and whether the file's comments are still there."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for p, old, new in zip(b["pair_id"], b["old"], b["new"], strict=True):
+                r = Redline(bytes(old), bytes(new))
+                data = r.write()
+                rows.append((p, not check_redline(data, bytes(old), bytes(new)), r.left == 0, len(read_docx(data).comments)))
+            yield pd.DataFrame(rows, columns=["pair_id", "both_texts", "whole", "comments"])
+
+    return C.file_pairs(*word_files(spark, sf)).mapInPandas(run, "pair_id string, both_texts boolean, whole boolean, comments bigint")
+
+
+def sql_functions(spark, sf):
+    """Likeness and marked words of edited lines by functions in SQL."""
+    register_functions(spark, "folio_")
+    known_lines(spark, sf).where("kind = 'replace'").createOrReplaceTempView("folio_edited")
+    return spark.sql("""SELECT doc_id, idx, round(folio_token_sort(line, new), 6) AS token_sort, round(folio_ordered_similarity(line, new), 6) AS ordered, folio_line_move_score(line, new) = folio_token_sort(line, new) AS moves, folio_word_line(line, new) = concat(line, '{+(revised)+}') AS marked
+        FROM (SELECT *, concat(line, '(revised)') AS new FROM folio_edited)""")
+
+
+QUERIES = {f.__name__: f for f in (document_counts, document_panel, renumbered_notes, tree_revisions, edits_reviewed, redlined_files, sql_functions)}
 SPLIT_SQL = "CASE WHEN {t} = '' THEN 0 ELSE len(string_split({t}, chr(10))) - CASE WHEN {t} LIKE '%' || chr(10) THEN 1 ELSE 0 END END"
 SQL = {
     "document_counts": f"WITH {LINES_SQL} {ROWS_SQL}, c AS (SELECT doc_id, {COUNTS_SQL} FROM rows_ GROUP BY doc_id) SELECT doc_id || '.docx' AS pair_id, * EXCLUDE (doc_id) FROM c UNION ALL SELECT doc_id || '.docx', 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM known WHERE n = 1",
@@ -83,4 +109,6 @@ m AS (SELECT old_path, new_path FROM g JOIN a ON g.oc = a.nc AND g.k = a.k), l A
 SELECT change, old_path, new_path, greatest(nl - ol, 0) AS additions, greatest(ol - nl, 0) AS deletions FROM l WHERE NOT (change = 'deleted' AND old_path IN (SELECT old_path FROM m)) AND NOT (change = 'added' AND new_path IN (SELECT new_path FROM m)) UNION ALL SELECT 'renamed', old_path, new_path, 0, 0 FROM m""",
     "edits_reviewed": rf"""WITH d AS (SELECT doc_id, CASE WHEN text = '' THEN 2 WHEN text LIKE '%' || chr(10) THEN 2 ELSE 1 END AS more FROM documents WHERE text IS NOT NULL)
 SELECT doc_id AS pair_id, more AS additions, 0 AS deletions, 3 AS words_added, 0 AS words_removed, 0 AS moved_lines, 0 AS moved_passages, 0 AS edited_lines, more AS inserted_lines, 0 AS deleted_lines FROM d""",
+    "sql_functions": f"WITH {LINES_SQL} {KNOWN_SQL}, n AS (SELECT doc_id, idx, len({SIMTOK}) AS n FROM known WHERE kind = 'replace') SELECT doc_id, idx, round(2.0 * n / (2 * n + 3), 6) AS token_sort, round(2.0 * n / (2 * n + 3), 6) AS ordered, true AS moves, true AS marked FROM n",
+    "redlined_files": f"WITH {LINES_SQL} SELECT DISTINCT doc_id || '.docx' AS pair_id, true AS both_texts, true AS whole, CAST(2 AS BIGINT) AS comments FROM lines",
 }

@@ -161,3 +161,44 @@ def test_stream(spark, tmp_path):
     put(2, [("q", 2, "x\ny"), ("p", 1, "late")])
     run()
     assert got == {0: {"p@1": (2, 0), "q@1": (1, 0)}, 1: {"p@2": (1, 1)}, 2: {"q@2": (1, 0)}}
+
+
+def test_redline_inside_the_file():
+    from folioflow.kernels.redline import Redline, check_redline
+
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" mc:Ignorable="w14"'
+    p = lambda *runs: "<w:p>" + "".join(f'<w:r>{"<w:rPr><w:b/></w:rPr>" if bold else ""}<w:t xml:space="preserve">{t}</w:t></w:r>' for t, bold in runs) + "</w:p>"
+    table = "<w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>"
+
+    def docx(*body: str) -> bytes:
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            z.writestr("word/document.xml", f"<w:document {ns}><w:body>{''.join(body)}<w:sectPr/></w:body></w:document>")
+            z.writestr("word/media/x.png", b"picture")
+        return data.getvalue()
+
+    old = docx(p(("It was a ", False), ("cold", True), (" day in the north.", False)), p(("This paragraph goes away.", False)), table, p(("The end of it all.", False)))
+    new = docx(p(("It was a ", False), ("very cold", True), (" day in the north.", False)), table, p(("The end of it all.", False)), p(("Something new at last.", False)))
+    r = Redline(old, new)
+    data = r.write()
+    assert check_redline(data, old, new) == [] and r.left == 0
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        xml = z.read("word/document.xml").decode()
+        assert z.read("word/media/x.png") == b"picture" and 'Ignorable="w14"' in xml and "xmlns:w14=" in xml
+    assert '<w:rPr><w:b /></w:rPr><w:t xml:space="preserve">very ' in xml and xml.count("<w:ins ") == 3 and "<w:tbl>" in xml  # a word, a paragraph's run and its mark
+    assert check_redline(new, old, new) == ["rejecting all changes does not give the old text"]
+
+
+def test_sql_functions_and_measures(spark):
+    from folioflow.config import MoveSettings
+    from folioflow.functions.registry import register_functions, register_measure
+    from folioflow.kernels.lines import MEASURES
+
+    register_functions(spark, "t_")
+    r = spark.sql("SELECT t_token_sort('a b c d', 'a b c e') AS s, t_word_line('the cat', 'the dog') AS w, t_token_sort(NULL, 'x') AS n").first()
+    assert (r.s, r.w, r.n) == (0.75, "the [-cat-]{+dog+}", None)
+    with pytest.raises(ValueError):
+        MoveSettings(0.5, "own")
+    register_measure("own", lambda a, b: float(a == b))
+    assert MoveSettings(0.5, "own").algorithm == "own"
+    del MEASURES["own"]
