@@ -48,7 +48,7 @@ def _words(text: str) -> int:
 class Piece:
     """A text with its tokens, their places and its words, worked out once."""
 
-    __slots__ = ("text", "tokens", "starts", "ends", "bag")
+    __slots__ = ("text", "tokens", "starts", "ends", "bag", "pairs")
 
     def __init__(self, text: str):
         found = [m for m in TOKEN.finditer(text) if not m.group().isspace()]
@@ -56,6 +56,7 @@ class Piece:
         self.tokens = [m.group() for m in found]
         self.starts, self.ends = [m.start() for m in found], [m.end() for m in found]
         self.bag = Counter(self.tokens)
+        self.pairs = set(zip(self.tokens, self.tokens[1:]))  # neighbours
 
 
 def content_words(text: str, letters: int) -> Counter:
@@ -64,7 +65,7 @@ def content_words(text: str, letters: int) -> Counter:
 
 
 def long_enough(text: str, s: PassageSettings) -> bool:
-    return _words(text) >= s.min_words and sum(not c.isspace() for c in text) >= s.min_chars
+    return _words(text) >= s.min_words and len("".join(text.split())) >= s.min_chars
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
@@ -161,7 +162,10 @@ def passage_match(x: str | Piece, y: str | Piece, least: float, s: PassageSettin
     """(score, ranges of characters on both sides) of the best common passage of two."""
     x, y = (t if isinstance(t, Piece) else Piece(t) for t in (x, y))
     n, m = len(x.tokens), len(y.tokens)
-    if (x.bag & y.bag).total() < max(s.min_words, least * min(n, m) / 2):
+    if s.edge_run > 1 and x.pairs.isdisjoint(y.pairs):
+        return None  # no run of two
+    small, large = (x.bag, y.bag) if len(x.bag) < len(y.bag) else (y.bag, x.bag)
+    if sum(min(c, large[t]) for t, c in small.items() if t in large) < max(s.min_words, least * min(n, m) / 2):
         return None
     regions = [(0, n, 0, m)]
     if min(n, m) < s.partial_share * max(n, m):

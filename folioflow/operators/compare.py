@@ -16,6 +16,7 @@ from folioflow.config import Options
 from folioflow.functions.text import split_lines
 from folioflow.kernels.comparison import Side, compare_sides, read_side
 from folioflow.operators.folders import compare_folders
+from folioflow.session import partitions
 
 ROW = "row_no bigint, kind string, left_no bigint, right_no bigint, left_label string, right_label string, old_line string, new_line string, changes array<string>, words_added bigint, words_removed bigint, move_pair bigint, edited boolean, moved_out array<string>, moved_in array<string>, words_added_plain bigint, words_removed_plain bigint, formats array<string>, language string"
 ENTRY = "author string, text string, status string, label string, anchor string, date string"
@@ -50,7 +51,7 @@ def compared(pairs: DataFrame, options: Options | None = None) -> DataFrame:
             yield pd.DataFrame(out, columns=[*names, "error", "read_as", "rows", "panel"])
 
     schema = f"{PAIR}, error string, read_as string, rows array<struct<{_struct(ROW)}>>, panel array<struct<{_struct(ENTRY)}>>"
-    return pairs.repartition("pair_id").mapInPandas(run, schema)
+    return pairs.repartition(partitions(pairs.sparkSession), F.xxhash64("pair_id")).mapInPandas(run, schema)
 
 
 def _struct(fields: str) -> str:

@@ -16,6 +16,7 @@ from folioflow.config import Options
 from folioflow.functions.text import split_lines
 from folioflow.kernels.moves import compare
 from folioflow.kernels.words import word_line, word_ops
+from folioflow.session import partitions
 
 ROW_FIELDS = "row_no bigint, kind string, left_no bigint, right_no bigint, old_line string, new_line string, changes array<string>, words_added bigint, words_removed bigint, move_pair bigint, edited boolean, moved_out array<string>, moved_in array<string>, words_added_plain bigint, words_removed_plain bigint"
 
@@ -52,7 +53,9 @@ def diff_rows(pairs: DataFrame, options: Options | None = None) -> DataFrame:
                 out[c] = out[c].astype("Int64")
             yield out
 
-    changed = pairs.where(~F.col("old").eqNullSafe(F.col("new"))).select("pair_id", "old", "new").repartition("pair_id")
+    changed = pairs.where(~F.col("old").eqNullSafe(F.col("new"))).select("pair_id", "old", "new")
+    # a number of tasks of its own and by a hash no join shares: the bytes are few for the work, and small partitions would be joined to one
+    changed = changed.repartition(partitions(pairs.sparkSession), F.xxhash64("pair_id"))
     return changed.mapInPandas(run, f"pair_id {kind}, {ROW_FIELDS}")
 
 
