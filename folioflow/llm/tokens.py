@@ -40,10 +40,14 @@ def encoding(path: str):
 def with_tokens(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """``keep`` columns and ``tokens bigint``, the text itself is dropped after counting."""
     path = vocabulary_path(path)
+    df.sparkSession.sparkContext.addFile(path)  # workers need not see the driver's folders
     schema = T.StructType([*(df.schema[k] for k in keep), T.StructField("tokens", T.LongType())])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        from pyspark import SparkFiles
+
+        shipped = SparkFiles.get(os.path.basename(path))
+        enc = encoding(shipped if os.path.exists(shipped) else path)
         for b in batches:
             texts = b["_text"].fillna("").tolist()
             out = b[keep].copy()
