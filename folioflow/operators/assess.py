@@ -104,3 +104,15 @@ def apply_fixes(texts: DataFrame, fixes: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["key", "text", "applied"])
 
     return texts.select("key", "text").join(g, "key", "left").mapInPandas(run, f"key {kind}, text string, applied bigint")
+
+
+def context_conflicts(analysed: DataFrame, context: DataFrame) -> DataFrame:
+    """``(path)`` of the files given as context that are analysed themselves, or lie in a folder that is:
+    both sides are ``(path)``; folders end with a slash. Case and a leading ``./`` do not matter."""
+    plain = F.regexp_replace(F.lower("path"), r"^(?:\./)+", "")
+    a = analysed.select(plain.alias("_a")).distinct()
+    # every folder above a file is a key of its own, so that this stays an equi-join
+    parts = F.split("_c", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.when(k == F.size(parts), F.col("_c")).otherwise(F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))))
+    c = context.select("path", plain.alias("_c")).select("path", F.explode(above).alias("_a"))
+    return c.join(a, "_a", "left_semi").select("path").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from folioflow.functions import text as X
-from folioflow.operators.assess import prompt
+from folioflow.operators.assess import context_conflicts, prompt
 from folioflow.plans.prose import big
 from folioflow.session import running, salted_join, table
 
@@ -141,9 +141,18 @@ def prompt_parts(spark, sf):
 
 
 def check_context(spark, sf):
-    """Old files that a new one of the same directory would be given as context: existence only."""
-    f = table(spark, sf, "doc_files").withColumn("dir", F.regexp_extract("path", "^(.*)/", 1))
-    return f.where("side = 'old'").join(f.where("side = 'new'").select("dir"), "dir", "left_semi").select("file_id")
+    """Files given as context that are analysed too: the new side's files and one project's whole folder are analysed, all files are context."""
+    f = table(spark, sf, "doc_files")
+    analysed = f.where("side = 'new' and file_id % 2 = 0").select(F.concat(F.lit("./"), F.upper("path")).alias("path")).union(f.where("file_id = 1").select(F.concat(F.split("path", "/")[0], F.lit("/"))))
+    return context_conflicts(analysed, f.select("path"))
+
+
+def all_annotations(spark, sf):
+    """The annotations of all checks of a file in one list: check after check in order of arrival, each in its own order."""
+    a = table(spark, sf, "assessments").groupBy("assess_id", "file_id", "kind").agg(F.min("loaded_at").alias("t"))
+    d = annotation_parse(spark, sf).join(a, "assess_id").select("file_id", "assess_id", "kind", "t", "pos", "side", "start", "problem")
+    r = running(d, "file_id", [F.col("t"), F.col("assess_id"), F.col("pos")], {"before": F.lit(1)})
+    return r.select("file_id", big(F.col("before") + 1).alias("place"), "assess_id", "kind", "side", "start", "problem")
 
 
 def document_kinds(spark, sf):
@@ -175,7 +184,7 @@ def tracked_changes(spark, sf):
     return m.select("doc_id", big(F.col("pos")).alias("pos"), part(r"\{\.([a-z-]+)").alias("kind"), part('author="([^"]*)"').alias("author"), X.short_date(part('date="([^"]*)"')).alias("date"))
 
 
-QUERIES = {f.__name__: f for f in (comment_status, open_comments, comment_panel, entry_status, comment_key_sets, language_vote, verdict_parse, annotation_parse, run_estimate, estimate_wording, history_last, newest_revisions, change_descriptions, binary_files, data_uris, prompt_parts, check_context, document_kinds, all_checks, markdown_plain, tracked_changes)}
+QUERIES = {f.__name__: f for f in (comment_status, open_comments, comment_panel, entry_status, comment_key_sets, language_vote, verdict_parse, annotation_parse, run_estimate, estimate_wording, history_last, newest_revisions, change_descriptions, binary_files, data_uris, prompt_parts, check_context, document_kinds, all_checks, all_annotations, markdown_plain, tracked_changes)}
 MARKS_SQL = "WITH m AS (SELECT DISTINCT mark_id, c.file_id, author, text, resolved, side, split_part(path, '/', 1) AS project FROM comment_marks c JOIN doc_files f ON f.file_id = c.file_id)"
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 QUOTED = "'\"' || CASE WHEN len(text) > 60 THEN left(text, 59) || '…' ELSE text END || '\"'"
@@ -201,6 +210,12 @@ SELECT assess_id, list_filter(regexp_extract_all(lower(CASE WHEN section <> '' T
 j AS (SELECT assess_id, from_json(l[len(l)], '[{"side":"VARCHAR","start":"BIGINT","problem":"VARCHAR","replacement":"VARCHAR"}]') AS x FROM f WHERE len(l) > 0),
 u AS (SELECT assess_id, CAST(unnest(range(len(x))) AS BIGINT) AS pos, unnest(x) AS n FROM j)
 SELECT assess_id, pos, n.side AS side, n.start AS start, n.problem AS problem, n.replacement AS replacement FROM u WHERE n.start IS NOT NULL AND n.side IN ('old', 'new')""",
+    "all_annotations": r"""WITH a AS (SELECT DISTINCT assess_id, markdown FROM assessments), f AS (SELECT assess_id, regexp_extract_all(markdown, '(?s)```json\n(.*?)\n```', 1) AS l FROM a),
+j AS (SELECT assess_id, from_json(l[len(l)], '[{"side":"VARCHAR","start":"BIGINT","problem":"VARCHAR","replacement":"VARCHAR"}]') AS x FROM f WHERE len(l) > 0),
+u AS (SELECT assess_id, CAST(unnest(range(len(x))) AS BIGINT) AS pos, unnest(x) AS n FROM j),
+p AS (SELECT assess_id, pos, n.side AS side, n.start AS start, n.problem AS problem FROM u WHERE n.start IS NOT NULL AND n.side IN ('old', 'new')),
+k AS (SELECT assess_id, file_id, kind, min(loaded_at) AS t FROM assessments GROUP BY ALL)
+SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY t, p.assess_id, pos) AS place, p.assess_id, kind, side, start, problem FROM p JOIN k ON k.assess_id = p.assess_id""",
     "run_estimate": f"WITH {EST_SQL} SELECT * FROM e",
     "estimate_wording": f"WITH {EST_SQL}, w AS (SELECT *, CASE WHEN low < 60 THEN CAST(floor(low + 0.5) AS BIGINT) || ' s' ELSE CAST(floor(low / 60 + 0.5) AS BIGINT) || ' min' END AS a, CASE WHEN high < 60 THEN CAST(floor(high + 0.5) AS BIGINT) || ' s' ELSE CAST(floor(high / 60 + 0.5) AS BIGINT) || ' min' END AS b FROM e) SELECT ai, effort, kind, CASE WHEN a = b THEN 'usually about ' || a ELSE 'usually ' || a || ' to ' || b END AS wording FROM w",
     "history_last": "SELECT DISTINCT run_id, date, ai FROM assess_history ORDER BY date DESC, run_id DESC LIMIT 200",
@@ -210,7 +225,7 @@ SELECT assess_id, pos, n.side AS side, n.start AS start, n.problem AS problem, n
     "data_uris": "SELECT file_id, CASE file_id % 5 WHEN 0 THEN 'data:image/png;base64,' WHEN 1 THEN 'data:image/jpeg;base64,' WHEN 2 THEN 'data:image/svg+xml;base64,' END || base64(encode(path)) AS uri FROM doc_files",
     "prompt_parts": rf"""WITH h AS (SELECT *, left(text, 300000) AS head FROM documents WHERE text IS NOT NULL), k AS (SELECT *, CASE WHEN contains(head, chr(10)) THEN left(head, len(head) - len(regexp_extract(head, '[^\n]*$')) - 1) ELSE head END AS kept FROM h)
 SELECT doc_id, 'Assess the text below.' || chr(10) || chr(10) || 'Subject: ' || coalesce(project, '') || '/' || coalesce(source, '') || chr(10) || chr(10) || {CUT} AS prompt FROM k""",
-    "check_context": "WITH f AS (SELECT *, regexp_extract(path, '^(.*)/', 1) AS dir FROM doc_files) SELECT file_id FROM f WHERE side = 'old' AND dir IN (SELECT dir FROM f WHERE side = 'new')",
+    "check_context": "SELECT path FROM doc_files WHERE (side = 'new' AND file_id % 2 = 0) OR split_part(path, '/', 1) IN (SELECT split_part(path, '/', 1) FROM doc_files WHERE file_id = 1)",
     "document_kinds": "SELECT split_part(path, '/', 1) AS project, string_agg(DISTINCT file_format, ',' ORDER BY file_format) AS kinds FROM doc_files GROUP BY 1",
     "all_checks": "WITH a AS (SELECT assess_id, file_id, kind, min(loaded_at) AS t FROM assessments GROUP BY ALL) SELECT file_id, string_agg(kind, ',' ORDER BY t, assess_id) AS kinds, count(*) AS n FROM a GROUP BY file_id",
     "markdown_plain": r"SELECT doc_id, regexp_replace(text, '\[([^\[\]]*)\]\{\.(?:comment-start|insertion|deletion)[^}]*\}', '\1', 'g') AS plain FROM documents WHERE text IS NOT NULL",
