@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from folioflow.functions.text import similarity_tokens
-from folioflow.session import cut_lineage
+from folioflow.session import cut_lineage, unsent
 
 TOLERANCE = 1e-9
 
@@ -44,14 +44,14 @@ def similar_lines(old: DataFrame, new: DataFrame, group: str, threshold: float)
     rarity = each.groupBy(group, "token").agg(F.count("*").alias("df"))
     line = W.partitionBy(group, "side", "line_id").orderBy("df", "token")
     need = F.ceil(F.lit(threshold) * F.col("n") / (2 - threshold) - TOLERANCE)
-    prefix = each.join(rarity, [group, "token"]).withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= F.col("n") - need + 1)
+    prefix = each.join(unsent(rarity), [group, "token"]).withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= F.col("n") - need + 1)
     prefix = cut_lineage(prefix.select(group, "side", "token", "line_id", "n"))
     a = prefix.where("side = 0").select(group, "token", F.col("line_id").alias("i"), F.col("n").alias("n_i"))
     b = prefix.where("side = 1").select(group, "token", F.col("line_id").alias("j"), F.col("n").alias("n_j"))
     lo, hi = F.least("n_i", "n_j"), F.greatest("n_i", "n_j")
-    cand = a.join(b, [group, "token"]).where(lo >= F.lit(threshold) * hi / (2 - threshold) - TOLERANCE).select(group, "i", "j", "n_i", "n_j").distinct()
+    cand = a.join(unsent(b), [group, "token"]).where(lo >= F.lit(threshold) * hi / (2 - threshold) - TOLERANCE).select(group, "i", "j", "n_i", "n_j").distinct()
     of = lambda side, key, name: lines.where(F.col("side") == side).select(group, F.col("line_id").alias(key), F.col("t").alias(name))
-    scored = cand.join(of(0, "i", "ta"), [group, "i"]).join(of(1, "j", "tb"), [group, "j"])
+    scored = cand.join(unsent(of(0, "i", "ta")), [group, "i"]).join(unsent(of(1, "j", "tb")), [group, "j"])
     scored = scored.withColumn("score", 2.0 * F.size(F.array_intersect("ta", "tb")) / (F.col("n_i") + F.col("n_j")))
     return scored.where(F.col("score") >= threshold - TOLERANCE).select(group, "i", "j", "score")
 

@@ -203,3 +203,14 @@ def test_prompts_hold_whole_texts(spark, tmp_path):
     assert {r.doc_id: r.cut for r in prompt_cut(spark, str(tmp_path)).collect()}[1] == texts[1]
     cut = spark.createDataFrame([("ab\ncdefgh",)], "t string").select(prompt(F.lit("?"), F.lit("s"), F.col("t"), limit=5).alias("x")).first()["x"]
     assert cut.endswith("\n\nab\n[7 more characters of the document left out]")
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_lines_never_broadcast(spark):
+    old = spark.createDataFrame([(1, 0, "a b c d e")], "g int, i bigint, line string")
+    new = spark.createDataFrame([(1, 0, "a b c d f")], "g int, j bigint, line string")
+    got = similar_lines(old, new, "g", 0.7)  # estimates of exploded tokens are far too low
+    assert got.count() == 1 and "Broadcast" not in plan_of(got)
