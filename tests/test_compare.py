@@ -202,3 +202,13 @@ def test_sql_functions_and_measures(spark):
     register_measure("own", lambda a, b: float(a == b))
     assert MoveSettings(0.5, "own").algorithm == "own"
     del MEASURES["own"]
+
+
+def test_files_never_broadcast(spark):
+    from folioflow.operators.compare import file_pairs
+
+    old = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "same")], "path string, content string")
+    new = spark.createDataFrame([("a", "z"), ("d", "y"), ("c", "same")], "path string, content string")
+    got = file_pairs(old, new)  # Spark takes contents made in Python for far smaller than they are
+    assert sorted((r.pair_id, r.change) for r in got.collect()) == [("a", "modified"), ("d", "renamed")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
