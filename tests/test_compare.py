@@ -212,3 +212,12 @@ def test_files_never_broadcast(spark):
     got = file_pairs(old, new)  # Spark takes contents made in Python for far smaller than they are
     assert sorted((r.pair_id, r.change) for r in got.collect()) == [("a", "modified"), ("d", "renamed")]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["redlined_files"])
+def test_queries_of_files_never_broadcast(spark, tmp_path, name):
+    from folioflow.plans.documents import QUERIES
+
+    spark.createDataFrame([(1, "One line.\nAnother line."), (2, "A third.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.count() > 1
