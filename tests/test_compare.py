@@ -214,7 +214,7 @@ def test_files_never_broadcast(spark):
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["redlined_files"])
+@pytest.mark.parametrize("name", ["redlined_files", "document_panel"])
 def test_queries_of_files_never_broadcast(spark, tmp_path, name):
     from folioflow.plans.documents import QUERIES
 
