@@ -214,3 +214,11 @@ def test_similar_lines_never_broadcast(spark):
     new = spark.createDataFrame([(1, 0, "a b c d f")], "g int, j bigint, line string")
     got = similar_lines(old, new, "g", 0.7)  # estimates of exploded tokens are far too low
     assert got.count() == 1 and "Broadcast" not in plan_of(got)
+
+
+def test_moved_lines_matched_never_broadcasts(spark, tmp_path):
+    from folioflow.plans.revisions import moved_lines_matched
+
+    spark.createDataFrame([(1, "One line of some length here.\nAnother line of some length.\nA last one of some length.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = moved_lines_matched(spark, str(tmp_path))
+    assert "Broadcast" not in plan_of(got) and [(r.i, r.j, r.score) for r in got.collect()] == [(0, 2, 1.0)]
