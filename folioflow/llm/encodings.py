@@ -3,7 +3,7 @@
 A hidden Markov model labels every character. One state is clean; each other state is an
 encoding pair (the bytes of one encoding, read in another), among them pairs applied twice
 and the state of characters that are lost for good. A state emits the characters that its
-inverse transform gives, under one model of adjacent characters trained on clean text;
+inverse transform gives, under one model of adjacent characters trained on all documents;
 what a state can't have produced, it can't emit. Viterbi paths leave and enter the clean
 state at a cost, and each labelled span gets its state's inverse transform.
 
@@ -18,10 +18,12 @@ on either side give the path of the whole text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 LOST = 0xFFFD
@@ -149,6 +151,21 @@ def _letter(cp: np.ndarray) -> np.ndarray:
     return basic | ((cp >= 0xC0) & (cp < 0x600) & (cp != 0xD7) & (cp != 0xF7))
 
 
+def triple_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(three characters in a row as one number, how often), sorted, of texts between blank lines: as they are,
+    which counts three times, in capitals and in small letters. Counts of parts of the texts add up to those of all."""
+    whole = "\n\n".join(["", *texts, ""])
+    seen: dict[int, int] = {}
+    for form, weight in ((whole, 3), (whole.upper(), 1), (whole.lower(), 1)):
+        cp = codepoints(form)
+        cp = cp[cp != LOST]
+        n = pd.Series((((cp[:-2] << 21) | cp[1:-1]) << 21) | cp[2:]).value_counts(sort=False)
+        for k, c in zip(n.index.tolist(), (weight * n.to_numpy()).tolist(), strict=True):
+            seen[k] = seen.get(k, 0) + c
+    triples = np.array(sorted(seen), dtype=np.int64)
+    return triples, np.array([seen[k] for k in triples.tolist()], dtype=np.int64)
+
+
 class CleanModel:
     """Neighbouring characters of clean text: log P(next | the two before), smoothed by
     P(next | the one before) and P(next)."""
@@ -168,17 +185,18 @@ class CleanModel:
 
     @staticmethod
     def train(texts: list[str]) -> CleanModel:
-        whole = "\n".join(["", *texts, ""])
-        whole = "\n".join([whole, whole, whole, whole.upper(), whole.lower()])
-        cp = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-        cp = cp[cp != LOST]
-        two = (cp[:-1] << 21) | cp[1:]
-        triples, n3 = np.unique((two[:-1] << 21) | cp[2:], return_counts=True)
-        pairs, n2 = np.unique(two, return_counts=True)
-        chars, n1 = np.unique(cp, return_counts=True)
-        p3 = n3 / n2[np.searchsorted(pairs, triples >> 21)]
-        p2 = n2 / n1[np.searchsorted(chars, pairs >> 21)]
-        return CleanModel(triples, p3, pairs, p2, chars, n1 / n1.sum())
+        return CleanModel.of(*triple_counts(texts))
+
+    @staticmethod
+    def of(triples: np.ndarray, n3: np.ndarray) -> CleanModel:
+        """The model of counted triples, sorted; as line feeds end each text, every pair and every character begins one."""
+        if not len(triples):
+            triples, n3 = np.array([((_SEPARATOR << 21) | _SEPARATOR) << 21 | _SEPARATOR]), np.array([1])
+        pairs, which = np.unique(triples >> 21, return_inverse=True)
+        n2 = np.bincount(which, n3)
+        chars, first = np.unique(pairs >> 21, return_inverse=True)
+        n1 = np.bincount(first, n2)
+        return CleanModel(triples, n3 / n2[which], pairs, n2 / n1[first], chars, n1 / n1.sum())
 
     def strange(self, cp: np.ndarray) -> np.ndarray:
         """Positions whose character, beyond ASCII or next to such, was never seen so."""
@@ -221,6 +239,28 @@ def codepoints(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
+def clean_model(documents: DataFrame, part: int = 2_000_000) -> CleanModel:
+    """The model of all texts, none left out: triples are counted where the rows are, about ``part``
+    characters at a time, and what reaches the driver is each triple with its count, once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for b in batches:
+            texts, size = [], 0
+            for t in [*b.column("text").to_pylist(), None]:
+                if t is not None:
+                    texts.append(t)
+                    size += len(t)
+                if texts and (t is None or size >= part):
+                    counts.update(dict(zip(*(x.tolist() for x in triple_counts(texts)), strict=True)))
+                    texts, size = [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["code", "n"])
+
+    counted = documents.select("text").where("text is not null").mapInArrow(run, "code bigint, n bigint")
+    got = counted.groupBy("code").agg(F.sum("n").alias("n")).toArrow().sort_by("code")
+    return CleanModel.of(got.column("code").to_numpy(), got.column("n").to_numpy())
+
+
 def label(model: CleanModel, texts: list[str | None], steps: int = 1_500_000) -> list[np.ndarray | None]:
     """State of every character for each text, or None where all is clean."""
     out: list[np.ndarray | None] = [None] * len(texts)

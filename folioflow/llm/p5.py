@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm.encodings import CleanModel, find_garbled
-from folioflow.llm.sampling import sample_documents
+from folioflow.llm.encodings import CleanModel, clean_model as counted, find_garbled
 from folioflow.session import table
 
 
 def clean_model(spark: SparkSession, sf_dir: str) -> CleanModel:
-    return CleanModel.train([t for _, t in sample_documents(table(spark, sf_dir, "documents"))])
+    return counted(table(spark, sf_dir, "documents"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

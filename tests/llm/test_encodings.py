@@ -59,3 +59,14 @@ def test_windows_label_like_the_whole(monkeypatch):
     monkeypatch.setattr(E, "OVERLAP", 100)
     (parts,) = E.label(model, [text])
     assert whole.any() and restore(text, whole) == restore(text, parts) and ((whole > 0) == (parts > 0)).mean() > 0.98
+
+
+def test_model_of_all_documents(spark, tmp_path):
+    from folioflow.llm.p5 import clean_model
+
+    rows = [(n, "en", f"plain text number {n}") for n in range(9000)] + [(9000, "en", None), (9001, "en", ""), (9002, "sv", "håll " * 5000 + "ÿþß")]
+    spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = clean_model(spark, str(tmp_path)), CleanModel.train([t for _, _, t in rows if t is not None])
+    assert all((getattr(got, k) == getattr(want, k)).all() for k in ("triples", "p3", "pairs", "p2", "chars", "p1"))
+    assert not len(got.strange(E.codepoints("ÿþß")))  # one of 9003 rows, and a long one
+    assert label(E.clean_model(spark.createDataFrame([], "text string")), ["für"])[0] is None
