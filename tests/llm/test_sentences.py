@@ -83,3 +83,13 @@ def test_linear_time():
     t = time.perf_counter()
     assert len(sentence_ends(text)) > 2000
     assert time.perf_counter() - t < 2
+
+
+def test_blocks_by_the_model_of_all_documents(spark, tmp_path):
+    from folioflow.llm.p4 import p4_found
+
+    odd = "Es heißt: für größere Übungen.".encode().decode("cp1252") + " Noch ein Satz.\n"  # known, as it is in a document, though a long one
+    docs = [(n, "de", f"Ein Satz, die Nummer {n}.") for n in range(50)] + [(50, "de", odd * 800)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "p", odd.strip())], "block_id bigint, kind string, text string").write.parquet(f"{tmp_path}/blocks.parquet")
+    assert p4_found(spark, str(tmp_path)).count() == 2
