@@ -86,3 +86,17 @@ def test_cutoffs_and_ranks(spark):
     d = spark.createDataFrame([(1, "markdown", {"empty": 0.55, "truncated": 0.99}), (2, "markdown", {"empty": 0.93, "truncated": 0.99}), (3, "markdown", {"language": 0.2})], "assess_id bigint, answer_field string, posteriors map<string,double>")
     got = sorted((r.assess_id, r["rank"], r.defect) for r in defects(d, dict.fromkeys(DEFECTS, 0.5)).collect())
     assert got == [(1, 1, "truncated"), (1, 2, "empty"), (2, 1, "empty"), (2, 2, "truncated")]
+
+
+def test_cutoffs_count_all_sound_answers(spark, model, monkeypatch):
+    from folioflow.llm import pairs
+
+    seen = []
+    monkeypatch.setattr(pairs, "validated_cutoffs", lambda known, counts=None: seen.append((known, counts)) or {d: 0.5 for d in DEFECTS})
+    ask = "Assess the changes below: do they improve the text?"
+    rows = [(n, f"{ask}\n\n{' '.join(EN[k % 8] for k in (n, n + 1))}", " ".join(EN[k % 8] for k in range(n + 2, n + 6)), None, None) for n in range(500)]
+    pairs.label_pairs(spark.createDataFrame(rows, "assess_id bigint, prompt string, markdown string, error string, live_answer string"), model)
+    ((known, counts),) = seen
+    assert sum(c for (d, _), c in zip(known, counts, strict=True) if d is None) == 500  # about 150 of them before
+    made = pairs.spoil([{"assess_id": k, "prompt": "p", "answer": f"{x} {k} a b c", "lang": x} for k, x in enumerate(["en", "en", "de", "en"])])
+    assert [a[2][:4] for d, a in made if d == "language"] == ["de 2", "de 2", "en 3", "de 2"]
