@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioflow.llm.encodings import CleanModel, label
+from folioflow.llm.encodings import label
 from folioflow.llm.language import UNKNOWN, Centroids, language_segments, training_sentences
+from folioflow.llm.p5 import clean_model
 from folioflow.llm.sampling import sample_documents
 from folioflow.session import table
 
@@ -13,8 +14,7 @@ LEAST_LETTERS = 40
 
 
 def _segments(spark: SparkSession, sf_dir: str, blocks: DataFrame) -> DataFrame:
-    sample = sample_documents(table(spark, sf_dir, "documents"))  # both models are trained from one sample
-    model, clean = Centroids.train(training_sentences(sample)), CleanModel.train([t for _, t in sample])
+    model, clean = Centroids.train(training_sentences(sample_documents(table(spark, sf_dir, "documents")))), clean_model(spark, sf_dir)
     return language_segments(blocks, "block_id", model, lambda texts: [s is not None for s in label(clean, texts)])
 
 

@@ -72,3 +72,13 @@ def test_frame(spark, model):
     got = language_segments(df, "id", model, lambda ts: [t == "gone" for t in ts]).collect()
     assert [(r.id, r.marked, r.lang) for r in got] == [(1, "de", "en")]
     assert language_segments(df.limit(0), "id", model).count() == 0
+
+
+def test_blocks_by_the_model_of_all_documents(spark, tmp_path):
+    from folioflow.llm.p3 import p3_segments
+
+    odd = "Die Lektorin kürzte größere Übungen für das Buch.".encode().decode("cp1252")  # known, as it is in a document, though a long one
+    docs = [(n, "de", f"{TEXT['de'][n % 5]} {n}.") for n in range(50)] + [(50, "de", f"{odd}\n" * 800)]
+    spark.createDataFrame(docs, "doc_id bigint, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "p", odd, "de")], "block_id bigint, kind string, text string, language string").write.parquet(f"{tmp_path}/blocks.parquet")
+    assert p3_segments(spark, str(tmp_path)).count() == 1
