@@ -221,3 +221,12 @@ def test_queries_of_files_never_broadcast(spark, tmp_path, name):
     spark.createDataFrame([(1, "One line.\nAnother line."), (2, "A third.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES[name](spark, str(tmp_path))
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.count() > 1
+
+
+def test_known_pairs_never_broadcast(spark, tmp_path):
+    from folioflow.plans.revisions import known_pairs
+
+    spark.createDataFrame([(1, "One line.\nAnother line."), (2, "A third.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = known_pairs(spark, str(tmp_path))  # what the Word files are made of, ahead of a checkpoint
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.pair_id, len(r.old), len(r.new)) for r in got.collect()) == [(1, 2, 2), (2, 1, 1)]
