@@ -222,3 +222,11 @@ def test_moved_lines_matched_never_broadcasts(spark, tmp_path):
     spark.createDataFrame([(1, "One line of some length here.\nAnother line of some length.\nA last one of some length.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = moved_lines_matched(spark, str(tmp_path))
     assert "Broadcast" not in plan_of(got) and [(r.i, r.j, r.score) for r in got.collect()] == [(0, 2, 1.0)]
+
+
+def test_known_rows_never_broadcast(spark, tmp_path):
+    from folioflow.plans.revisions import known_rows
+
+    spark.createDataFrame([(1, "One line of some length here.\nAnother line of some length.")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = known_rows(spark, str(tmp_path))  # what moved_lines_matched reads ahead of its first checkpoint
+    assert "Broadcast" not in plan_of(got) and [r.kind for r in got.orderBy("row_no").collect()] == ["moved-out", "equal", "moved-in"]
