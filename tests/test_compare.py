@@ -2,6 +2,7 @@ import io
 import subprocess
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,24 @@ def test_frames(spark, tmp_path):
     assert D.counts(D.diff_rows(C.review_edits(texts, "id", "text", F.regexp_replace("text", "two", "two more")))).first().edited_lines == 1
 
 
+def test_results_are_handed_on_in_slices():
+    files = pd.DataFrame([(str(k), "modified", f"{k}.txt", f"{k}.txt", b"one\n", b"two\n") for k in range(1000)], columns=["pair_id", "change", "old_path", "new_path", "old", "new"])
+    got = [len(x) for x in C.compared_frames(iter([files]), Options())]
+    assert max(got) <= 200 and sum(got) == 1000  # rows of all files of a batch together take a worker's memory
+
+
+def test_panel_alone(spark, monkeypatch):
+    texts = ["First line of it.", "A line that goes.", "Last line of it."]
+    old, new = commented_docx(texts, [(0, 0, 5, "shared"), (1, 0, 6, "old only")]), commented_docx(texts[::2], [(0, 0, 5, "shared"), (1, 0, 4, "new only")])
+    files = pd.DataFrame([("a", "modified", "a.docx", "a.docx", old, new), ("b", "added", None, "b.docx", None, new), ("c", "modified", "c.docx", "c.docx", b"no zip", new)], columns=["pair_id", "change", "old_path", "new_path", "old", "new"])
+    whole, = C.compared_frames(iter([files]), Options())
+    monkeypatch.setattr(C, "compare_sides", None)  # no line is aligned
+    alone, = C.compared_frames(iter([files]), Options(), panel_only=True)
+    assert [len(x) for x in alone["panel"]] == [3, 2, 0] and alone["panel"].equals(whole["panel"]) and alone["error"].equals(whole["error"]) and not any(alone["rows"])
+    pairs = spark.createDataFrame(files, "pair_id string, change string, old_path string, new_path string, old binary, new binary")
+    assert C.panel_of(C.compared(pairs, panel_only=True)).count() == 5
+
+
 def test_folders_and_git(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "A.MD").write_text("one\n")
