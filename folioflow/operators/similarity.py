@@ -3,8 +3,9 @@
 Two lines' token-sort similarity is twice their shared tokens (as multisets) over all their
 tokens. A pair at threshold ``t`` shares a token among the rarest of either side: of ``n``
 tokens those beyond the ``ceil(t n / (2 - t))`` that must be shared. Only those are joined
-(prefix filter, no pair is lost), lengths out of reach are dropped, and the candidates'
-scores come from hashed intersections of numbered tokens, all in the JVM.
+(prefix filter, no pair is lost), by hashes of tokens: two of one hash only add candidates.
+Lengths out of reach are dropped, and the candidates' scores come from intersections of the
+numbered tokens themselves, all in the JVM.
 """
 
 from __future__ import annotations
@@ -32,19 +33,20 @@ def similar_lines(old: DataFrame, new: DataFrame, group: str, threshold: float)
         """Both sides' lines as sorted arrays of (token, copies), made once."""
         o = old.select(group, F.lit(0).alias("side"), F.col("i").alias("line_id"), F.col("line"))
         n = new.select(group, F.lit(1).alias("side"), F.col("j").alias("line_id"), F.col("line"))
-        tokens = similarity_tokens(F.col("line"))
-        sorted_ = F.array_sort(tokens)
-        d = o.union(n).select(group, "side", "line_id", sorted_.alias("t")).where(F.size("t") > 0)
+        # no filter on the tokens, which would be made once more for it; a line without any is in no pair below
+        d = o.union(n).select(group, "side", "line_id", F.array_sort(similarity_tokens(F.col("line"))).alias("t"))
         # the k-th copy of a token carries k, so that sets stand for multisets: its place less the place of the first copy
         numbered = F.transform("t", lambda x, k: F.concat(x, F.lit("\x01"), (k - F.array_position("t", x).cast("int") + 2).cast("string")))
         return d.select(group, "side", "line_id", numbered.alias("t"), F.size("t").alias("n"))
 
     lines = cut_lineage(sides())
-    each = lines.select(group, "side", "line_id", "n", F.explode("t").alias("token"))
-    rarity = each.groupBy(group, "token").agg(F.count("*").alias("df"))
-    line = W.partitionBy(group, "side", "line_id").orderBy("df", "token")
+    each = lines.select(group, "side", "line_id", "n", F.explode("t").alias("token")).withColumn("token", F.xxhash64("token"))
+    # a token of one side only is in no intersection: it counts as rarer than any other and goes no further
+    token = W.partitionBy(group, "token")
+    shared = each.withColumns({"df": F.count("*").over(token), "_lo": F.min("side").over(token), "_hi": F.max("side").over(token)}).where("_lo < _hi")
+    line = W.partitionBy(group, "side", "line_id")
     need = F.ceil(F.lit(threshold) * F.col("n") / (2 - threshold) - TOLERANCE)
-    prefix = each.join(unsent(rarity), [group, "token"]).withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= F.col("n") - need + 1)
+    prefix = shared.withColumns({"_r": F.row_number().over(line.orderBy("df", "token")), "_of": F.count("*").over(line)}).where(F.col("_r") <= F.col("_of") - need + 1)
     prefix = cut_lineage(prefix.select(group, "side", "token", "line_id", "n"))
     a = prefix.where("side = 0").select(group, "token", F.col("line_id").alias("i"), F.col("n").alias("n_i"))
     b = prefix.where("side = 1").select(group, "token", F.col("line_id").alias("j"), F.col("n").alias("n_j"))

@@ -216,6 +216,29 @@ def test_similar_lines_never_broadcast(spark):
     assert got.count() == 1 and "Broadcast" not in plan_of(got)
 
 
+def test_similar_lines_joins_tokens_of_both_sides_only(spark, monkeypatch):
+    import itertools
+    import random
+
+    from folioflow.operators import similarity
+
+    frames = []
+    monkeypatch.setattr(similarity, "cut_lineage", lambda d: frames.append(d) or d)
+    r = random.Random(5)
+    lines = [(k % 2, k, " ".join(r.choice([f"t{i}" for i in range(14)]) for _ in range(r.randint(0, 12))) + f" own{k}") for k in range(60)]
+    a, b = lines[:30], lines[30:]
+    old, new = spark.createDataFrame(a, "g int, i bigint, line string"), spark.createDataFrame(b, "g int, j bigint, line string")
+    want = {(x[0], x[1], y[1]): round(s, 9) for x, y in itertools.product(a, b) if x[0] == y[0] and (s := token_sort(x[2].split(), y[2].split())) >= 0.6 - 1e-9}
+    found = lambda: {(x.g, x.i, x.j): round(x.score, 9) for x in similar_lines(old, new, "g", 0.6).collect()}
+    assert want and found() == want
+    prefix = frames[1]
+    assert "Join" not in plan_of(prefix)  # tokens are shuffled once to be counted, not joined with their counts
+    both = frames[0].select("g", "side", F.explode("t").alias("t")).groupBy("g", F.xxhash64("t").alias("token")).agg(F.countDistinct("side").alias("n")).where("n = 2")
+    assert prefix.count() and prefix.join(both, ["g", "token"], "left_anti").count() == 0
+    monkeypatch.setattr(F, "xxhash64", lambda c: F.pmod(F.hash(c), F.lit(5)))  # nearly all tokens meet under one hash
+    assert found() == want
+
+
 def test_moved_lines_matched_never_broadcasts(spark, tmp_path):
     from folioflow.plans.revisions import moved_lines_matched
 
